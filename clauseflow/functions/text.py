@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from clauseflow.lexicon import LexiconPack, java_ci, java_unicode
 
@@ -189,14 +189,25 @@ def sigil_brands(text: Column, pack: LexiconPack) -> Column:
     )
 
 
-def catalogue_codes(text: Column, pack: LexiconPack, keep: int = 5) -> tuple[Column, Column]:
-    """Distinct long codes and short codes that do not begin a long one, first five each."""
-    long_ = F.array_distinct(all_matches(text, native(pack, "long_code"), 1))
+def with_catalogue_codes(df: DataFrame, text: str, pack: LexiconPack, keep: int = 5) -> DataFrame:
+    """Add ``long_codes`` and ``short_codes``: distinct long codes, and short codes that do
+    not begin a long one, first five each.
+
+    The long codes become a column first, so the test on each short code reads an array
+    instead of running the pattern again.
+    """
+    staged = df.withColumn(
+        "_long", F.array_distinct(all_matches(F.col(text), native(pack, "long_code"), 1))
+    )
     short = F.filter(
-        F.array_distinct(all_matches(text, native(pack, "short_code"), 1)),
-        lambda s: ~F.exists(long_, lambda k: F.startswith(k, s)),
+        F.array_distinct(all_matches(F.col(text), native(pack, "short_code"), 1)),
+        lambda s: ~F.exists("_long", lambda k: F.startswith(k, s)),
+    )
+    return (
+        staged.withColumn("long_codes", F.slice("_long", 1, keep))
+        .withColumn("short_codes", F.slice(short, 1, keep))
+        .drop("_long")
     )
-    return F.slice(long_, 1, keep), F.slice(short, 1, keep)
 
 
 def incomplete_short(text: Column, pack: LexiconPack, limit: int = 2000) -> Column:

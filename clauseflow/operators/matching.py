@@ -37,7 +37,11 @@ def episode_counts(gold: DataFrame, flags: DataFrame, key: str) -> DataFrame:
         hit = F.col("t") == t
         sums.append(F.count_if(hit & F.col("is_gold")).alias(f"g_{t}"))
         sums.append(F.count_if(hit & ~F.col("is_gold")).alias(f"p_{t}"))
-    wide = stacked.groupBy(key).agg(*sums)
+    return stacked.groupBy(key).agg(*sums).select(key, *match_totals())
+
+
+def match_totals() -> list[Column]:
+    """Gold, predicted and matched totals from the per-type columns ``g_*`` and ``p_*``."""
 
     def total(expr, types) -> Column:
         out = F.lit(0).cast("long")
@@ -47,15 +51,27 @@ def episode_counts(gold: DataFrame, flags: DataFrame, key: str) -> DataFrame:
 
     g, p = (lambda t: F.col(f"g_{t}")), (lambda t: F.col(f"p_{t}"))
     both = lambda t: F.least(g(t), p(t))
-    return wide.select(
-        key,
+    return [
         total(g, L.FINDING_TYPES).alias("n_gold"),
         total(p, L.FINDING_TYPES).alias("n_pred"),
         total(g, L.SPECIFIC_TYPES).alias("n_gold_specific"),
         total(p, L.SPECIFIC_TYPES).alias("n_pred_specific"),
         total(both, L.FINDING_TYPES).alias("matched"),
         total(both, L.SPECIFIC_TYPES).alias("matched_specific"),
-    )
+    ]
+
+
+def text_type_counts(text: Column, pack: LexiconPack) -> list[Column]:
+    """Per-type match counts of both pattern lists, straight from the text.
+
+    One scan gives every count an episode needs: nothing is exploded and only numbers
+    leave the row.
+    """
+    return [
+        F.regexp_count(text, F.lit(p.pattern)).cast("long").alias(f"{side}_{p.finding_type}")
+        for side, patterns in (("g", pack.gold), ("p", pack.flags))
+        for p in patterns
+    ]
 
 
 def type_counts(gold: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:

@@ -62,15 +62,15 @@ def ordered_index(
 
 def systematic_sample(indexed: DataFrame, n: int, idx: str = "row_idx", total: str = "n_rows") -> DataFrame:
     """Rows at round(i * N / n), half to even, i = 0..n-1; everything when N <= n."""
-    i = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    picks = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda i: F.least(
-            F.col(total) - 1, F.bround(i * F.col(total) / F.lit(float(n)), 0).cast("long")
-        ),
-    )
-    del i
-    return indexed.where((F.col(total) <= n) | F.array_contains(picks, F.col(idx)))
+    step = F.col(total) / F.lit(float(n))
+    near = F.floor(F.col(idx) / step)
+    hit = F.lit(False)
+    # round(i * step) = idx can only hold for i next to idx / step
+    for d in (-1, 0, 1, 2):
+        i = near + d
+        pick = F.least(F.col(total) - 1, F.bround(i * step, 0).cast("long"))
+        hit = hit | ((i >= 0) & (i < n) & (pick == F.col(idx)))
+    return indexed.where((F.col(total) <= n) | hit)
 
 
 def dedupe_strongest(df: DataFrame, keys: list[str], score: str, ord_: str) -> DataFrame:

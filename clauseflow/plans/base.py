@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clauseflow import lexicon as L
 from clauseflow.functions import scalar as S, text as X
 from clauseflow.lexicon import NEUTRAL
-from clauseflow.operators.matching import episode_counts
+from clauseflow.operators.matching import match_totals, text_type_counts
 from clauseflow.plans.registry import table
 from clauseflow.session import spread
 
@@ -37,6 +37,15 @@ def episodes(spark: SparkSession, sf: str) -> DataFrame:
         F.col("lang").alias("stratum"),
         F.length("text").cast("long").alias("char_count"),
     )
+    return _with_verdict(spark, sf, docs).select(*EPISODE_COLUMNS)
+
+
+EPISODE_COLUMNS = (
+    "doc_id", "notice_id", "stratum", "char_count", "cluster_id", "verdict", "severity",
+)
+
+
+def _with_verdict(spark: SparkSession, sf: str, docs: DataFrame) -> DataFrame:
     labels = table(spark, sf, "labels")
     clusters = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("cluster_id")
@@ -44,12 +53,14 @@ def episodes(spark: SparkSession, sf: str) -> DataFrame:
     return (
         docs.join(labels, "doc_id")
         .join(clusters, "doc_id", "left")
-        .select(
-            "doc_id", "notice_id", "stratum", "char_count",
-            F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id"),
-            F.when(F.col("quality") == 0, F.lit(POS)).otherwise(F.lit(NEG)).alias("verdict"),
+        .withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1).cast("long")))
+        .withColumn(
+            "verdict", F.when(F.col("quality") == 0, F.lit(POS)).otherwise(F.lit(NEG))
+        )
+        .withColumn(
+            "severity",
             F.when((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit("established"))
-            .otherwise(F.lit("not_established")).alias("severity"),
+            .otherwise(F.lit("not_established")),
         )
     )
 
@@ -75,14 +86,23 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-episode counts and predictions, one row per evaluation episode."""
-    g = gold(spark, sf).where(F.col("severity") == "established")
-    counts = episode_counts(g, flags(spark, sf), "doc_id")
-    zero = {c: 0 for c in counts.columns if c != "doc_id"}
+    """Per-episode counts and predictions, one row per evaluation episode.
+
+    The text is read once; the joins carry counts only.
+    """
+    docs = documents(spark, sf, "doc_id", "text", "lang", "source").select(
+        "doc_id",
+        F.col("source").alias("notice_id"),
+        F.col("lang").alias("stratum"),
+        F.length("text").cast("long").alias("char_count"),
+        *text_type_counts(F.col("text"), NEUTRAL),
+    )
+    e = _with_verdict(spark, sf, docs)
+    est = F.col("severity") == "established"
+    for t in L.FINDING_TYPES:
+        e = e.withColumn(f"g_{t}", F.when(est, F.col(f"g_{t}")).otherwise(F.lit(0)))
     return (
-        episodes(spark, sf)
-        .join(counts, "doc_id", "left")
-        .fillna(zero)
+        e.select(*EPISODE_COLUMNS, *match_totals())
         .withColumn(
             "pred_strict",
             F.when(F.col("matched_specific") >= 1, F.lit(POS)).otherwise(F.lit(NEG)),

@@ -318,12 +318,11 @@ SELECT doc_id, coalesce(string_agg(code, ',' ORDER BY i) FILTER (kind = 'long'),
   coalesce(string_agg(code, ',' ORDER BY i) FILTER (kind = 'short'), '') AS short_codes
 FROM r WHERE rn <= 5 GROUP BY doc_id""")
 def t16(spark, sf):
-    long_, short = X.catalogue_codes(F.col("text"), N)
-    return (
-        documents(spark, sf, "doc_id", "text")
-        .select("doc_id", F.array_join(long_, ",").alias("long_codes"),
-                F.array_join(short, ",").alias("short_codes"))
-        .where((F.col("long_codes") != "") | (F.col("short_codes") != ""))
+    d = X.with_catalogue_codes(documents(spark, sf, "doc_id", "text"), "text", N)
+    return d.where((F.size("long_codes") > 0) | (F.size("short_codes") > 0)).select(
+        "doc_id",
+        F.array_join("long_codes", ",").alias("long_codes"),
+        F.array_join("short_codes", ",").alias("short_codes"),
     )
 
 
