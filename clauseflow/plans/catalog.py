@@ -1,6 +1,6 @@
 """All registered queries (importing a module registers its queries)."""
 
-from clauseflow.plans import extraction, projections, relational, reports  # noqa: F401
+from clauseflow.plans import compliance, extraction, projections, relational, reports  # noqa: F401
 from clauseflow.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
