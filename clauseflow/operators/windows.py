@@ -81,3 +81,21 @@ def dedupe_strongest(df: DataFrame, keys: list[str], score: str, ord_: str) -> D
         .agg(F.max_by(F.struct(*rest), F.struct(F.col(score), -F.col(ord_))).alias("_r"))
         .select(*keys, "_r.*")
     )
+
+
+def trailing_count(
+    df: DataFrame, key: str, us: str, row_id: str, span: int, out: str = "n_trailing"
+) -> DataFrame:
+    """Rows of the same key in the trailing span of integer microseconds, ends included.
+
+    The time axis is cut into span-wide slices; each row also appears in the next slice as
+    context.  A window then covers one key and slice instead of the whole history of a key,
+    so a hot key spreads over as many tasks as it has slices.
+    """
+    cut = df.withColumn("_s", F.floor(F.col(us) / F.lit(span)))
+    both = cut.withColumn("_d", F.explode(F.array(F.lit(0), F.lit(1))))
+    both = both.withColumn("_s", F.col("_s") + F.col("_d"))
+    w = Window.partitionBy(key, "_s").orderBy(us).rangeBetween(-span, 0)
+    return (
+        both.withColumn(out, F.count(F.lit(1)).over(w)).where(F.col("_d") == 0).drop("_s", "_d")
+    )
