@@ -12,13 +12,13 @@ SHINGLE = 5
 def shingle_rows(df: DataFrame, key: str, text: str, out: str = "_h") -> DataFrame:
     """One row per word 5-gram of the text, as a hash."""
     toks = df.select(key, all_matches(F.col(text), TOKEN).alias("_t"))
-    long_enough = toks.where(F.size("_t") >= SHINGLE)
-    # positions are exploded, so each 5-gram is one slice of a stored array
-    at = long_enough.select(
-        key, "_t", F.explode(F.sequence(F.lit(1), F.size("_t") - SHINGLE + 1)).alias("_i")
-    )
-    return at.select(
-        key, F.xxhash64(*[F.get("_t", F.col("_i") - 1 + k) for k in range(SHINGLE)]).alias(out)
+    n = F.size("_t") - SHINGLE + 1
+    # the array is zipped with its own shifts, so no exploded row carries it
+    shifts = F.arrays_zip(*[F.slice("_t", k + 1, n).alias(f"s{k}") for k in range(SHINGLE)])
+    hashes = F.transform(shifts, lambda x: F.xxhash64(*[x[f"s{k}"] for k in range(SHINGLE)]))
+    return (
+        toks.where(F.size("_t") >= SHINGLE)
+        .select(key, F.explode(F.array_distinct(hashes)).alias(out))
     )
 
 

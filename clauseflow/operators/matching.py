@@ -156,7 +156,8 @@ def finding_arrays(
         return out.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
     g = side(gold, "finding_type", [c for c in ("description",) if c in gold.columns])
-    p = side(flags, "flag_type", [])
+    wanted = gold.select(key).distinct()
+    p = side(flags.join(wanted, key, "left_semi"), "flag_type", [])
     return g.withColumnRenamed("items", "gold").join(
         p.withColumnRenamed("items", "pred"), key, "left"
     )

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from clauseflow.functions.text import all_matches
 from clauseflow.operators.windows import top_per_group
+from clauseflow.session import cut_lineage
 
 TERM = r"[\p{L}\p{N}_]{2,}"
 HEAVY_SHARE = 64
@@ -22,18 +23,15 @@ def ngram_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     All terms of a text start in one task, so map-side aggregation folds them before the
     shuffle.
     """
-    toks = df.select(key, all_matches(F.lower(F.col(text)), TERM).alias("_t")).where(
-        F.size("_t") > 0
-    )
-    # positions are exploded so each bigram is two look-ups in a stored array
-    at = toks.select(key, "_t", F.posexplode("_t").alias("_i", "_w"))
-    nxt = F.get("_t", F.col("_i") + 1)
-    grams = at.select(
-        key,
-        F.explode(
-            F.filter(F.array(F.col("_w"), F.concat(F.col("_w"), F.lit(" "), nxt)), F.isnotnull)
-        ).alias("term"),
+    toks = df.select(key, all_matches(F.lower(F.col(text)), TERM).alias("_t"))
+    n = F.size("_t")
+    # bigrams come from the array zipped with its own shift, so no row carries the array
+    pairs = F.zip_with(
+        F.slice("_t", 1, F.greatest(n - 1, F.lit(0))),
+        F.slice("_t", 2, F.greatest(n - 1, F.lit(0))),
+        lambda a, b: F.concat(a, F.lit(" "), b),
     )
+    grams = toks.select(key, F.explode(F.concat(F.col("_t"), pairs)).alias("term"))
     return grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -45,7 +43,7 @@ def vocabulary(tf: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.95
 
 
 def _weigh(tf: DataFrame, vocab: DataFrame, key: str, n_docs: int) -> DataFrame:
-    """L2-normalised TF-IDF weights.
+    """TF-IDF weights (key, term, w).
 
     Terms in more than 1/64 of the documents would make the join on ``term`` skewed; there
     are at most 64 times the mean number of terms per document of them, a bound that does
@@ -59,9 +57,11 @@ def _weigh(tf: DataFrame, vocab: DataFrame, key: str, n_docs: int) -> DataFrame:
     w = w.unionByName(
         tagged.where(F.col("_hi").isNull()).drop("_hi").join(light, "term").select(key, "term", "tf", "idf")
     )
-    w = w.withColumn("w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return w.select(key, "term", (F.col("w") / length).alias("w"))
+    return w.select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+
+
+def _lengths(weights: DataFrame, key: str, out: str) -> DataFrame:
+    return weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(out))
 
 
 def tfidf_top_k(
@@ -70,18 +70,24 @@ def tfidf_top_k(
 ) -> DataFrame:
     """Top-k documents per query by TF-IDF cosine.
 
-    Document weights end up partitioned by document (the norm needs that), so the scores of
-    a (query, document) pair are summed without another shuffle, and only k candidates per
-    query and task travel to the final ranking.
+    Term counts and the vocabulary are written once to the shared folder and read by every
+    later step.  Vector lengths need all terms of a document but travel as one partial sum
+    per document and task; scores use only terms the queries hold.  The final ranking
+    forwards k candidates per query and task.
     """
     n_docs = docs.count()
-    tf = ngram_counts(docs, doc_key, text)
-    vocab = vocabulary(tf, n_docs, min_df, max_df)
+    tf = cut_lineage(ngram_counts(docs, doc_key, text))
+    vocab = cut_lineage(vocabulary(tf, n_docs, min_df, max_df))
     dw = _weigh(tf, vocab, doc_key, n_docs)
-    qw = _weigh(ngram_counts(queries, query_key, text), vocab, query_key, n_docs)
+    qw = cut_lineage(_weigh(ngram_counts(queries, query_key, text), vocab, query_key, n_docs))
     pairs = dw.join(qw.withColumnRenamed("w", "_qw"), "term")
-    scores = pairs.groupBy(query_key, doc_key).agg(F.sum(F.col("w") * F.col("_qw")).alias("score"))
-    scores = scores.withColumn("score", F.round("score", 6))
+    dots = pairs.groupBy(query_key, doc_key).agg(F.sum(F.col("w") * F.col("_qw")).alias("dot"))
+    scores = dots.join(_lengths(dw, doc_key, "_dl"), doc_key).join(
+        _lengths(qw, query_key, "_ql"), query_key
+    )
+    scores = scores.select(
+        query_key, doc_key, F.round(F.col("dot") / (F.col("_dl") * F.col("_ql")), 6).alias("score")
+    )
     return top_per_group(scores, [query_key], [F.desc("score"), F.asc(doc_key)], k, "rank")
 
 

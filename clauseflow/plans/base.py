@@ -14,7 +14,7 @@ from clauseflow.functions import scalar as S, text as X
 from clauseflow.lexicon import NEUTRAL
 from clauseflow.operators.matching import match_totals, text_type_counts
 from clauseflow.plans.registry import table
-from clauseflow.session import spread
+from clauseflow.session import cut_lineage, spread
 
 POS, NEG = L.POSITIVE, L.NEGATIVE
 
@@ -85,6 +85,25 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(sev, "doc_id")
 
 
+def stored_findings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(established gold, flags) of the labelled documents from one pass over the texts.
+
+    The arrays are written once to the shared folder; plans that use both sides several
+    times read them back instead of running the patterns again.
+    """
+    docs = documents(spark, sf, "doc_id", "text").select(
+        "doc_id",
+        X.pack_findings(F.col("text"), NEUTRAL.gold, "finding_type").alias("g"),
+        X.pack_findings(F.col("text"), NEUTRAL.flags).alias("f"),
+    )
+    lab = table(spark, sf, "labels").select(
+        "doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("established")
+    )
+    kept = cut_lineage(docs.where((F.size("g") > 0) | (F.size("f") > 0)).join(lab, "doc_id"))
+    g = kept.where("established").select("doc_id", F.inline("g")).drop("confidence")
+    return g.withColumn("severity", F.lit("established")), kept.select("doc_id", F.inline("f"))
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Per-episode counts and predictions, one row per evaluation episode.
 

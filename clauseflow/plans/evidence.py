@@ -8,7 +8,9 @@ from clauseflow import lexicon as L
 from clauseflow.functions import text as X
 from clauseflow.lexicon import NEUTRAL as N
 from clauseflow.operators import matching as M, metrics as G
-from clauseflow.plans.base import POS, documents, episodes, flags, gold, quoted, with_ctes
+from clauseflow.plans.base import (
+    POS, documents, episodes, flags, quoted, stored_findings, with_ctes,
+)
 from clauseflow.plans.extraction import entity_sql
 from clauseflow.plans.registry import query, table
 from clauseflow.plans.reports import PRF_SQL, SPEC, TOK, div, r6, synonym_sql
@@ -16,24 +18,23 @@ from clauseflow.plans.reports import PRF_SQL, SPEC, TOK, div, r6, synonym_sql
 q = quoted
 
 
-def quote_vectors(spark, sf):
+def quote_vectors(spark, sf, gold_rows, flag_rows):
     """(quote, vector) for every distinct quote; a hash of the quote picks its vector row."""
     emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     n = emb.count()
-    g = gold(spark, sf).select(F.trim("quote").alias("quote"))
-    f = flags(spark, sf).select(F.trim("quote").alias("quote"))
+    g = gold_rows.select(F.trim("quote").alias("quote"))
+    f = flag_rows.select(F.trim("quote").alias("quote"))
     vid = F.pmod(F.conv(F.substring(F.md5("quote"), 1, 6), 16, 10).cast("long"), F.lit(n))
     d = g.unionByName(f).where(F.col("quote") != "").distinct().withColumn("vec_id", vid)
     return d.join(emb, "vec_id").select("quote", "vector")
 
 
 def arrays(spark, sf, specific: bool = False):
-    g = gold(spark, sf).where(F.col("severity") == "established")
-    f = flags(spark, sf)
+    g, f = stored_findings(spark, sf)
     if specific:
         g = g.where(F.col("finding_type").isin(*L.SPECIFIC_TYPES))
         f = f.where(F.col("flag_type").isin(*L.SPECIFIC_TYPES))
-    return M.finding_arrays(g, f, quote_vectors(spark, sf), "doc_id", N)
+    return M.finding_arrays(g, f, quote_vectors(spark, sf, g, f), "doc_id", N)
 
 
 def scored_sql(candidate: str, order: str, where_g: str = "true", where_p: str = "true") -> str:

@@ -339,8 +339,29 @@ WITH u AS ({UNMATCHED_SQL}), h AS (SELECT u.finding_type, CASE WHEN u.finding_ty
 SELECT CASE WHEN grouping(finding_type) = 1 THEN 'all' ELSE finding_type END AS finding_type, error_type, count(*) AS n
 FROM h GROUP BY GROUPING SETS ((finding_type, error_type), (error_type))"""))
 def g10(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("t"))
-    u = M.contained(unmatched(spark, sf).join(d, "doc_id"), "t", "quote", "hit")
+    """Typology without moving a text: findings, open counts and the quote test share the row."""
+    t = F.col("text")
+    d = documents(spark, sf, "doc_id", "text").select(
+        "doc_id", "text", X.pack_findings(t, N.gold, "finding_type").alias("g"),
+        *M.text_type_counts(t, N),
+    )
+    open_ = F.create_map(*[
+        x for ft in L.FINDING_TYPES for x in (
+            F.lit(ft),
+            F.greatest(F.lit(0), F.col(f"g_{ft}") - F.col(f"p_{ft}"))
+            if ft in L.SPECIFIC_TYPES else F.col(f"g_{ft}"),
+        )
+    ])
+    d = d.where(F.size("g") > 0).withColumn("open", open_)
+    # the position within its type decides whether a finding is left over
+    left = F.filter("g", lambda f: f["idx"] <= F.col("open")[f["finding_type"]])
+    u = d.select("doc_id", X.normalize_text(t).alias("t"), left.alias("g"))
+    u = u.select("doc_id", "t", F.explode("g").alias("f")).select(
+        "doc_id", "f.finding_type", "f.quote", "t"
+    )
+    u = M.contained(u, "t", "quote", "hit").drop("t")
+    sev = table(spark, sf, "labels").where((F.col("quality") == 0) | (F.col("toxic") == 1))
+    u = u.join(sev.select("doc_id"), "doc_id")
     kind = (
         F.when(F.col("finding_type") == "other", "granularity_mismatch")
         .when(F.col("hit") & (F.trim("quote") != ""), "extraction_miss")
