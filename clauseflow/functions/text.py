@@ -34,8 +34,14 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+# white space of all scripts, spelled out because ``(?U)\\s`` is several times slower
+_BREAKS = r"\t\n\x0B\f\r\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACE_RUN = f"[{_BREAKS}][ {_BREAKS}]*| [ {_BREAKS}]+"
+
+
 def collapse_spaces(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    """Every run of white space becomes one space; single spaces are not touched."""
+    return F.trim(F.regexp_replace(c, SPACE_RUN, " "))
 
 
 def normalize_text(c: Column, compat: bool = False) -> Column:

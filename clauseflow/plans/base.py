@@ -26,7 +26,7 @@ def quoted(s: str) -> str:
 def documents(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     """Document scan with enough partitions for the regular expressions."""
     df = table(spark, sf, "documents")
-    return spread(df.select(*cols) if cols else df)
+    return spread(df.select(*cols) if cols else df, "doc_id")
 
 
 def episodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +99,7 @@ def stored_findings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     lab = table(spark, sf, "labels").select(
         "doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("established")
     )
-    kept = cut_lineage(docs.where((F.size("g") > 0) | (F.size("f") > 0)).join(lab, "doc_id"))
+    kept = cut_lineage(docs.join(lab, "doc_id"))
     g = kept.where("established").select("doc_id", F.inline("g")).drop("confidence")
     return g.withColumn("severity", F.lit("established")), kept.select("doc_id", F.inline("f"))
 

@@ -341,24 +341,23 @@ FROM h GROUP BY GROUPING SETS ((finding_type, error_type), (error_type))"""))
 def g10(spark, sf):
     """Typology without moving a text: findings, open counts and the quote test share the row."""
     t = F.col("text")
-    d = documents(spark, sf, "doc_id", "text").select(
-        "doc_id", "text", X.pack_findings(t, N.gold, "finding_type").alias("g"),
-        *M.text_type_counts(t, N),
-    )
-    open_ = F.create_map(*[
-        x for ft in L.FINDING_TYPES for x in (
-            F.lit(ft),
-            F.greatest(F.lit(0), F.col(f"g_{ft}") - F.col(f"p_{ft}"))
-            if ft in L.SPECIFIC_TYPES else F.col(f"g_{ft}"),
+    flag_patterns = {p.finding_type: p.pattern for p in N.flags}
+
+    def left_over(p):
+        """First max(0, gold - predicted) findings of a type (all of them for ``other``)."""
+        found = X.all_matches(t, p.pattern, 1)
+        n = F.size(found)
+        if p.finding_type in L.SPECIFIC_TYPES:
+            n = F.greatest(F.lit(0), n - F.regexp_count(t, F.lit(flag_patterns[p.finding_type])))
+        return F.transform(
+            F.slice(found, F.lit(1), n),
+            lambda x: F.struct(F.lit(p.finding_type).alias("finding_type"), x.alias("quote")),
         )
-    ])
-    d = d.where(F.size("g") > 0).withColumn("open", open_)
-    # the position within its type decides whether a finding is left over
-    left = F.filter("g", lambda f: f["idx"] <= F.col("open")[f["finding_type"]])
-    u = d.select("doc_id", X.normalize_text(t).alias("t"), left.alias("g"))
-    u = u.select("doc_id", "t", F.explode("g").alias("f")).select(
-        "doc_id", "f.finding_type", "f.quote", "t"
-    )
+
+    u = documents(spark, sf, "doc_id", "text").select(
+        "doc_id", X.normalize_text(t).alias("t"),
+        F.explode(F.concat(*[left_over(p) for p in N.gold])).alias("f"),
+    ).select("doc_id", "f.*", "t")
     u = M.contained(u, "t", "quote", "hit").drop("t")
     sev = table(spark, sf, "labels").where((F.col("quality") == 0) | (F.col("toxic") == 1))
     u = u.join(sev.select("doc_id"), "doc_id")
