@@ -65,7 +65,7 @@ def decision_manifest(spark: SparkSession, path: str) -> DataFrame:
 
     The layout follows from which keys are present, even when their value is empty.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(
+    raw = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"),
         F.from_json("value", "map<string,string>").alias("m"),
     )
@@ -100,7 +100,7 @@ def read_specifications(
     spark: SparkSession, glob: str, id_pattern: str = r"/([^/]+)/tz\.md$"
 ) -> DataFrame:
     """Folder-per-notice texts; undecodable bytes become the replacement character."""
-    raw = spark.read.option("wholetext", True).text(glob)
+    raw = spark.read.text(glob, wholetext=True)
     return raw.select(
         F.regexp_extract("_metadata.file_path", id_pattern, 1).alias("notice_id"),
         F.make_valid_utf8("value").alias("text"),
@@ -117,5 +117,5 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_hints(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object of key to text, as (key, hint) rows."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "hint"))

@@ -42,7 +42,7 @@ def test_decision_layouts(spark, tmp_path):
 def test_specification_folders(spark, tmp_path):
     d = tmp_path / "0001"
     d.mkdir()
-    (d / "tz.md").write_bytes("описание ".encode() + b"\xff")
+    (d / "tz.md").write_bytes("описание\n".encode() + b"\xff")
     r = RD.read_specifications(spark, str(tmp_path / "*" / "tz.md")).first()
     assert r.notice_id == "0001" and r.text.endswith("�")
 
