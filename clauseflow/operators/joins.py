@@ -28,10 +28,11 @@ def containment_join(
 ) -> DataFrame:
     """(quote key, document key) where the normalised quote is a substring of the document.
 
-    A contained quote shares every inner word 5-gram with the document, so one 5-gram of the
-    quote (its words 2 to 6; the first word may be cut) serves as an equi-join key and the
-    substring test runs only on candidates.  Quotes with fewer than seven words have no safe
-    inner 5-gram and are tested against each document directly.
+    The inner words of a contained quote are whole words of the document (its first and last
+    word may be cut), so they give an equi-join key and the substring test runs only on
+    candidates: the 5-gram of words 2 to 6 for quotes of seven or more words, word 2 for
+    quotes of three to six.  One- and two-word quotes have no safe inner word and are tested
+    against each document; where there are none, AQE drops that branch.
     """
     q = quotes.select(quote_key, normalize_text(F.col(quote_text)).alias("_q")).where(
         F.length("_q") > 0
@@ -43,22 +44,24 @@ def containment_join(
         F.when(
             F.size(toks) >= SHINGLE + 2,
             F.xxhash64(*[F.get(toks, F.lit(1 + k)) for k in range(SHINGLE)]),
-        ),
-    )
-    long_q = q.where(F.col("_n") >= SHINGLE + 2)
-    candidates = (
-        shingle_rows(d, doc_key, "_d")
-        .join(long_q.select(quote_key, "_h"), "_h")
-        .select(quote_key, doc_key)
-        .distinct()
+        ).when(F.size(toks) >= 3, F.xxhash64(F.get(toks, F.lit(1)))),
     )
+    long_q, mid_q = q.where(F.col("_n") >= SHINGLE + 2), q.where(F.col("_n").between(3, SHINGLE + 1))
+    words = d.select(
+        doc_key, F.explode(F.array_distinct(all_matches(F.col("_d"), TOKEN))).alias("_w")
+    ).select(doc_key, F.xxhash64("_w").alias("_h"))
+
+    def candidates(rows: DataFrame, part: DataFrame) -> DataFrame:
+        return rows.join(part.select(quote_key, "_h"), "_h").select(quote_key, doc_key).distinct()
+
+    both = candidates(shingle_rows(d, doc_key, "_d"), long_q).unionByName(candidates(words, mid_q))
     by_key = (
-        candidates.join(d, doc_key)
-        .join(long_q.select(quote_key, "_q"), quote_key)
+        both.join(d, doc_key)
+        .join(q.select(quote_key, "_q"), quote_key)
         .where(F.contains("_d", "_q"))
         .select(quote_key, doc_key)
     )
-    short_q = q.where(F.col("_n") < SHINGLE + 2).select(quote_key, "_q")
+    short_q = q.where(F.col("_n") < 3).select(quote_key, "_q")
     direct = d.join(short_q, F.contains("_d", "_q")).select(quote_key, doc_key)
     return by_key.unionByName(direct)
 

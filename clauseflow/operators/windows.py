@@ -60,6 +60,33 @@ def ordered_index(
     )
 
 
+def even_buckets(
+    df: DataFrame, value: str, tie: str, descending: bool = False, parts: int = 128
+) -> Column:
+    """Bucket for ``ordered_index`` over (value, tie) with about equal row counts.
+
+    Split points come from approximate percentiles (a bounded sketch).  A value so frequent
+    that it is itself a split gets buckets of its own, cut further along ``tie``, so neither
+    a crowded range nor one hot value ends up in a single task.
+    """
+    probs = [i / parts for i in range(1, parts)]
+    got = df.agg(
+        F.percentile_approx(value, probs, 10_000).alias("v"),
+        F.percentile_approx(tie, probs, 10_000).alias("t"),
+    ).first()
+    v, t = sorted(set(got["v"] or [])), sorted(set(got["t"] or []))
+
+    def below(splits: list, c: str) -> Column:
+        if not splits:
+            return F.lit(0)
+        return F.size(F.filter(F.array(*[F.lit(x) for x in splits]), lambda s: s < F.col(c)))
+
+    on_split = F.col(value).isin(v) if v else F.lit(False)
+    major = 2 * below(v, value) + on_split.cast("int")
+    minor = F.when(on_split, below(t, tie)).otherwise(F.lit(0))
+    return F.struct((-major if descending else major).alias("major"), minor.alias("minor"))
+
+
 def systematic_sample(indexed: DataFrame, n: int, idx: str = "row_idx", total: str = "n_rows") -> DataFrame:
     """Rows at round(i * N / n), half to even, i = 0..n-1; everything when N <= n."""
     step = F.col(total) / F.lit(float(n))

@@ -65,7 +65,8 @@ def picked_sql(n: int) -> str:
 SELECT doc_id, row_idx, n_rows FROM (SELECT doc_id, {SYS_SQL.format(part='', order='n_chars DESC, doc_id')} FROM documents) WHERE {picked_sql(25)}""")
 def w05(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "n_chars")
-    idx = WI.ordered_index(d, [F.desc("n_chars"), F.asc("doc_id")], -F.floor(F.col("n_chars") / 8))
+    bucket = WI.even_buckets(d, "n_chars", "doc_id", descending=True)
+    idx = WI.ordered_index(d, [F.desc("n_chars"), F.asc("doc_id")], bucket)
     return WI.systematic_sample(idx, 25).select("doc_id", "row_idx", "n_rows")
 
 
@@ -170,9 +171,8 @@ def w12(spark, sf):
     s = scoped_events(spark, sf).where(F.col("has_docs") & F.col("scope_tag").isin(*names)).select(
         "event_id", "scope_tag", "value"
     )
-    idx = WI.ordered_index(
-        s, [F.desc("value"), F.asc("event_id")], -F.floor(F.col("value") / 4), ["scope_tag"]
-    )
+    bucket = WI.even_buckets(s, "value", "event_id", descending=True)
+    idx = WI.ordered_index(s, [F.desc("value"), F.asc("event_id")], bucket, ["scope_tag"])
     picks = None
     for name, n in POOLS:
         part = WI.systematic_sample(idx.where(F.col("scope_tag") == name), n)
