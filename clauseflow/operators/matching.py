@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from clauseflow import lexicon as L
 from clauseflow.functions import text as X
 from clauseflow.lexicon import LexiconPack
+from clauseflow.session import literal_table
 
 PAIR = "array<struct<gold_idx:int,pred_idx:int,sem:double,ent:double,cr:double>>"
 
@@ -94,7 +95,7 @@ def type_counts(gold: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame
 def synonyms(spark: SparkSession, table: dict[str, tuple[str, ...]]) -> DataFrame:
     """Directed synonym pairs; at most 7 x 7 rows, so always safe to broadcast."""
     rows = [(g, p) for g, ps in table.items() for p in dict.fromkeys((g, *ps))]
-    return spark.createDataFrame(rows, "finding_type string, flag_type string")
+    return literal_table(spark, rows, ("finding_type", "flag_type"))
 
 
 def fuzzy_type_match(gold_type: Column, pred_type: Column, table=L.MATCHER_SYNONYMS) -> Column:
@@ -278,17 +279,14 @@ def fuzzy_containment(doc_norm: pd.Series, quote_norm: pd.Series) -> pd.Series:
 def contained(df: DataFrame, doc_norm: str, quote: str, out: str) -> DataFrame:
     """Add the boolean ``out``: exact substring first, fuzzy windows for the rest.
 
-    The exact test is native; only rows it leaves open carry their text to Python.
+    The exact test is native.  The document column ends here: only rows the exact test
+    leaves open carry their text on to Python.
     """
     exact = X.exact_containment(F.col(doc_norm), F.col(quote))
     q = X.normalize_text(F.coalesce(F.col(quote), F.lit("")))
     staged = df.withColumn("_exact", exact).withColumn("_q", q)
     open_ = ~F.col("_exact") & (F.length("_q") >= L.FUZZY_QUOTE_MIN_CHARS)
-    staged = staged.withColumn(
-        out,
-        F.col("_exact")
-        | fuzzy_containment(
-            F.when(open_, F.col(doc_norm)), F.when(open_, F.col("_q"))
-        ),
-    )
-    return staged.drop("_exact", "_q")
+    staged = staged.withColumn("_doc", F.when(open_, F.col(doc_norm))).drop(doc_norm)
+    staged = staged.withColumn("_q", F.when(F.col("_doc").isNotNull(), F.col("_q")))
+    staged = staged.withColumn(out, F.col("_exact") | fuzzy_containment("_doc", "_q"))
+    return staged.drop("_exact", "_q", "_doc")

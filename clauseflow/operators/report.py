@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clauseflow import lexicon as L
 from clauseflow.functions.text import collapse_spaces
+from clauseflow.session import literal_table
 
 
 def finding_key(f: Column) -> Column:
@@ -104,8 +105,8 @@ def _scored(df: DataFrame) -> DataFrame:
 
 def templates(spark: SparkSession) -> DataFrame:
     """Recommendation templates: seven rows, always safe to broadcast."""
-    return spark.createDataFrame(
-        list(L.RECOMMENDATIONS), "flag_type string, title string, fix string, law_ref string"
+    return literal_table(
+        spark, list(L.RECOMMENDATIONS), ("flag_type", "title", "fix", "law_ref")
     )
 
 

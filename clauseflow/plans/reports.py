@@ -345,20 +345,24 @@ def g10(spark, sf):
 
     def left_over(p):
         """First max(0, gold - predicted) findings of a type (all of them for ``other``)."""
-        found = X.all_matches(t, p.pattern, 1)
-        n = F.size(found)
+        found = F.col(f"m_{p.finding_type}")
         if p.finding_type in L.SPECIFIC_TYPES:
-            n = F.greatest(F.lit(0), n - F.regexp_count(t, F.lit(flag_patterns[p.finding_type])))
+            seen = F.regexp_count(t, F.lit(flag_patterns[p.finding_type]))
+            found = F.slice(found, F.lit(1), F.greatest(F.lit(0), F.size(found) - seen))
         return F.transform(
-            F.slice(found, F.lit(1), n),
-            lambda x: F.struct(F.lit(p.finding_type).alias("finding_type"), x.alias("quote")),
+            found, lambda x: F.struct(F.lit(p.finding_type).alias("finding_type"), x.alias("quote"))
         )
 
-    u = documents(spark, sf, "doc_id", "text").select(
-        "doc_id", X.normalize_text(t).alias("t"),
-        F.explode(F.concat(*[left_over(p) for p in N.gold])).alias("f"),
-    ).select("doc_id", "f.*", "t")
-    u = M.contained(u, "t", "quote", "hit").drop("t")
+    # matches become columns first, so each pattern runs once over the text
+    m = documents(spark, sf, "doc_id", "text").select(
+        "doc_id", "text",
+        *[X.all_matches(t, p.pattern, 1).alias(f"m_{p.finding_type}") for p in N.gold],
+    )
+    m = m.select("doc_id", "text", F.concat(*[left_over(p) for p in N.gold]).alias("open"))
+    # the text is normalised below the explode: beside it, it would run once per finding
+    m = m.select("doc_id", F.when(F.size("open") > 0, X.normalize_text(t)).alias("t"), "open")
+    u = m.select("doc_id", "t", F.explode("open").alias("f")).select("doc_id", "f.*", "t")
+    u = M.contained(u, "t", "quote", "hit")
     sev = table(spark, sf, "labels").where((F.col("quality") == 0) | (F.col("toxic") == 1))
     u = u.join(sev.select("doc_id"), "doc_id")
     kind = (

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "clauseflow", cpus: str | None = None) -> SparkSession:
@@ -58,6 +58,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """Small fixed table as literals of the plan (no Python worker, no scan)."""
+    items = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows])
+    return spark.range(1).select(F.inline(items))
+
+
 def spread(df: DataFrame, *keys) -> DataFrame:
     """Give CPU-heavy text work every core when the input has too few splits.
 
