@@ -276,6 +276,22 @@ def fuzzy_containment(doc_norm: pd.Series, quote_norm: pd.Series) -> pd.Series:
     )
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def contained_each(doc_norm: pd.Series, quotes_norm: pd.Series) -> pd.Series:
+    """Citation containment of all quotes of one document, which travels once."""
+
+    def hit(q: str, d: str) -> bool:
+        if not q or not d:
+            return False
+        return q in d or (
+            len(q) >= L.FUZZY_QUOTE_MIN_CHARS and _fuzzy_tail(q, d, L.FUZZY_QUOTE_RATIO)
+        )
+
+    return pd.Series(
+        [[hit(q, d) for q in (qs if qs is not None else [])] for d, qs in zip(doc_norm, quotes_norm)]
+    )
+
+
 def contained(df: DataFrame, doc_norm: str, quote: str, out: str) -> DataFrame:
     """Add the boolean ``out``: exact substring first, fuzzy windows for the rest.
 

@@ -359,10 +359,13 @@ def g10(spark, sf):
         *[X.all_matches(t, p.pattern, 1).alias(f"m_{p.finding_type}") for p in N.gold],
     )
     m = m.select("doc_id", "text", F.concat(*[left_over(p) for p in N.gold]).alias("open"))
-    # the text is normalised below the explode: beside it, it would run once per finding
+    # the quotes are tested inside the row: an explode would copy the text per finding
     m = m.select("doc_id", F.when(F.size("open") > 0, X.normalize_text(t)).alias("t"), "open")
-    u = m.select("doc_id", "t", F.explode("open").alias("f")).select("doc_id", "f.*", "t")
-    u = M.contained(u, "t", "quote", "hit")
+    quotes = F.transform("open", lambda o: X.normalize_text(o["quote"]))
+    m = m.withColumn("hits", M.contained_each(F.col("t"), quotes)).select("doc_id", "open", "hits")
+    u = m.select("doc_id", F.explode(F.arrays_zip("open", "hits")).alias("z")).select(
+        "doc_id", "z.open.finding_type", "z.open.quote", F.col("z.hits").alias("hit")
+    )
     sev = table(spark, sf, "labels").where((F.col("quality") == 0) | (F.col("toxic") == 1))
     u = u.join(sev.select("doc_id"), "doc_id")
     kind = (
