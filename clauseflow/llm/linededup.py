@@ -91,7 +91,9 @@ def dedup_lines(
             )
 
     marked = cut_lineage(narrow.mapInArrow(suspects, f"doc {id_type.simpleString()}, digest binary"))
-    repeated = (
+    # Stored, so that the join below has an exchange on both sides and Spark can split a line
+    # that a large part of the documents share.
+    repeated = cut_lineage(
         marked.groupBy("digest")
         .agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"))
         .where("keeper <> last")

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from clauseflow.llm.bpe import encode_texts
+from clauseflow.llm.decontaminate import mark_contamination
 from clauseflow.llm.linededup import dedup_lines
+from clauseflow.llm.tokencount import count_tokens
 from clauseflow.plans.registry import table
+from clauseflow.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +27,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; the package that holds them is a parameter here."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def sha(text) -> F.Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -51,3 +62,63 @@ def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_lines(docs).select(
         "doc_id", "n_lines", "n_dropped", sha(F.col("kept_text")).alias("kept_sha256")
     )
+
+
+@query("op3_benchmark_decontamination", f"""
+  WITH dw AS (
+    SELECT doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")},
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+  iw AS (
+    SELECT item_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")},
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+  windows AS (
+    SELECT DISTINCT item_id, least(len(w), 13) AS k,
+      array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS win
+    FROM iw, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS r(i) WHERE len(w) > 0),
+  sizes AS (SELECT DISTINCT k FROM windows),
+  places AS (
+    SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS win
+    FROM dw, sizes, unnest(range(1, len(w) - k + 2)) AS r(i) WHERE len(w) >= k),
+  found AS (SELECT DISTINCT doc_id, i, p.k, item_id FROM places p JOIN windows USING (win, k)),
+  hits AS (
+    SELECT doc_id, count(DISTINCT at)::BIGINT AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + k)) AS at FROM found) GROUP BY doc_id),
+  items AS (
+    SELECT doc_id, count(*)::BIGINT AS n_items,
+      sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256
+    FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
+    coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+  FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""")
+def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    marked = mark_contamination(docs, table(spark, sf, "benchmark").select("item_id", "text"))
+    return marked.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("hit_items").cast("long").alias("n_items"),
+        sha(F.array_join("hit_items", ",")).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+@query("op5_bpe_round_trip")
+def op5_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    coded = encode_texts(docs, tokenizer_file("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        sha(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    cache = scratch_path(spark, "token_counts")
+    counted = count_tokens(docs, tokenizer_file("word_bpe_49k.json"), cache)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
