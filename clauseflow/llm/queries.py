@@ -81,8 +81,8 @@ def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     FROM dw, sizes, unnest(range(1, len(w) - k + 2)) AS r(i) WHERE len(w) >= k),
   found AS (SELECT DISTINCT doc_id, i, p.k, item_id FROM places p JOIN windows USING (win, k)),
   hits AS (
-    SELECT doc_id, count(DISTINCT at)::BIGINT AS n_hit
-    FROM (SELECT doc_id, unnest(range(i, i + k)) AS at FROM found) GROUP BY doc_id),
+    SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY doc_id),
   items AS (
     SELECT doc_id, count(*)::BIGINT AS n_items,
       sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256
