@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clauseflow.llm.bpe import encode_texts
 from clauseflow.llm.decontaminate import mark_contamination
 from clauseflow.llm.linededup import dedup_lines
+from clauseflow.llm.substrings import dedup_substrings
 from clauseflow.llm.tokencount import count_tokens
 from clauseflow.plans.registry import table
 from clauseflow.session import scratch_path
@@ -122,3 +123,27 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     cache = scratch_path(spark, "token_counts")
     counted = count_tokens(docs, tokenizer_file("word_bpe_49k.json"), cache)
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query("op7_substring_dedup", """
+  WITH w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents),
+  places AS (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+    FROM w, unnest(range(1, len(w) - 33)) AS r(i) WHERE len(w) >= 35),
+  again AS (SELECT h FROM places GROUP BY h HAVING count(*) > 1),
+  starts AS (SELECT doc_id, i FROM places JOIN again USING (h)),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM starts),
+  words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
+  kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n
+    FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+  SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256
+  FROM w LEFT JOIN kept USING (doc_id)""")
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return dedup_substrings(docs).select(
+        "doc_id", "n_words", "n_removed", sha(F.col("kept_text")).alias("kept_sha256")
+    )
