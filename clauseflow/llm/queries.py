@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clauseflow.llm.bpe import encode_texts
 from clauseflow.llm.decontaminate import mark_contamination
+from clauseflow.llm.jaccard import Similarity, link_components
 from clauseflow.llm.linededup import dedup_lines
 from clauseflow.llm.substrings import dedup_substrings
 from clauseflow.llm.tokencount import count_tokens
@@ -147,3 +148,28 @@ def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_substrings(docs).select(
         "doc_id", "n_words", "n_removed", sha(F.col("kept_text")).alias("kept_sha256")
     )
+
+
+@query("op6_ngram_jaccard_join", f"""
+  WITH RECURSIVE w AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")},
+      '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  s AS MATERIALIZED (
+    SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS h
+    FROM w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS r(i) WHERE len(w) > 0),
+  n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  links AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (h)
+    JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+    WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+    HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+  reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM w
+    UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+  SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(b) AS component_id
+  FROM w JOIN reach ON a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+  GROUP BY w.doc_id, n""")
+def op6_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    linked = link_components(docs, sim=Similarity(n=4, num=85, den=100))
+    return linked.select("doc_id", "n_shingles", "component_id")
