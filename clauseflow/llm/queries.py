@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clauseflow.llm.bpe import encode_texts
 from clauseflow.llm.decontaminate import mark_contamination
 from clauseflow.llm.jaccard import Similarity, link_components
+from clauseflow.llm.langid import held_out, identify, learn
 from clauseflow.llm.linededup import dedup_lines
 from clauseflow.llm.substrings import dedup_substrings
 from clauseflow.llm.tokencount import count_tokens
@@ -173,3 +174,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     linked = link_components(docs, sim=Similarity(n=4, num=85, den=100))
     return linked.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    found = identify(docs.select("doc_id", "text"), learn(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
