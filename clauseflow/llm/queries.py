@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clauseflow.llm.bpe import encode_texts
 from clauseflow.llm.decontaminate import mark_contamination
+from clauseflow.llm.imatch import compare_with_edits, learn_lexicon
 from clauseflow.llm.jaccard import Similarity, link_components
 from clauseflow.llm.langid import held_out, identify, learn
 from clauseflow.llm.linededup import dedup_lines
@@ -181,3 +182,9 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     found = identify(docs.select("doc_id", "text"), learn(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_document_fingerprints")
+def op4_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return compare_with_edits(docs, learn_lexicon(docs))
