@@ -12,6 +12,7 @@ from clauseflow.llm.imatch import compare_with_edits, learn_lexicon
 from clauseflow.llm.jaccard import Similarity, link_components
 from clauseflow.llm.langid import held_out, identify, learn
 from clauseflow.llm.linededup import dedup_lines
+from clauseflow.llm.pages import extract
 from clauseflow.llm.substrings import dedup_substrings
 from clauseflow.llm.tokencount import count_tokens
 from clauseflow.plans.registry import table
@@ -188,3 +189,14 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
 def op4_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return compare_with_edits(docs, learn_lexicon(docs))
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return extract(pages).select(
+        "page_id",
+        "url",
+        F.col("main_text").alias("text"),
+        F.char_length("main_text").cast("long").alias("n_chars"),
+    )
