@@ -13,6 +13,7 @@ from clauseflow.llm.jaccard import Similarity, link_components
 from clauseflow.llm.langid import held_out, identify, learn
 from clauseflow.llm.linededup import dedup_lines
 from clauseflow.llm.pages import extract
+from clauseflow.llm.secrets import scan
 from clauseflow.llm.substrings import dedup_substrings
 from clauseflow.llm.tokencount import count_tokens
 from clauseflow.plans.registry import table
@@ -200,3 +201,14 @@ def op8_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
         F.col("main_text").alias("text"),
         F.char_length("main_text").cast("long").alias("n_chars"),
     )
+
+
+@query("op2_secret_scans")
+def op2_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return scan(docs).select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        sha(F.col("base")).alias("base_sha256"),
+        "spans",
+    )
