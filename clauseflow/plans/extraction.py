@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clauseflow import lexicon as L
 from clauseflow.functions import positional as Q, text as X
 from clauseflow.lexicon import NEUTRAL as N, python_pattern  # noqa: F401
 from clauseflow.plans.base import documents, gold, quoted, with_ctes
@@ -37,7 +38,7 @@ AROUND = (
 
 
 def brand_rows(spark, sf, sources=None, keep_text=False):
-    """Brand mentions per document; texts without a native candidate skip Python."""
+    """Brand mentions per document."""
     d = documents(spark, sf, "doc_id", "text").where(Q.brand_candidate(F.col("text"), N))
     d = d.withColumn("b", Q.brands(F.col("text"), N, sources))
     cols = ["doc_id"] + (["text"] if keep_text else [])
@@ -326,15 +327,33 @@ def t16(spark, sf):
     )
 
 
-@query("t17_mask_entities")
+def _masked_sql() -> str:
+    """Counts and blanked text, one kind after the other."""
+    sql = "SELECT doc_id, text AS t0, text FROM documents"
+    for i, p in enumerate(L.MASK_PATTERNS.values()):
+        sql = (
+            f"SELECT *, len(regexp_extract_all(t{i}, {q('(?i)' + p)})) AS n{i}, "
+            f"regexp_replace(t{i}, {q('(?i)' + p)}, '#', 'g') AS t{i + 1} FROM ({sql})"
+        )
+    return sql
+
+
+@query("t17_mask_entities", f"""
+SELECT doc_id, n0::INTEGER AS ids, n1::INTEGER AS inn, (n2 + n3 + n4)::INTEGER AS dates, n5::INTEGER AS orgs,
+  sha256(t6) AS blanked_sha, n0 + n1 + n5 > 0 AS changed FROM ({_masked_sql()})""")
 def t17(spark, sf):
-    d = documents(spark, sf, "doc_id", "text")
-    hit = F.col("text").rlike(r"[0-9]{10,}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2}")
-    m = Q.mask_entities(F.when(hit, F.col("text")), F.col("doc_id"))
-    return d.withColumn("m", m).select(
+    """Counts of the masked entities and what masking leaves; changed where it must change."""
+    d = documents(spark, sf, "doc_id", "text").select(
+        "doc_id",
+        "text",
+        Q.mask_entities(F.col("text"), F.col("doc_id")).alias("m"),
+        Q.blank_entities(F.col("text")).alias("b"),
+    )
+    certain = F.col("m.ids") + F.col("m.inn") + F.col("m.orgs") > 0
+    return d.select(
         "doc_id", "m.ids", "m.inn", "m.dates", "m.orgs",
-        F.sha2(F.coalesce(F.col("m.text"), F.col("text")), 256).alias("masked_sha"),
-        (F.coalesce(F.col("m.text"), F.col("text")) != F.col("text")).alias("changed"),
+        F.sha2("b.text", 256).alias("blanked_sha"),
+        (certain & (F.col("m.text") != F.col("text"))).alias("changed"),
     )
 
 
