@@ -5,18 +5,10 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from clauseflow.functions.scalar import ratio
 
-EXACT_GROUP_LIMIT = 20_000
-
-
-def draw_index(round_: Column, slot: Column, n: Column) -> Column:
-    """Deterministic draw from 0..n-1 shared by every engine with md5."""
-    h = F.md5(F.concat_ws(":", round_.cast("string"), slot.cast("string")))
-    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), n)
-
 
 def cluster_bootstrap(
     counts: DataFrame, group: str, sums: list[str], metrics: dict[str, Column],
@@ -24,29 +16,15 @@ def cluster_bootstrap(
 ) -> DataFrame:
     """Cluster bootstrap of metrics that are formulas over additive counts.
 
-    Rows are first folded to one row per group, so the resampling input is the number of
-    groups.  Up to ``EXACT_GROUP_LIMIT`` groups every round draws with replacement through
-    an indexed join; beyond it each group gets an independent Poisson(1) weight per round,
-    which needs no join and aggregates map-side.
+    Rows are first folded to one row per group. Each group gets an independent Poisson(1)
+    weight in every round, drawn from a hash of both, so resampling needs no join, no order of
+    the groups and no group count, and aggregates map-side: one method at every size.
     Result: metric, point, lo, hi.
     """
     per = counts.groupBy(group).agg(*[F.sum(c).cast("double").alias(c) for c in sums])
-    n = per.count()
-    if n <= EXACT_GROUP_LIMIT:
-        spark = counts.sparkSession
-        order = Window.partitionBy(F.lit(0)).orderBy(group)
-        # at most EXACT_GROUP_LIMIT rows here, so one task numbers them
-        indexed = per.withColumn("_idx", (F.row_number().over(order) - 1).cast("long"))
-        draws = spark.range(rounds * n).select(
-            F.expr(f"id div {n}").alias("round"),
-            draw_index(F.expr(f"id div {n}"), F.expr(f"id % {n}"), F.lit(n)).alias("_idx"),
-        )
-        sample = draws.join(F.broadcast(indexed), "_idx")
-        weight = F.lit(1.0)
-    else:
-        sample = per.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-        sample = sample.withColumn("_w", poisson_weight(F.col("round"), F.col(group)))
-        weight = F.col("_w")
+    sample = per.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    sample = sample.withColumn("_w", poisson_weight(F.col("round"), F.col(group)))
+    weight = F.col("_w")
     boot = sample.groupBy("round").agg(*[F.sum(F.col(c) * weight).alias(c) for c in sums])
     lo, hi = alpha / 2, 1 - alpha / 2
     bounds = boot.select(*[m.alias(k) for k, m in metrics.items()]).agg(
@@ -68,15 +46,25 @@ def cluster_bootstrap(
     return point.crossJoin(bounds).select(F.inline(rows))
 
 
-def poisson_weight(round_: Column, key: Column) -> Column:
-    """Poisson(1) weight by inversion of a hash uniform."""
-    u = F.pmod(F.xxhash64(round_, key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    cut, total, expr = math.exp(-1.0), math.exp(-1.0), F.when(F.lit(False), F.lit(0))
-    for k in range(12):
-        expr = expr.when(u < total, F.lit(k))
-        cut /= k + 1
+def poisson_cuts(most: int = 12) -> list[float]:
+    """Upper ends of the Poisson(1) classes 0, 1, ..., most - 1."""
+    total, cut, ends = 0.0, math.exp(-1.0), []
+    for k in range(most):
         total += cut
-    return expr.otherwise(F.lit(12)).cast("double")
+        ends.append(total)
+        cut /= k + 1
+    return ends
+
+
+def poisson_weight(round_: Column, key: Column) -> Column:
+    """Poisson(1) weight by inversion of an md5 uniform, which every engine can repeat."""
+    h = F.md5(F.concat_ws(":", round_.cast("string"), key.cast("string")))
+    u = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    expr = F.when(F.lit(False), F.lit(0))
+    ends = poisson_cuts()
+    for k, end in enumerate(ends):
+        expr = expr.when(u < end, F.lit(k))
+    return expr.otherwise(F.lit(len(ends))).cast("double")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -172,10 +172,14 @@ def p11(spark, sf):
     )
 
 
+#: The texts stand so many times one after the other, so that some pass the limit.
+LONG_TEXT = 10
+
+
 @query("p12_truncate", f"""
-WITH t AS (SELECT d.text, t.* FROM documents d JOIN (
+WITH t AS (SELECT repeat(d.text, {LONG_TEXT}) AS text, t.* FROM documents d JOIN (
    SELECT *, {_TIER_CASE} AS tier FROM ({_TIER})) t USING (doc_id))
-SELECT doc_id, md5(CASE WHEN length(text) > 2500 THEN substr(text, 1, 2500) || {quoted(L.TRUNCATION_MARK)}
+SELECT doc_id, md5(CASE WHEN length(text) > {L.DOC_CHAR_LIMIT} THEN substr(text, 1, {L.DOC_CHAR_LIMIT}) || {quoted(L.TRUNCATION_MARK)}
   ELSE text END) AS text_md5,
   CASE tier WHEN 'thin' THEN {quoted(L.TIER_INSTRUCTIONS['thin'])}
    WHEN 'chunking_risk' THEN {quoted(L.TIER_INSTRUCTIONS['chunking_risk'])} ELSE '' END AS instruction
@@ -186,7 +190,7 @@ def p12(spark, sf):
     tier = S.quality_tier(F.length("text"), not_tz, F.lit(False))["tier"]
     return d.select(
         "doc_id",
-        F.md5(S.truncated(F.col("text"), 2500)).alias("text_md5"),
+        F.md5(S.truncated(F.repeat("text", F.lit(LONG_TEXT)), L.DOC_CHAR_LIMIT)).alias("text_md5"),
         S.tier_instruction(tier).alias("instruction"),
     )
 

@@ -74,15 +74,17 @@ def j03(spark, sf):
 
 J04_SQL = """SELECT l.doc_id, CASE WHEN p.html IS NULL THEN 'skipped_no_main' WHEN c.text IS NULL THEN 'kept_no_side'
    ELSE 'kept' END AS state, length(p.html)::BIGINT AS main_chars FROM labels l LEFT JOIN pages p ON p.page_id = l.doc_id
-   LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 1) c ON c.conv_id = l.doc_id"""
+   LEFT JOIN (SELECT conv_id, sum(length(text)) AS text FROM conversations GROUP BY conv_id) c ON c.conv_id = l.doc_id"""
 
 
 def attached(spark, sf):
     main = table(spark, sf, "pages").select(
         F.col("page_id").alias("doc_id"), F.length("html").cast("long").alias("main_chars")
     )
-    side = table(spark, sf, "conversations").where("turn = 1").select(
-        F.col("conv_id").alias("doc_id"), F.length("text").alias("side_chars")
+    # all turns of a conversation make one side document
+    side = (
+        table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id"))
+        .agg(F.sum(F.length("text").cast("long")).alias("side_chars"))
     )
     return attach(table(spark, sf, "labels").select("doc_id"), main, side, "doc_id",
                   "main_chars", "side_chars")
@@ -387,6 +389,11 @@ BOOT_METRICS_SQL = {
 _SUM_COLS = "sum(m) AS m, sum(g) AS g, sum(p) AS p, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn"
 
 
+_WEIGHTED = ", ".join(f"sum({c} * w) AS {c}" for c in ("m", "g", "p", "tp", "fp", "fn", "tn"))
+_CUTS = ST.poisson_cuts()
+_POISSON_SQL = "CASE " + " ".join(f"WHEN u < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(_CUTS)) + f" ELSE {len(_CUTS)} END"
+
+
 @query("r01_cluster_bootstrap", with_ctes("records", f"""
 WITH pg AS (SELECT notice_id, sum(CASE WHEN verdict = '{POS}' THEN matched_specific ELSE 0 END)::DOUBLE AS m,
    sum(CASE WHEN verdict = '{POS}' THEN n_gold_specific ELSE 0 END)::DOUBLE AS g,
@@ -394,10 +401,10 @@ WITH pg AS (SELECT notice_id, sum(CASE WHEN verdict = '{POS}' THEN matched_speci
    count(*) FILTER (verdict = '{POS}' AND pred_strict = '{POS}')::DOUBLE AS tp, count(*) FILTER (verdict = '{NEG}' AND pred_strict = '{POS}')::DOUBLE AS fp,
    count(*) FILTER (verdict = '{POS}' AND pred_strict = '{NEG}')::DOUBLE AS fn, count(*) FILTER (verdict = '{NEG}' AND pred_strict = '{NEG}')::DOUBLE AS tn
   FROM records GROUP BY notice_id),
-i AS (SELECT *, row_number() OVER (ORDER BY notice_id) - 1 AS idx FROM pg), n AS (SELECT count(*) AS n FROM pg),
-dr AS (SELECT r.range AS round, ('0x' || substr(md5(r.range || ':' || s.range), 1, 8))::BIGINT % n AS idx
-  FROM n, range(0, {L.BOOTSTRAP_ROUNDS}) r, (SELECT unnest(range(0, (SELECT n FROM n))) AS range) s),
-bt AS (SELECT round, {_SUM_COLS} FROM dr JOIN i USING (idx) GROUP BY round), pt AS (SELECT {_SUM_COLS} FROM pg)
+dr AS (SELECT r.range AS round, pg.*, ('0x' || substr(md5(r.range || ':' || notice_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  FROM pg, range(0, {L.BOOTSTRAP_ROUNDS}) r),
+w AS (SELECT *, {_POISSON_SQL} AS w FROM dr),
+bt AS (SELECT round, {_WEIGHTED} FROM w GROUP BY round), pt AS (SELECT {_SUM_COLS} FROM pg)
 """ + " UNION ALL ".join(
     f"SELECT '{k}' AS metric, (SELECT {r6(e)} FROM pt) AS point, {r6(f'quantile_cont({e}, 0.025)')} AS lo, {r6(f'quantile_cont({e}, 0.975)')} AS hi FROM bt"
     for k, e in BOOT_METRICS_SQL.items())))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,7 +30,8 @@ def build_session(app: str = "clauseflow", cpus: str | None = None) -> SparkSess
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is used.
+    Only where the setting is absent on a single machine (tests) a temporary folder is used;
+    a cluster without the setting is an error, since its machines share no such folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -37,6 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(made)
     return made

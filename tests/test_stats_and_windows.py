@@ -30,9 +30,7 @@ def test_mcnemar_p_value(spark):
     assert r.p_value == pytest.approx(math.erfc(math.sqrt(19 * 19 / 80)), rel=1e-9)
 
 
-@pytest.mark.parametrize("limit", [20_000, 5])
-def test_bootstrap_bounds_enclose_point(spark, monkeypatch, limit):
-    monkeypatch.setattr(ST, "EXACT_GROUP_LIMIT", limit)
+def test_bootstrap_bounds_enclose_point(spark):
     rng = random.Random(1)
     rows = [(f"g{i % 40}", int(rng.random() < 0.6), 1) for i in range(800)]
     df = spark.createDataFrame(rows, "grp string, hit int, n int")
