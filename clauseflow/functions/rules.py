@@ -56,7 +56,7 @@ def brand_rule(phrases=BENCHMARK_PHRASES) -> Rule:
             open_,
             lambda b: finding(
                 "brand_without_equivalent", 0.95, b["quote"],
-                F.concat(F.lit(T["brand_head"]), b["name"], F.lit(T["brand_tail"])),
+                F.replace(F.lit(T["brand"]), F.lit("{}"), b["name"]),
                 F.create_map(F.lit("brand"), b["name"]),
             ),
         )
@@ -84,7 +84,7 @@ def restrictive_phrases() -> Column:
         lambda p: finding(
             "restrictive_requirement", 0.7,
             F.when(F.length(p["quote"]) > 0, p["quote"]).otherwise(p["phrase"]),
-            F.concat(F.lit(T["phrase_head"]), p["phrase"], F.lit(T["phrase_tail"])),
+            F.replace(F.lit(T["phrase"]), F.lit("{}"), p["phrase"]),
             F.create_map(F.lit("phrase"), p["phrase"]),
         ),
     )

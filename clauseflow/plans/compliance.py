@@ -111,10 +111,10 @@ def _one(cond: str, item: str) -> str:
 
 RULE_SQL = {
     "u01": f"list_transform(list_filter(brands, lambda b: NOT b.guarded AND NOT ({_YARD_SQL})), lambda b: "
-           + _f("brand_without_equivalent", 0.95, "b.quote", f"{q(T['brand_head'])} || b.name || {q(T['brand_tail'])}", "'brand'", "b.name") + ")",
+           + _f("brand_without_equivalent", 0.95, "b.quote", f"replace({q(T['brand'])}, '{{}}', b.name)", "'brand'", "b.name") + ")",
     "u02": "list_transform(list_filter(phrases, lambda p: len(list_filter(brands, lambda b: b.guarded AND contains(lower(p.phrase), lower(b.name)))) = 0), lambda p: "
            + _f("restrictive_requirement", 0.7, "CASE WHEN length(p.quote) > 0 THEN p.quote ELSE p.phrase END",
-                f"{q(T['phrase_head'])} || p.phrase || {q(T['phrase_tail'])}", "'phrase'", "p.phrase") + ")",
+                f"replace({q(T['phrase'])}, '{{}}', p.phrase)", "'phrase'", "p.phrase") + ")",
     "u03": _one("NOT has_acceptance", _f("missing_acceptance_terms", 0.85, text=q(T["acceptance"]))),
     "u04": _one(f"len({_MISS}) > 0", _f("incomplete_description", 0.8, text=f"{q(T['missing_head'])} || {_MISS_TXT}", key="'missing'", value=_MISS_TXT)),
     "u05": f"CASE WHEN ktru_code IS NULL THEN [{_f('ktru_mismatch', 0.5, text=q(T['no_code']))}] WHEN has_additional THEN "
