@@ -89,6 +89,34 @@ def t02(spark, sf):
     )
 
 
+_EDGES = ".,;:()[]«»\""
+_QUOTED_OK = f"""length(c) >= 3 AND upper(c) NOT IN ({_STOP})
+  AND lower(trim(c, '{_EDGES}')) NOT IN ({", ".join(q(r) for r in N.role_words)})
+  AND NOT ({" OR ".join(f"contains(lower(c), {q(o)})" for o in N.org_fragments)})"""
+_NAME = "trim(regexp_extract(m, " + q(N.quoted_name) + ", 1))"
+# every mention (doc_id, text, c, pos) of the four kinds of evidence; equal mentions count once
+BRAND_SQL = f"""
+  WITH bm AS ({_pieces(N.brand_marker, 'true')}),
+  bt AS (SELECT doc_id, text, e, substr(text, e + 1, 80) AS tail FROM bm),
+  bn AS (SELECT *, trim(regexp_extract(tail, {q(N.quoted_name)}, 1)) AS c,
+    length(regexp_split_to_array(tail, {q(N.quoted_name)})[1]) AS ahead FROM bt),
+  named AS (SELECT doc_id, text, c, (e + ahead)::BIGINT AS pos, e FROM bn WHERE {_QUOTED_OK}),
+  coded AS (SELECT doc_id, text, trim(regexp_extract(tail, {q(N.model_code)}, 1)) AS c,
+    (e + length(regexp_split_to_array(tail, {q(N.model_code)})[1]) + length(regexp_extract(tail, {q(N.model_code)}, 0))
+      - length(regexp_extract(tail, {q(N.model_code)}, 1)))::BIGINT AS pos
+    FROM bt WHERE regexp_matches(tail, {q(N.model_code)}) AND (doc_id, e) NOT IN (SELECT doc_id, e FROM named)),
+  quoted AS (SELECT doc_id, text, {_NAME} AS c, s::BIGINT AS pos FROM ({_pieces(N.quoted_name, 'true')})),
+  signed AS (SELECT doc_id, text, s,
+    trim(regexp_extract(substr(text, greatest(0, s - 40) + 1, s - greatest(0, s - 40)), '([^\\s]+)\\s*$', 1), '{_EDGES}') AS c
+    FROM ({_pieces(N.sigil, 'true')}))
+  SELECT doc_id, text, c, pos FROM named
+  UNION SELECT doc_id, text, c, pos FROM coded WHERE {MODEL_FILTER}
+  UNION SELECT doc_id, text, c, pos FROM quoted WHERE {_QUOTED_OK} AND
+    (regexp_full_match(c, '[A-Z][A-Za-z0-9-]{{2,}}') OR regexp_full_match(c, '[A-Z][A-Za-z0-9-]+ +[A-Z0-9][A-Za-z0-9-]*(?: +[^ ]+)?'))
+  UNION SELECT doc_id, text, c, pos FROM ({MODEL_POS_SQL}) WHERE {MODEL_FILTER}
+  UNION SELECT doc_id, text, c, (s - length(c))::BIGINT AS pos FROM signed WHERE length(c) >= 2 AND upper(c) NOT IN ({_STOP})"""
+
+
 @query("t03_model_codes", f"""
 SELECT doc_id, c AS code FROM (SELECT doc_id, trim(unnest(regexp_extract_all(text, {q(N.model_code)}, 1))) AS c
   FROM documents) WHERE {MODEL_FILTER}""")
@@ -153,7 +181,7 @@ def t07(spark, sf):
 
 @query("t08_regex_record", f"""
 WITH f AS ({T07_SQL}), b AS (SELECT doc_id, c, {GUARD} AS guarded, {AROUND} AS evidence
-   FROM ({MODEL_POS_SQL}) WHERE {MODEL_FILTER})
+   FROM ({BRAND_SQL}))
 SELECT f.doc_id, count(c) AS brand_count, count(c) FILTER (NOT guarded) AS unguarded,
   any_value(equivalent_count) > 0 AS has_equivalent_clause, any_value(standard_count) AS standard_count,
   any_value(has_catalogue_code) AS has_catalogue_code, any_value(restrictive_count) AS restrictive_count,
@@ -162,8 +190,7 @@ FROM f LEFT JOIN b USING (doc_id) GROUP BY f.doc_id""")
 def t08(spark, sf):
     d = documents(spark, sf, "doc_id", "text")
     # the row itself carries the text, so flags are built without a join
-    text = F.when(Q.brand_candidate(F.col("text"), N), F.col("text"))
-    d = d.withColumn("b", Q.brands(text, N, ("latin_model",)))
+    d = d.withColumn("b", Q.brands(F.col("text"), N))
     open_ = F.filter("b", lambda b: ~b["guarded"])
     quotes = F.transform(open_, lambda b: X.quote_around(F.col("text"), b["pos"]))
     return d.select(
@@ -179,7 +206,7 @@ def t08(spark, sf):
 
 
 @query("t09_run_counters", f"""
-WITH f AS ({T07_SQL}), b AS (SELECT DISTINCT doc_id FROM ({MODEL_POS_SQL}) WHERE {MODEL_FILTER})
+WITH f AS ({T07_SQL}), b AS (SELECT DISTINCT doc_id FROM ({BRAND_SQL}))
 SELECT count(*) AS processed, count(b.doc_id) AS with_brand,
   count(*) FILTER (has_catalogue_code) AS with_catalogue,
   count(*) FILTER (restrictive_count > 0) AS with_restrictive, count(*) FILTER (equivalent_count > 0) AS with_equivalent
@@ -189,7 +216,7 @@ def t09(spark, sf):
     t = F.col("text")
     return d.agg(
         F.count(F.lit(1)).alias("processed"),
-        F.count_if(F.size(X.model_codes(t, N)) > 0).alias("with_brand"),
+        F.count_if(F.size(Q.brands(t, N)) > 0).alias("with_brand"),
         F.count_if(t.rlike(N.catalogue)).alias("with_catalogue"),
         F.count_if(t.rlike(N.restrictive)).alias("with_restrictive"),
         F.count_if(t.rlike(N.equivalent)).alias("with_equivalent"),
@@ -285,15 +312,13 @@ def t14(spark, sf):
 
 
 @query("t15_candidate_prefilter", f"""
-WITH b AS (SELECT doc_id, count(DISTINCT c) FILTER (NOT {GUARD}) AS n FROM ({MODEL_POS_SQL})
-   WHERE {MODEL_FILTER} GROUP BY doc_id)
+WITH b AS (SELECT doc_id, count(DISTINCT c) FILTER (NOT {GUARD}) AS n FROM ({BRAND_SQL}) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_unguarded, CASE WHEN coalesce(n, 0) = 0 THEN 'not_established' END AS verdict,
   CASE WHEN coalesce(n, 0) = 0 THEN 0.85::DOUBLE END AS confidence
 FROM documents d LEFT JOIN b USING (doc_id)""")
 def t15(spark, sf):
     """Documents without an unguarded candidate get the constant result; the rest stay open."""
-    text = F.when(Q.brand_candidate(F.col("text"), N), F.col("text"))
-    d = documents(spark, sf, "doc_id", "text").withColumn("b", Q.brands(text, N, ("latin_model",)))
+    d = documents(spark, sf, "doc_id", "text").withColumn("b", Q.brands(F.col("text"), N))
     names = F.array_distinct(
         F.transform(F.filter("b", lambda b: ~b["guarded"]), lambda b: b["brand"])
     )
