@@ -31,13 +31,13 @@ dw AS (SELECT doc_id, term, tf * idf AS w FROM dt JOIN v USING (term)), qw AS (S
 dn AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM dw GROUP BY doc_id), qn AS (SELECT item_id, sqrt(sum(w * w)) AS l FROM qw GROUP BY item_id),
 s AS (SELECT item_id, doc_id, round(sum(dw.w * qw.w) / (any_value(dn.l) * any_value(qn.l)), 6) AS score
   FROM dw JOIN qw USING (term) JOIN dn USING (doc_id) JOIN qn USING (item_id) GROUP BY item_id, doc_id)
-SELECT item_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
+SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
 def v01(spark, sf):
-    # near copies of a text tie on the score; the ranked scores are what both sides agree on
+    # copies of a text tie on the score and rank by id
     return RT.tfidf_top_k(
         documents(spark, sf, "doc_id", "text"), "doc_id",
         table(spark, sf, "benchmark"), "item_id", "text", 5,
-    ).select("item_id", "score", "rank")
+    ).select("item_id", "doc_id", "score", "rank")
 
 
 MEAN_SQL = """
