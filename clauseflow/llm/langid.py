@@ -27,9 +27,10 @@ PER_LANGUAGE, TRAIN_BYTES = 1_500, 4_000
 EPOCHS, RATE, SEED = 6, 0.5, 20240601
 #: Share of the sample kept for calibration.
 CALIBRATION = 5
-#: Rejected: a score below that of all but this share of the calibration rows.
+#: Rejected: a score below that of all but this share of the calibration rows, and below so many
+#: times the score of a guess.
 REJECT_SHARE = 0.002
-REJECT_MOST = 0.5
+REJECT_GUESS = 1.4
 
 #: Bytes of letters are folded to lower case, digits and all other ASCII bytes are one boundary.
 FOLD = np.where(ALNUM, LOWER, np.uint8(0x20)).astype(np.uint8)
@@ -152,7 +153,7 @@ def train(texts: list[bytes], labels: list[str], seed: int = SEED) -> Model:
     grid = [2.0**e for e in np.arange(-4, 4.5, 0.5)]
     model.temperature = min(grid, key=loss)
     top = np.sort(model.scores([texts[i] for i in check]).max(axis=1))
-    model.reject_below = float(min(REJECT_MOST, top[int(REJECT_SHARE * len(top))]))
+    model.reject_below = float(min(REJECT_GUESS / k, top[int(REJECT_SHARE * len(top))]))
     return model
 
 
