@@ -115,7 +115,8 @@ def blocks(source: str) -> Iterator[tuple[Node, int, str]]:
         names, role = _role(attributes, main) if attributes.strip() else ("", False)
         role |= tag in ROLE_TAGS or (tag in OUTER and not main)
         label = f"{tag}.{names}" if names else tag
-        path = xxhash.xxh3_64_intdigest(f"{up.path:x}/{label}")
+        # html and body may be left out of a page, so they are no part of a path
+        path = up.path if tag in ("html", "body") else xxhash.xxh3_64_intdigest(f"{up.path:x}/{label}")
         up.children = xxhash.xxh3_64_intdigest(f"{up.children:x},{label}")
         stack.append(Node(tag, label, path, min(up.weight, ROLE_WEIGHT) if role else up.weight, main))
 
