@@ -102,11 +102,16 @@ def assignments(text: Column) -> Column:
 
 def normal_below(z: Column) -> Column:
     """Standard normal distribution function (rational approximation, error below 1e-7)."""
-    t = 1 / (1 + 0.2316419 * F.abs(z))
-    # Coefficients of the approximation.
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = 0.3989422804014327 * F.exp(-z * z / 2) * poly
-    return F.when(z < 0, tail).otherwise(1 - tail)
+
+    def tail(z: Column) -> Column:
+        def poly(t: Column) -> Column:
+            # Coefficients of the approximation.
+            inner = -0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))
+            return 0.3989422804014327 * F.exp(-z * z / 2) * t * (0.319381530 + t * inner)
+
+        return let(1 / (1 + 0.2316419 * F.abs(z)), lambda t: F.when(z < 0, poly(t)).otherwise(1 - poly(t)))
+
+    return let(z, tail)
 
 
 def chi_above(x: Column, freedom: Column | float) -> Column:
