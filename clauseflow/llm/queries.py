@@ -127,7 +127,9 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     cache = scratch_path(spark, "token_counts")
     counted = count_tokens(docs, tokenizer_file("word_bpe_49k.json"), cache)
-    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+    return counted.select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit")
+    )
 
 
 @query("op7_substring_dedup", """

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clauseflow.llm.bpe import read_file
 from clauseflow.llm.words import column
+from clauseflow.session import cut_lineage
 
 #: Entries of a task's table of words.
 MAX_WORDS = 400_000
@@ -112,7 +113,9 @@ def count_tokens(
         count(F.col("body").cast("binary")).alias("n_tokens"),
     ).write.mode("append").parquet(cache_path)
 
-    known = (
+    # Stored, so that the join below has an exchange on both sides and Spark can split a content
+    # that a large part of the rows share.
+    known = cut_lineage(
         read_cache(spark, cache_path)
         .where(F.col("tokenizer") == version)
         .groupBy("content")
