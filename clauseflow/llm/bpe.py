@@ -14,20 +14,18 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-from array import array
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Entries of a task's table of units, and of its table of fragments.
-MAX_UNITS, MAX_FRAGMENTS = 400_000, 200_000
-#: Longer fragments are merged with a heap.
-SCAN = 24
+#: Units a task remembers; a unit longer than ``LONG`` is not kept.
+MAX_UNITS, LONG = 500_000, 200
+#: Fragments longer than this are merged one by one with a heap.
+SCAN = 256
 
 # Fixed value: the pre-token pattern of byte-level BPE. White space is the Unicode property.
 PRETOKEN = regex.compile(
@@ -38,8 +36,12 @@ PRETOKEN = regex.compile(
     r"|\p{White_Space}+(?!\P{White_Space})"
     r"|\p{White_Space}+"
 )
-#: A space before anything but a plain character.
-ODD_SPACE = re.compile(r" (?=\s|[\x1c-\x1f\x85​]|\Z)")
+#: A space with white space or nothing behind it.
+ODD_SPACE = re.compile(r" (?=\s|\Z)")
+CUT_SPACE = re.compile(r" (?=\S)")
+#: ASCII marks that are a pre-token of their own behind letters.
+MARKS = frozenset(".,;:!?")
+NO_PAIR = np.iinfo(np.int32).max
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -57,115 +59,180 @@ class Vocabulary:
         model = data["model"]
         alphabet = byte_alphabet()
         ids = model["vocab"]
-        self.token_bytes = {i: bytes(map(alphabet.__getitem__, t)) for t, i in ids.items()}
-        self.byte_ids = [0] * 256
+        tokens = {i: bytes(map(alphabet.__getitem__, t)) for t, i in ids.items()}
+        self.byte_ids = np.zeros(256, np.int32)
         for char, byte in alphabet.items():
             self.byte_ids[byte] = ids[char]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], int] = {}
+        merged = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[ids[left], ids[right]] = (rank, ids[left + right])
+            self.merges[ids[left], ids[right]] = rank
+            merged.append(ids[left + right])
+        self.merged = np.array(merged, np.int32)
+        keys = np.array([(a << 32) | b for a, b in self.merges], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys = keys[order]
+        self.pair_ranks = np.fromiter(self.merges.values(), np.int32, len(keys))[order]
+        every = np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256)
+        self.byte_ranks = self.ranks(*every).reshape(256, 256)
         certain = np.ones((256, 256), bool)
-        for token in self.token_bytes.values():
+        for token in tokens.values():
             b = np.frombuffer(token, np.uint8)
             certain[b[:-1], b[1:]] = False
         self.certain = certain
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", ())}
         for text, i in self.special.items():
-            self.token_bytes[i] = text.encode()
+            tokens[i] = text.encode()
         self.specials = (
             re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         )
-
-    def fragments(self, piece: bytes) -> list[bytes]:
-        """The piece cut at every pair of bytes that no token contains."""
-        certain, out, at = self.certain, [], 0
-        if len(piece) > 64:
-            b = np.frombuffer(piece, np.uint8)
-            cuts = (np.flatnonzero(certain[b[:-1], b[1:]]) + 1).tolist()
-        else:
-            cuts = [i for i in range(1, len(piece)) if certain[piece[i - 1], piece[i]]]
-        for cut in cuts:
-            out.append(piece[at:cut])
-            at = cut
-        out.append(piece[at:])
-        return out
-
-    def merge(self, fragment: bytes) -> list[int]:
-        """Ids of a fragment: the pair of lowest rank is merged first, from the left."""
-        parts = [self.byte_ids[b] for b in fragment]
-        if len(parts) > SCAN:
-            return self._merge_long(parts)
-        merges = self.merges
-        while len(parts) > 1:
-            best, at, new = None, -1, -1
-            for i in range(len(parts) - 1):
-                m = merges.get((parts[i], parts[i + 1]))
-                if m is not None and (best is None or m[0] < best):
-                    best, at, new = m[0], i, m[1]
-            if best is None:
-                break
-            parts[at : at + 2] = [new]
-        return parts
+        listed = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.token_bytes = np.frombuffer(b"".join(listed), np.uint8)
+        self.token_sizes = np.fromiter(map(len, listed), np.int64, len(listed))
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merge ranks of pairs of ids, NO_PAIR where there is none."""
+        keys = (left.astype(np.int64) << 32) | right
+        at = np.searchsorted(self.pair_keys, keys)
+        at[at == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NO_PAIR)
+
+    def merge_all(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece) of pieces of bytes that end at ``ends``.
+
+        The pieces are cut at every pair of bytes that no token contains, and all fragments are
+        merged side by side: in each round every fragment merges its pair of lowest rank, the
+        leftmost first, until it has none.
+        """
+        last = np.zeros(len(data), bool)
+        last[ends - 1] = True
+        last[:-1] |= self.certain[data[:-1], data[1:]]
+        stops = np.flatnonzero(last) + 1
+        sizes = np.diff(stops, prepend=0)
+        done_ids: list[np.ndarray] = []
+        done_frag: list[np.ndarray] = []
+        tok = self.byte_ids[data]
+        frag = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        long = np.flatnonzero(sizes > SCAN)
+        for f in long:
+            ids = self._merge_long(tok[stops[f] - sizes[f] : stops[f]].tolist())
+            done_ids.append(np.array(ids, np.int32))
+            done_frag.append(np.full(len(ids), f, np.int32))
+        rank = np.full(len(tok), NO_PAIR, np.int32)
+        rank[:-1] = np.where(last[:-1], NO_PAIR, self.byte_ranks[data[:-1], data[1:]])
+        if len(long):
+            short = (sizes <= SCAN)[frag]
+            tok, frag, rank = tok[short], frag[short], rank[short]
+        while len(tok):
+            heads = np.flatnonzero(np.diff(frag, prepend=np.int32(-1)))
+            least = np.minimum.reduceat(rank, heads)
+            count = np.diff(np.append(heads, len(tok)))
+            over = least == NO_PAIR
+            if over.any():
+                gone = np.repeat(over, count)
+                done_ids.append(tok[gone])
+                done_frag.append(frag[gone])
+                tok, frag, rank = tok[~gone], frag[~gone], rank[~gone]
+                least, count = least[~over], count[~over]
+                if not len(tok):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(least, count))
+            at = hit[np.diff(frag[hit], prepend=np.int32(-1)) != 0]
+            tok[at] = self.merged[rank[at]]
+            keep = np.ones(len(tok), bool)
+            keep[at + 1] = False
+            tok, frag, rank = tok[keep], frag[keep], rank[keep]
+            at -= np.arange(len(at))
+            rank[at] = NO_PAIR
+            for i in (at[at + 1 < len(tok)], at[at > 0] - 1):
+                i = i[frag[i] == frag[i + 1]]
+                rank[i] = self.ranks(tok[i], tok[i + 1])
+        ids = np.concatenate(done_ids) if done_ids else tok
+        of = np.concatenate(done_frag) if done_frag else frag
+        ids = ids[np.argsort(of, kind="stable")]
+        piece = np.searchsorted(ends, stops)  # piece of each fragment
+        return ids, np.bincount(piece[of], minlength=len(ends))
 
     def _merge_long(self, parts: list[int]) -> list[int]:
-        merges, n = self.merges, len(parts)
+        merges, merged, n = self.merges, self.merged, len(parts)
         right = list(range(1, n)) + [-1]
         left = list(range(-1, n - 1))
         heap = []
         for i in range(n - 1):
-            m = merges.get((parts[i], parts[i + 1]))
-            if m is not None:
-                heap.append((m[0], i, m[1], parts[i], parts[i + 1]))
+            rank = merges.get((parts[i], parts[i + 1]))
+            if rank is not None:
+                heap.append((rank, i, parts[i], parts[i + 1]))
         heapify(heap)
         while heap:
-            _, i, new, a, b = heappop(heap)
+            rank, i, a, b = heappop(heap)
             j = right[i]
             if j < 0 or parts[i] != a or parts[j] != b:
                 continue
-            parts[i], parts[j] = new, -1
+            parts[i], parts[j] = int(merged[rank]), -1
             right[i] = right[j]
             if right[i] >= 0:
                 left[right[i]] = i
             for x, y in ((left[i], i), (i, right[i])):
                 if x >= 0 and y >= 0:
-                    m = merges.get((parts[x], parts[y]))
-                    if m is not None:
-                        heappush(heap, (m[0], x, m[1], parts[x], parts[y]))
+                    rank = merges.get((parts[x], parts[y]))
+                    if rank is not None:
+                        heappush(heap, (rank, x, parts[x], parts[y]))
         return [p for p in parts if p >= 0]
 
 
-class _Fragments(dict):
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-
-    def __missing__(self, fragment: bytes) -> list[int]:
-        if len(self) >= MAX_FRAGMENTS:
-            self.clear()
-        got = self.vocabulary.merge(fragment)
-        if len(fragment) <= 64:
-            self[fragment] = got
-        return got
-
-
 class _Units(dict):
-    """Unit of text (what stands after a space) to the ids of the space and the unit."""
+    """Unit of text, as it stands after ``lead``, to its ids (little-endian, 32 bits)."""
 
     def __init__(self, vocabulary: Vocabulary, lead: str):
         self.vocabulary, self.lead = vocabulary, lead
-        self.parts = _Fragments(vocabulary)
-
-    def __missing__(self, unit: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for piece in PRETOKEN.findall(self.lead + unit):
-            for fragment in self.vocabulary.fragments(piece.encode()):
-                ids += self.parts[fragment]
-        if len(self) >= MAX_UNITS:
+
+    def learn(self, units: set[str]) -> list[str]:
+        """Encode the units not yet known; returns those to be forgotten after use."""
+        new = units.difference(self)
+        if len(self) + len(new) > MAX_UNITS:
             self.clear()
-        got = tuple(ids)
-        if len(unit) <= 64:
-            self[unit] = got
-        return got
+            new = units
+        # a unit of letters is one pre-token; letters and one mark are two
+        plain = [u for u in new if u.isalpha()]
+        rest = [u for u in new if not u.isalpha()]
+        marked = [u for u in rest if u[-1:] in MARKS and u[:-1].isalpha()]
+        others = [u for u in rest if not (u[-1:] in MARKS and u[:-1].isalpha())]
+        lead, pieces, counts = self.lead, [], []
+        for u in others:
+            found = PRETOKEN.findall(lead + u)
+            pieces += found
+            counts.append(len(found))
+        sizes = np.fromiter(map(len, plain), np.int64, len(plain)) + len(lead)
+        two = np.fromiter(map(len, marked), np.int64, len(marked)) + len(lead) - 1
+        two = np.stack([two, np.ones_like(two)], axis=1).ravel()
+        sizes = np.concatenate([sizes, two, np.fromiter(map(len, pieces), np.int64, len(pieces))])
+        text = "".join([lead + lead.join(plain)] * bool(plain) + [lead + lead.join(marked)] * bool(marked) + pieces)
+        each_unit = np.array([1] * len(plain) + [2] * len(marked) + counts, np.int64)
+        known = plain + marked + others
+        if len(sizes):
+            data = np.frombuffer(text.encode(), np.uint8)
+            begins = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+            ids, each = self.vocabulary.merge_all(data, begins[np.cumsum(sizes)])
+            total = np.concatenate(([0], np.cumsum(each)))
+            stops = (total[np.concatenate(([0], np.cumsum(each_unit)))] * 4).tolist()
+            packed = ids.astype("<u4").tobytes()
+            self.update(zip(known, map(packed.__getitem__, map(slice, stops, stops[1:]))))
+        else:
+            self.update(dict.fromkeys(known, b""))
+        return [u for u in known if len(u) > LONG]
+
+
+def take_apart(text: str) -> list[str]:
+    """The text cut before every space that a character other than white space follows.
+
+    Such a space always begins a pre-token, whatever stands before it; other spaces stay with
+    what comes before them.
+    """
+    if ODD_SPACE.search(text) is None:
+        return text.split(" ")
+    return CUT_SPACE.split(text)
 
 
 class Encoder:
@@ -173,46 +240,53 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.after_space = _Units(vocabulary, " ")
-        self.plain = _Units(vocabulary, "")
-
-    def _plain(self, text: str, out: array) -> None:
-        # A space with a plain character behind it always begins a pre-token, so the text can
-        # be taken apart there; other spaces stay with what comes before them.
-        if ODD_SPACE.search(text) is None:
-            parts = text.split(" ")
-        else:
-            parts, at = [], 0
-            for m in re.finditer(r" (?![\s\x1c-\x1f\x85​]|\Z)", text):
-                parts.append(text[at : m.start()])
-                at = m.end()
-            parts.append(text[at:])
-        if parts[0]:
-            out.extend(self.plain[parts[0]])
-        if len(parts) > 1:
-            del parts[0]
-            out.extend(chain.from_iterable(map(self.after_space.__getitem__, parts)))
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out = array("I")
-        special = self.vocabulary.specials
-        if special is None or special.search(text) is None:
-            self._plain(text, out)
-        else:
-            for piece in special.split(text):
-                if piece in self.vocabulary.special:
-                    out.append(self.vocabulary.special[piece])
-                elif piece:
-                    self._plain(piece, out)
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
+        self.inner = _Units(vocabulary, " ")
+        self.first = _Units(vocabulary, "")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        special, specials = self.vocabulary.special, self.vocabulary.specials
+        runs: list[list] = []
+        heads: set[str] = set()
+        later: set[str] = set()
+        for text in texts:
+            pieces = [text] if specials is None or specials.search(text) is None else specials.split(text)
+            run: list = []
+            for p in pieces:
+                if p in special:
+                    run.append(special[p].to_bytes(4, "little"))
+                elif p:
+                    parts = take_apart(p)
+                    head = parts[0]
+                    del parts[0]
+                    heads.add(head)
+                    later.update(parts)
+                    run.append((head, parts))
+            runs.append(run)
+        first, inner = self.first, self.inner
+        forget = [(first, first.learn(heads)), (inner, inner.learn(later))]
+        out = []
+        for run in runs:
+            data: list[bytes] = []
+            for r in run:
+                if isinstance(r, bytes):
+                    data.append(r)
+                else:
+                    data.append(first[r[0]])
+                    data += map(inner.__getitem__, r[1])
+            out.append(b"".join(data))
+        for table, units in forget:
+            for u in units:
+                table.pop(u, None)
+        return out
 
     def decode(self, ids: bytes) -> str:
-        known = self.vocabulary.token_bytes
-        joined = b"".join([known.get(i, b"") for i in np.frombuffer(ids, "<u4").tolist()])
-        return joined.decode("utf-8", "replace")
+        v = self.vocabulary
+        at = np.frombuffer(ids, "<u4")
+        at = at[at < len(v.token_sizes)]
+        sizes = v.token_sizes[at]
+        place = np.repeat(v.token_starts[at] - (np.cumsum(sizes) - sizes), sizes)
+        return v.token_bytes[place + np.arange(len(place))].tobytes().decode("utf-8", "replace")
 
 
 def read_file(spark: SparkSession, path: str) -> str:
@@ -224,6 +298,20 @@ def read_file(spark: SparkSession, path: str) -> str:
         return spark.read.text(path, wholetext=True).first()[0]
 
 
+def groups(texts: list[str | None], limit: int = 1 << 22) -> Iterator[list[str]]:
+    """Texts in groups of about ``limit`` characters; null counts as empty."""
+    group: list[str] = []
+    size = 0
+    for t in texts:
+        group.append(t or "")
+        size += len(group[-1])
+        if size >= limit:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 #: One encoder in a worker, so that its tables outlive a batch.
 _encoders: dict[int, Encoder] = {}
 
@@ -246,7 +334,10 @@ class BytePairs:
         @F.arrow_udf("binary")
         def encode(texts: pa.Array) -> pa.Array:
             run = encoder().encode
-            return pa.array([run(t) if t else b"" for t in texts.to_pylist()], pa.binary())
+            out: list[bytes] = []
+            for group in groups(texts.to_pylist()):
+                out += run(group)
+            return pa.array(out, pa.binary())
 
         @F.arrow_udf("string")
         def decode(ids: pa.Array) -> pa.Array:
