@@ -16,6 +16,8 @@ from clauseflow.llm.words import U
 
 BITS = 20
 SEGMENT = 14
+#: Keys counted at once.
+GATHER = 1 << 21
 COUNTS = "segment int, width int, counts binary"
 
 
@@ -70,9 +72,17 @@ def count_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.nd
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.int64)
+        waiting: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for keys in keys_of(batch):
-                total += np.bincount(counter(keys), minlength=1 << BITS)
+                waiting.append(keys)
+                size += len(keys)
+                if size >= GATHER:
+                    total += np.bincount(counter(np.concatenate(waiting)), minlength=1 << BITS)
+                    waiting, size = [], 0
+        if size:
+            total += np.bincount(counter(np.concatenate(waiting)), minlength=1 << BITS)
         yield _rows(total)
 
     merged = (
