@@ -1,6 +1,8 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Shingles are ordered from rare to frequent by counts over all documents (a fixed-size table).
+Shingles are ordered from rare to frequent: first those that a filter over all documents shows
+to occur in one document only, then the rest by counts over all documents (both of fixed size).
+A document with enough shingles of its own thus has nothing in its prefix to meet others with.
 Two sets that reach the similarity share at least l shingles among their first
 n - ceil(t * n) + l ones, for any l; each document takes the l of least estimated cost: longer
 prefixes cost more look-ups but ask for more shared prefix shingles, and so leave fewer
@@ -9,8 +11,9 @@ allow the similarity; verification is exact, on the sets of the whole texts.
 
 Documents of equal sets are one class from the start. Inside the classes that share a prefix
 shingle not all pairs are compared: while that would be more than a few times the number of
-prefix shingles, every shingle's classes are compared with one hub only, the links found are
-united to components, and only pairs of different components stay open. A near copy group thus
+prefix shingles, every shingle's classes are compared with a few hubs only (one, then eight times as
+many in each round), the links found are united to components, and only pairs of different
+components stay open. A near copy group thus
 costs its size, not its square, and no link between components is lost: every open pair is
 compared in the end. (A pair inside one component needs no comparison: it cannot change it.)
 
@@ -27,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from clauseflow.llm import sketch, twofilters
 from clauseflow.llm.words import LOWER, SPACED, U, Words, chunks, column, join_two, mix, windows
@@ -38,8 +41,12 @@ from clauseflow.session import cut_lineage
 MAX_MATCH = 4
 VERIFY = 1 / 64
 #: All open pairs are compared when they are at most so many times the prefix shingles.
-OPEN_PAIRS = 2
-#: Bits of a filter for a prefix shingle, and places it sets.
+OPEN_PAIRS = 32
+#: Each round of hubs takes so many times the hubs of the round before.
+MORE_HUBS = 8
+#: Most pairs of one document that are verified in one place.
+PARTNERS = 2_000
+#: Bits of a filter for a shingle, and places a prefix shingle sets.
 BITS_EACH, K = 12, 2
 
 
@@ -87,8 +94,11 @@ def choose_match(excess: np.ndarray, size: int, base: int, most: int) -> int:
     return 1 + int(np.argmin(cost))
 
 
-def _profiles(docs: DataFrame, sim: Similarity, counts: np.ndarray) -> DataFrame:
-    """(node, n, digest, need, prefix) of every row; digest is null for an empty set."""
+def _profiles(docs: DataFrame, sim: Similarity, counts: np.ndarray, twice) -> DataFrame:
+    """(node, n, m, digest, need, prefix) of every row; digest is null for an empty set.
+
+    m counts the shingles that another document may have too. The prefix leaves out shingles that no other document has; they count in its length.
+    """
     typical = float(np.median(counts))
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -96,13 +106,14 @@ def _profiles(docs: DataFrame, sim: Similarity, counts: np.ndarray) -> DataFrame
         counts = sent.value
         level = np.log2(counts + 1.0).round(1)
         for batch in batches:
-            sizes, digests, needs, prefixes = [], [], [], []
+            sizes, commons, digests, needs, prefixes = [], [], [], [], []
             for s in shingle_sets(batch.column("body").to_pylist(), sim.n):
                 n = len(s)
                 sizes.append(n)
                 if not n:
                     digests.append(None)
                     needs.append(0)
+                    commons.append(0)
                     prefixes.append(s.view(np.int64))
                     continue
                 two = mix(s + U(7))
@@ -112,34 +123,38 @@ def _profiles(docs: DataFrame, sim: Similarity, counts: np.ndarray) -> DataFrame
                     + n.to_bytes(8, "little")
                 )
                 at = sketch.counter(s)
+                met = twice.hits(s)
+                commons.append(int(met.sum()))
                 base = n - sim.overlap(n)
                 most = min(MAX_MATCH, sim.overlap(n))
-                order = np.lexsort((two, level[at]))[: base + most]
-                excess = np.maximum(counts[at[order]] - typical, 0.0)
+                order = np.lexsort((two, np.where(met, level[at], -1.0)))[: base + most]
+                excess = np.where(met, np.maximum(counts[at] - typical, 0.5), 0.0)[order]
                 need = choose_match(excess, n, base, most)
                 needs.append(need)
-                prefixes.append(s[order[: base + need]].view(np.int64))
+                chosen = order[: base + need]
+                prefixes.append(s[chosen[met[chosen]]].view(np.int64))
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("node"),
                     pa.array(sizes, pa.int64()),
+                    pa.array(commons, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(needs, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)),
                 ],
-                names=["node", "n", "digest", "need", "prefix"],
+                names=["node", "n", "m", "digest", "need", "prefix"],
             )
 
     kind = docs.schema["node"].dataType.simpleString()
     return docs.select("node", "body").mapInArrow(
-        profile, f"node {kind}, n bigint, digest binary, need int, prefix array<bigint>"
+        profile, f"node {kind}, n bigint, m bigint, digest binary, need int, prefix array<bigint>"
     )
 
 
 def _shared_prefixes(heads: DataFrame) -> DataFrame:
-    """(node, n, need, toks): prefix shingles that other heads may hold too."""
+    """(node, n, m, need, toks): prefix shingles that other heads may hold too."""
     total = heads.agg(F.sum(F.size("prefix"))).first()[0] or 0
 
     def all_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -156,47 +171,56 @@ def _shared_prefixes(heads: DataFrame) -> DataFrame:
         kept = np.concatenate(([0], np.cumsum(hit)))[ends]
         return pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pa.array(flat[hit]))
 
-    return heads.select("node", "n", "need", shared("prefix").alias("toks")).where(
+    return heads.select("node", "n", "m", "need", shared("prefix").alias("toks")).where(
         F.size("toks") >= F.col("need")
     )
 
 
 def _candidates(pairs: DataFrame, heads: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs (a, b) whose sizes and shared prefix shingles allow a link."""
-    side = heads.select("node", "n", "need", "toks")
+    """Pairs (a, b) whose shared prefix shingles allow a link."""
+    side = heads.select("node", "need", "toks")
     return (
-        pairs.join(side.toDF("a", "na", "la", "ta"), "a")
-        .join(side.toDF("b", "nb", "lb", "tb"), "b")
-        .where(F.least("na", "nb") * sim.den >= F.greatest("na", "nb") * sim.num)
+        pairs.join(side.toDF("a", "la", "ta"), "a")
+        .join(side.toDF("b", "lb", "tb"), "b")
         .where(F.size(F.array_intersect("ta", "tb")) >= F.least("la", "lb"))
         .select("a", "b")
     )
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs that link, by the sets of their whole texts."""
+    """The pairs that link, by the sets of their whole texts.
+
+    Every b comes before the texts it is compared with, so it crosses the shuffle and becomes a
+    set once for each ``PARTNERS`` of them, however many it has.
+    """
     kind = pairs.schema["a"].dataType.simpleString()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_b: bytes | None = None
-        set_b = np.empty(0, U)
+        own = np.empty(0, U)
         for batch in batches:
             good = []
-            bodies = batch.column("body_b").to_pylist()
-            for i, set_a in enumerate(shingle_sets(batch.column("body_a").to_pylist(), sim.n)):
-                if bodies[i] != last_b:
-                    last_b = bodies[i]
-                    (set_b,) = shingle_sets([last_b], sim.n)
-                good.append(sim.linked(set_a, set_b))
+            first = batch.column("a").is_null().to_pylist()
+            bodies = batch.column("body").to_pylist()
+            for leads, found in zip(first, shingle_sets(bodies, sim.n)):
+                if leads:
+                    own = found
+                good.append(not leads and sim.linked(found, own))
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"]
             )
 
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+    members = dealt.join(texts.toDF("a", "body"), "a").select("b", "part", "a", "body")
+    leaders = (
+        dealt.select("b", "part").distinct().join(texts.toDF("b", "body"), "b")
+        .select("b", "part", F.lit(None).cast(kind).alias("a"), "body")
+    )
     return (
-        pairs.join(texts.toDF("a", "body_a"), "a")
-        .join(texts.toDF("b", "body_b"), "b")
-        .select("a", "b", "body_a", "body_b")
+        members.unionByName(leaders)
+        .repartition("b", "part")
+        .sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
         .mapInArrow(check, f"a {kind}, b {kind}")
     )
 
@@ -204,11 +228,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
 def _links(shared: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     """Links (a, b) that connect all classes which the similarity connects."""
     nodes = shared.select(F.col("node").alias("id"))
-    posts = cut_lineage(shared.select("node", F.explode("toks").alias("t")))
+    posts = cut_lineage(shared.select("node", "n", "m", F.explode("toks").alias("t")))
     labels = shared.select("node", F.col("node").alias("label"))
-    links = None
+    links, hubs_each = None, 1
     while True:
-        tagged = posts.join(labels, "node").select("node", "t", "label")
+        tagged = posts.join(labels, "node").select("node", "n", "m", "t", "label")
         counts = (
             tagged.groupBy("t", "label")
             .agg(F.count(F.lit(1)).alias("c"))
@@ -220,7 +244,7 @@ def _links(shared: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
             )
             .where("kinds > 1")
         )
-        open_now = cut_lineage(tagged.join(counts.select("t"), "t").select("node", "t", "label"))
+        open_now = cut_lineage(tagged.join(counts.select("t"), "t").select("node", "n", "m", "t", "label"))
         pairs, size = counts.agg(
             F.sum((F.col("c") * F.col("c").cast("double") - F.col("same")) / 2), F.sum("c")
         ).first()
@@ -228,18 +252,26 @@ def _links(shared: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
             break
         few = pairs <= OPEN_PAIRS * size
         if few:
-            x, y = open_now.toDF("a", "t", "la"), open_now.toDF("b", "t", "lb")
-            met = x.join(y, "t").where("a < b and la <> lb").select("a", "b").distinct()
+            others = open_now
         else:
+            first = F.row_number().over(Window.partitionBy("t").orderBy("node"))
             hubs = cut_lineage(
-                open_now.groupBy("t")
-                .agg(F.min(F.struct("node", "label")).alias("hub"))
-                .select("t", F.col("hub.node").alias("b"), F.col("hub.label").alias("lb"))
-            )
-            met = (
-                open_now.join(hubs, "t").where("label <> lb").select(F.col("node").alias("a"), "b").distinct()
+                open_now.withColumn("r", first).where(F.col("r") <= hubs_each).drop("r")
             )
-        found = cut_lineage(_verified(_candidates(met, shared, sim), texts, sim))
+            hubs_each *= MORE_HUBS
+            others = hubs
+        x, y = open_now.toDF("a", "na", "ma", "t", "la"), others.toDF("b", "nb", "mb", "t", "lb")
+        most = F.least("ma", "mb")  # no more can be common to the two
+        met = (
+            x.join(y, "t")
+            .where("a < b" if few else "a <> b")
+            .where("la <> lb")
+            .where(most * sim.den >= (F.col("na") + F.col("nb") - most) * sim.num)
+            .select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a"))
+            .distinct()
+        )
+        met = cut_lineage(_candidates(met.select("a", "b"), shared, sim))
+        found = cut_lineage(_verified(met, texts, sim))
         links = found if links is None else links.unionByName(found)
         if few:
             break
@@ -250,8 +282,7 @@ def _links(shared: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
         )
         # a hub has met every other component of its shingle
         posts = cut_lineage(
-            open_now.join(hubs.select("t", F.col("b").alias("node")), ["t", "node"], "left_anti")
-            .select("node", "t")
+            open_now.join(hubs.select("t", "node"), ["t", "node"], "left_anti").select("node", "n", "m", "t")
         )
     if links is None:
         return shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
@@ -281,16 +312,22 @@ def link_components(
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield from shingle_sets(batch.column("body").to_pylist(), sim.n)
 
+    text = F.col("body").cast("string")
+    spaces = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+    about = rows.agg(F.sum(spaces + 1)).first()[0] or 0
+    (twice,) = twofilters.build(
+        rows.select("body"), keys_of, twofilters.bits_for(about, BITS_EACH), 1, ("twice",)
+    )
     counts = sketch.count_keys(rows.select("body"), keys_of)
-    profiles = cut_lineage(_profiles(rows, sim, counts))
+    profiles = cut_lineage(_profiles(rows, sim, counts, twice))
     heads = cut_lineage(
         profiles.where("digest is not null and node.doc is not null")
         .groupBy("digest")
         .agg(
             F.min("node").alias("node"),
-            F.min_by(F.struct("n", "need", "prefix"), "node").alias("h"),
+            F.min_by(F.struct("n", "m", "need", "prefix"), "node").alias("h"),
         )
-        .select("digest", "node", "h.n", "h.need", "h.prefix")
+        .select("digest", "node", "h.n", "h.m", "h.need", "h.prefix")
     )
     shared = cut_lineage(_shared_prefixes(heads.drop("digest")))
     key = F.xxhash64("node.doc", "node.sig")
