@@ -197,10 +197,12 @@ def dedup_substrings(
         return [column(docs, id_col).alias("doc"), F.xxhash64(column(docs, text_col)).alias("sig")]
 
     rows = docs.select(*signed(docs), column(docs, text_col).cast("binary").alias("body"))
+    # one number for place and length: an array of structs takes several times the room
+    packed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("length").cast("long"))
     places = (
         repeated_windows(rows, window)
         .groupBy("doc", "sig")
-        .agg(F.collect_set(F.struct("place", "length")).alias("places"))
+        .agg(F.collect_set(packed).alias("places"))
         .withColumnsRenamed({"doc": "of", "sig": "by"})
     )
     whole = docs.select(F.struct(*[column(docs, c) for c in kept]).alias("row"), *signed(docs))
@@ -214,8 +216,8 @@ def dedup_substrings(
     def strip(texts: pa.Array, places: pa.Array) -> pa.Array:
         out: list[list] = [[], [], [], []]
         bounds = places.offsets.to_numpy()
-        at = places.values.field("place").to_numpy()
-        size = places.values.field("length").to_numpy()
+        both = places.values.to_numpy(zero_copy_only=False)
+        at, size = both >> 32, both & 0xFFFFFFFF
         valid = places.is_valid().to_numpy(zero_copy_only=False)
         for i, text in enumerate(texts.to_pylist()):
             words = (text or b"").split()
