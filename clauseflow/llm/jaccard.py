@@ -171,9 +171,13 @@ def _shared_prefixes(heads: DataFrame) -> DataFrame:
         kept = np.concatenate(([0], np.cumsum(hit)))[ends]
         return pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pa.array(flat[hit]))
 
-    return heads.select("node", "n", "m", "need", shared("prefix").alias("toks")).where(
-        F.size("toks") >= F.col("need")
+    kept = cut_lineage(
+        heads.select("node", "n", "m", "need", shared("prefix").alias("toks")).where(
+            F.size("toks") >= F.col("need")
+        )
     )
+    twice.release()
+    return kept
 
 
 def _candidates(pairs: DataFrame, heads: DataFrame, sim: Similarity) -> DataFrame:
@@ -320,6 +324,7 @@ def link_components(
     )
     counts = sketch.count_keys(rows.select("body"), keys_of)
     profiles = cut_lineage(_profiles(rows, sim, counts, twice))
+    twice.release()
     heads = cut_lineage(
         profiles.where("digest is not null and node.doc is not null")
         .groupBy("digest")
@@ -329,7 +334,7 @@ def link_components(
         )
         .select("digest", "node", "h.n", "h.m", "h.need", "h.prefix")
     )
-    shared = cut_lineage(_shared_prefixes(heads.drop("digest")))
+    shared = _shared_prefixes(heads.drop("digest"))
     key = F.xxhash64("node.doc", "node.sig")
 
     def ids_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -344,6 +349,7 @@ def link_components(
         return pa.array(once.hits(mix(keys.to_numpy(zero_copy_only=False).view(U))))
 
     texts = cut_lineage(rows.where(wanted(key)).dropDuplicates(["node"]))
+    once.release()
     links = _links(shared, texts, sim)
 
     classes = (

@@ -91,6 +91,7 @@ def dedup_lines(
             )
 
     marked = cut_lineage(narrow.mapInArrow(suspects, f"doc {id_type.simpleString()}, digest binary"))
+    twice.release()
     # Stored, so that the join below has an exchange on both sides and Spark can split a line
     # that a large part of the documents share.
     repeated = cut_lineage(

@@ -17,7 +17,7 @@ from clauseflow.llm.words import U
 BITS = 20
 SEGMENT = 14
 #: Keys counted at once.
-GATHER = 1 << 21
+GATHER = 1 << 20
 COUNTS = "segment int, width int, counts binary"
 
 

@@ -22,7 +22,7 @@ SEGMENT = 16
 #: 32 MB for each filter at most.
 MAX_BITS = 1 << 28
 #: Places gathered in a task before they are written out.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 PLACES = "segment int, once binary, twice binary"
 
@@ -111,6 +111,10 @@ class Filter:
     def __init__(self, shared, bits: int, k: int):
         self.shared, self.bits, self.k = shared, bits, k
 
+    def release(self) -> None:
+        """Frees the tasks' copies once everything that used the filter is stored."""
+        self.shared.unpersist()
+
     def hits(self, keys: np.ndarray) -> np.ndarray:
         """True where a key may be in the filter (never false for a key that is)."""
         data = self.shared.value

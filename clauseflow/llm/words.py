@@ -18,7 +18,7 @@ _B_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes hashed at once; a longer piece is cut at a separator.
 SLICE = 1 << 20
 #: Bytes of text handled together.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
