@@ -154,7 +154,10 @@ def _profiles(docs: DataFrame, sim: Similarity, counts: np.ndarray, twice) -> Da
 
 
 def _shared_prefixes(heads: DataFrame) -> DataFrame:
-    """(node, n, m, need, toks): prefix shingles that other heads may hold too."""
+    """(node, n, m, need, toks): prefix shingles that other heads may hold too.
+
+    A pair shares the smaller need of its two, which may be 1: a head stays with any such shingle.
+    """
     total = heads.agg(F.sum(F.size("prefix"))).first()[0] or 0
 
     def all_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -173,7 +176,7 @@ def _shared_prefixes(heads: DataFrame) -> DataFrame:
 
     kept = cut_lineage(
         heads.select("node", "n", "m", "need", shared("prefix").alias("toks")).where(
-            F.size("toks") >= F.col("need")
+            F.size("toks") >= 1
         )
     )
     twice.release()

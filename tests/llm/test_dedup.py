@@ -94,6 +94,20 @@ def test_components(docs, rows, sim, open_pairs, monkeypatch):
     assert {r.component_id for r in got} == {r.component_id for r in staying}
 
 
+def test_pairs_of_unequal_size(spark):
+    """One text is the other plus words of its own, above, at and just below the threshold."""
+    rows = []
+    for k in range(48):
+        size, more = ((55, 9), (51, 9), (51, 10), (120, 21))[k % 4]
+        words = [f"w{k}x{i}" for i in range(size + 4 + more)]
+        rows += [(2 * k, " ".join(words[: size + 4])), (2 * k + 1, " ".join(words))]
+    sim = Similarity(5, 85, 100)
+    got = link_components(spark.createDataFrame(rows, "doc_id long, text string"), sim=sim).collect()
+    expect = brute_components(rows, sim)
+    assert sum(c != i for i, _, c in expect) == 36
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(expect)
+
+
 def test_empty_join(none):
     assert drop_near_duplicates(none).count() == 0
 
