@@ -5,7 +5,9 @@ are one node of the host's tree. A node's importance is high where its contents
 to page and low where they return, by the entropy of each content over the pages that show it,
 with a small share for the variety of layouts it stands in. Tags and classes with a fixed role
 (menus, footers, adverts, forms, ...) weigh a node down, which also covers hosts of one page;
-an article's or main element's own branches are weighed up. Branches below the threshold go.
+branches of an article or main element are weighed up a little, so those go that return on nearly
+all pages. Branches below the threshold go. A page whose article would lose all its text is a copy
+of others, not boilerplate, and keeps it.
 
 The counts are summed by host, path and content before they are shuffled, so a host with a third
 of all pages is no larger than its distinct contents; the low paths of a host are joined back to
@@ -34,6 +36,8 @@ from clauseflow.session import cut_lineage
 LAYOUT_SHARE, THRESHOLD = 0.1, 0.4
 #: Weight of nodes whose tag or class names a role other than content.
 ROLE_WEIGHT = 0.25
+#: Share of what an article's or main element's branches lack in importance that is made up.
+MAIN_SHARE = 0.2
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -230,11 +234,18 @@ def importance(pages: DataFrame) -> DataFrame:
 
 def main_text(source: str, importance_of: dict[int, float], least: float) -> str:
     """Blocks whose weighted importance reaches ``least``, joined by line feeds."""
-    kept = []
+    found = []
     for node, _, text in blocks(source):
-        value = 1.0 if node.main else importance_of.get(_signed(node.path), 1.0)
-        if node.weight * value >= least:
-            kept.append(text)
+        value = importance_of.get(_signed(node.path), 1.0)
+        if node.main:
+            value += MAIN_SHARE * (1 - value)
+        found.append((node, text, node.weight * value >= least))
+    copied = not any(stays for node, _, stays in found if node.main)
+    kept = [
+        text
+        for node, text, stays in found
+        if stays or (copied and node.main and node.weight >= least)
+    ]
     return "\n".join(kept)
 
 

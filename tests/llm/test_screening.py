@@ -195,6 +195,22 @@ def test_pages(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_pages_repeated_branch_inside_article(spark):
+    page = (
+        "<article><h1>{t}</h1><div><p>Story {t}</p></div><section><p>Get our letter</p></section>"
+        "<div class=voices><p>Readers say</p></div></article><div class=menu>m</div>"
+    )
+    rows = [(i, "http://a.example/", page.format(t=f"t{i}")) for i in range(8)]
+    # copies keep their article, a page of another host keeps all of it
+    rows += [(20 + i, "http://b.example/", page.format(t="same")) for i in range(4)]
+    rows += [(30, "http://c.example/", page.format(t="only"))]
+    got = {r.page_id: r.main_text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == f"t{i}\nStory t{i}"
+    assert {got[20 + i] for i in range(4)} == {"same\nStory same\nGet our letter\nReaders say"}
+    assert got[30] == "only\nStory only\nGet our letter\nReaders say"
+
+
 def test_blocks_of_broken_markup():
     text = [t for _, _, t in blocks("<p>a<p>b<div>c<!-- x --d</p><script>1<2</div><p>e")]
     assert text == ["a", "b", "c"] or text[:3] == ["a", "b", "c"]
