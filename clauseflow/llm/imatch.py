@@ -1,7 +1,10 @@
 """I-Match fingerprints over randomised lexicons.
 
-Document frequencies of all terms come from all documents (a fixed-size table of hashed
-counters). A lexicon keeps the terms within a band of normalised inverse document frequency;
+Document frequencies of all terms come from all documents, counted for each term. A lexicon keeps
+the terms within a band of normalised inverse document frequency; it is sent to the tasks as a
+Bloom filter of these terms with the list of all other terms of the documents that the filter
+lets pass, so every term of a document is told exactly (a word that only an edit makes, by cutting
+one in two, is in no document and may pass by chance).
 ``LEXICONS`` random orders of it give nested sub-lexicons, each half of the one before. For
 every order the sub-lexicons that keep one or two of a text's terms are hashed, each over the
 sorted distinct terms it keeps, so texts of any length have about as many hashes, and an edit
@@ -25,10 +28,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from clauseflow.llm import sketch
+from clauseflow.llm import twofilters
 from clauseflow.llm.words import ALNUM, LOWER, U, Words, chunks, column, mix
+from clauseflow.session import cut_lineage
 
 LEXICONS = 32
 #: Band of ln(N / df) / ln(N), and the least document frequency.
@@ -36,6 +41,10 @@ BAND = (0.25, 1.0)
 MIN_DF = 2
 #: Most terms under one hash.
 TERMS = 2
+#: Bits of the lexicon's filter for a term, and places a term sets.
+BITS_EACH, K = 32, 4
+#: Most terms counted in a task before they are written out.
+GATHER = 1 << 20
 SEEDS = mix(np.arange(1, LEXICONS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
@@ -49,20 +58,48 @@ def term_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
 
 @dataclass
 class Lexicon:
-    """Terms (as hashed counters) whose document frequency lies in the band."""
+    """Terms whose document frequency lies in the band."""
 
-    kept: np.ndarray
+    maybe: twofilters.Filter
+    #: sorted terms of the documents that the filter lets pass but the band does not
+    wrong: Broadcast
 
     @classmethod
-    def of(cls, counts: np.ndarray, documents: int, band=BAND, min_df: int = MIN_DF) -> Lexicon:
-        idf = np.log(max(documents, 2) / np.maximum(counts, 1)) / np.log(max(documents, 2))
-        return cls((idf >= band[0]) & (idf <= band[1]) & (counts >= min_df))
+    def of(cls, counts: DataFrame, documents: int, band=BAND, min_df: int = MIN_DF) -> Lexicon:
+        """``counts`` has each term once, with its document frequency df."""
+        most = float(np.log(max(documents, 2)))
+        idf = (F.lit(most) - F.ln("df")) / F.lit(most)
+        within = (idf >= band[0]) & (idf <= band[1]) & (F.col("df") >= min_df)
+        kept = counts.where(within).select("term")
+
+        def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            yield batch.column("term").to_numpy(zero_copy_only=False).view(U)
+
+        bits = twofilters.bits_for(kept.count(), BITS_EACH)
+        (maybe,) = twofilters.build(kept, keys_of, bits, K, ("once",))
+
+        @F.arrow_udf("boolean")
+        def passes(terms: pa.Array) -> pa.Array:
+            return pa.array(maybe.hits(terms.to_numpy(zero_copy_only=False).view(U)))
+
+        found = counts.where(~within).where(passes("term")).select("term").toArrow()
+        wrong = np.sort(found["term"].to_numpy().view(U))
+        return cls(maybe, counts.sparkSession.sparkContext.broadcast(wrong))
+
+    def holds(self, terms: np.ndarray) -> np.ndarray:
+        """True for the terms of the lexicon."""
+        hit = self.maybe.hits(terms)
+        wrong = self.wrong.value
+        if len(wrong):
+            at = np.minimum(np.searchsorted(wrong, terms), len(wrong) - 1)
+            hit &= wrong[at] != terms
+        return hit
 
     def entries(self, terms: np.ndarray, text: bytes) -> np.ndarray:
         """Sorted 32-bit hashes, each over the terms of one sub-lexicon."""
         if not len(terms):
             return np.array([xxhash.xxh32_intdigest(text)] if text else [], np.uint32)
-        chosen = terms[self.kept[sketch.counter(terms)]]
+        chosen = terms[self.holds(terms)]
         if not len(chosen):
             chosen = terms
         ranks = mix(chosen[None, :] ^ SEEDS[:, None])
@@ -91,30 +128,60 @@ def as_text(entries: np.ndarray) -> str:
     return entries.astype(">u4").tobytes().hex()
 
 
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, documents of this task that hold it), terms summed up to ``GATHER`` at a time."""
+    terms, counts = np.empty(0, U), np.empty(0, np.int64)
+    waiting: list[np.ndarray] = []
+    size = 0
+
+    def fold() -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([terms, *waiting])
+        found, at = np.unique(keys, return_inverse=True)
+        weights = np.concatenate([counts, np.ones(len(keys) - len(terms), np.int64)])
+        return found, np.bincount(at, weights, len(found)).astype(np.int64)
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(terms.view(np.int64)), pa.array(counts)], names=["term", "df"]
+        )
+
+    for batch in batches:
+        for _, group in chunks(batch.column("body").to_pylist()):
+            for found in term_sets(group):
+                waiting.append(found)
+                size += len(found)
+            if size >= GATHER:
+                terms, counts = fold()
+                waiting, size = [], 0
+                if len(terms) >= GATHER:
+                    yield rows()
+                    terms, counts = np.empty(0, U), np.empty(0, np.int64)
+    if size:
+        terms, counts = fold()
+    if len(terms):
+        yield rows()
+
+
 def learn_lexicon(
     docs: DataFrame, text_col: str = "text", band=BAND, min_df: int = MIN_DF
 ) -> Lexicon:
     """The lexicon of all documents: each counts once for each of its terms."""
-
-    def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, group in chunks(batch.column("body").to_pylist()):
-            sets = list(term_sets(group))
-            if sets:
-                yield np.concatenate(sets)
-
     rows = docs.select(column(docs, text_col).cast("binary").alias("body"))
-    return Lexicon.of(sketch.count_keys(rows, keys_of), rows.count(), band, min_df)
+    counts = cut_lineage(
+        rows.mapInArrow(_count_terms, "term bigint, df bigint")
+        .groupBy("term")
+        .agg(F.sum("df").alias("df"))
+    )
+    return Lexicon.of(counts, rows.count(), band, min_df)
 
 
 def fingerprints(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
     """All rows with fingerprint string (hexadecimal, 8 digits for each hash)."""
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
-
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for _, group in chunks(texts.to_pylist()):
-            out += [as_text(sent.value.entries(s, t)) for s, t in zip(term_sets(group), group)]
+            out += [as_text(lexicon.entries(s, t)) for s, t in zip(term_sets(group), group)]
         return pa.array(out, pa.string())
 
     return docs.withColumn("fingerprint", run(column(docs, text_col).cast("binary")))
@@ -172,10 +239,7 @@ def compare_with_edits(
         item = pa.struct([("range", pa.int32()), ("ahead", pa.bool_())])
         return pa.array(out, pa.list_(item))
 
-    sent = spark.sparkContext.broadcast(lexicon)
-
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = sent.value
         waiting = None  # (range, id scalar, text, entries)
 
         for batch in batches:

@@ -153,6 +153,20 @@ def test_fingerprints(spark, docs, rows, none):
     assert imatch.compare_with_edits(one, imatch.learn_lexicon(one)).first().near_next == 1.0
 
 
+def test_lexicon_leaves_out_terms_of_one_document(spark):
+    """Terms of one document stay out however many terms there are."""
+    rows = []
+    for k in range(60):
+        shared = " ".join(f"both{k}x{i}" for i in range(30))
+        rows += [(2 * k, shared), (2 * k + 1, shared + " " + " ".join(f"own{k}x{i}" for i in range(4000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lexicon = imatch.learn_lexicon(docs)
+    prints = {r.doc_id: r.fingerprint for r in imatch.fingerprints(docs, lexicon).collect()}
+    for k in range(60):
+        assert prints[2 * k] == prints[2 * k + 1]
+    assert len(set(prints.values())) == 60
+
+
 def test_language(spark, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = langid.learn(docs)
