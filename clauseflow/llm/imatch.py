@@ -5,11 +5,12 @@ the terms within a band of normalised inverse document frequency; it is sent to
 Bloom filter of these terms with the list of all other terms of the documents that the filter
 lets pass, so every term of a document is told exactly (a word that only an edit makes, by cutting
 one in two, is in no document and may pass by chance).
-``LEXICONS`` random orders of it give nested sub-lexicons, each half of the one before. For
-every order the sub-lexicons that keep one or two of a text's terms are hashed, each over the
-sorted distinct terms it keeps, so texts of any length have about as many hashes, and an edit
-spares those whose few terms it does not touch. The likeness of two fingerprints is the Jaccard
-similarity of their hashes.
+``LEXICONS`` random orders of it give nested sub-lexicons, each half of the one before, chosen
+without regard to any text. For each of them all distinct terms that it keeps of a text are hashed
+together (sub-lexicons of one order that keep the same terms have one hash). The coarse ones tell
+texts apart that differ in any term; the fine ones are spared by an edit that does not touch their
+few terms. A fingerprint has about as many hashes for each order as its text's terms can be
+halved. The likeness of two fingerprints is the Jaccard similarity of their hashes.
 
 Nulls and odd input: a null text counts as empty and has an empty fingerprint; a text whose
 terms all lie outside the band is hashed over all its terms, one without terms over its bytes;
@@ -39,10 +40,10 @@ LEXICONS = 32
 #: Band of ln(N / df) / ln(N), and the least document frequency.
 BAND = (0.25, 1.0)
 MIN_DF = 2
-#: Most terms under one hash.
-TERMS = 2
 #: Bits of the lexicon's filter for a term, and places a term sets.
 BITS_EACH, K = 32, 4
+#: Ranks of a text's terms sorted at once: as many orders as fit, at least one.
+RANKS = 1 << 18
 #: Most terms counted in a task before they are written out.
 GATHER = 1 << 20
 SEEDS = mix(np.arange(1, LEXICONS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
@@ -102,19 +103,22 @@ class Lexicon:
         chosen = terms[self.holds(terms)]
         if not len(chosen):
             chosen = terms
-        ranks = mix(chosen[None, :] ^ SEEDS[:, None])
-        most = min(len(chosen), TERMS + 1)
-        if len(chosen) > most:
-            ranks = np.partition(ranks, most - 1, axis=1)[:, :most]
-        ranks.sort(axis=1)
-        # sub-lexicon: ranks below a power of two; it ends after term c where the power changes
-        level = np.frexp(ranks.astype(np.float64))[1]
-        ends = np.ones((LEXICONS, most), bool)
-        ends[:, :-1] = level[:, 1:] > level[:, :-1]
-        if most > TERMS:
-            ends[:, TERMS:] = False
-        folded = mix(np.cumsum(mix(ranks), axis=1, dtype=U) ^ SEEDS[:, None])
-        return np.unique((folded[ends] >> U(32)).astype(np.uint32))
+        step = max(1, RANKS // len(chosen))
+        parts = [_sub_lexicons(chosen, SEEDS[k : k + step]) for k in range(0, LEXICONS, step)]
+        return np.unique(np.concatenate(parts))
+
+
+def _sub_lexicons(terms: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """32-bit hashes of what each sub-lexicon of these orders keeps of the terms."""
+    ranks = mix(terms[None, :] ^ seeds[:, None])
+    ranks.sort(axis=1)
+    # sub-lexicon: ranks below a power of two; it ends where the power changes
+    level = np.frexp(ranks.astype(np.float64))[1]
+    ends = np.ones(ranks.shape, bool)
+    ends[:, :-1] = level[:, 1:] > level[:, :-1]
+    folded = np.cumsum(mix(ranks), axis=1, dtype=U)
+    of = np.broadcast_to(seeds[:, None], ranks.shape)[ends]
+    return (mix(folded[ends] ^ of) >> U(32)).astype(np.uint32)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

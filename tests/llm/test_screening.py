@@ -167,6 +167,18 @@ def test_lexicon_leaves_out_terms_of_one_document(spark):
     assert len(set(prints.values())) == 60
 
 
+def test_fingerprints_see_all_terms_of_long_texts(spark):
+    """Long texts that differ in one term of the lexicon are told apart."""
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(words)] + [" ".join(words[:k] + words[k + 1 :]) for k in range(0, 5000, 500)]
+    rows = [(i, texts[i % len(texts)]) for i in range(2 * len(texts))] + [(100 + i, f"o{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = imatch.compare_with_edits(docs, imatch.learn_lexicon(docs)).where("doc_id < 22").collect()
+    assert len({r.fingerprint for r in got}) == len(texts)
+    assert all(0.5 < r.near_next < 1 for r in got if r.doc_id < 21)
+    assert all(0 < r.near_edited < 1 for r in got if 0 < r.doc_id < 21)
+
+
 def test_language(spark, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = langid.learn(docs)
