@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clauseflow.llm.bpe import encode_texts
 from clauseflow.llm.decontaminate import mark_contamination
+from clauseflow.llm.fillmiddle import fill_in_middle, restore
 from clauseflow.llm.imatch import compare_with_edits, learn_lexicon
 from clauseflow.llm.jaccard import Similarity, link_components
 from clauseflow.llm.langid import held_out, identify, learn
@@ -214,3 +215,41 @@ def op2_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
         sha(F.col("base")).alias("base_sha256"),
         "spans",
     )
+
+
+@query("op13_fill_in_middle", """
+  WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS t,
+      regexp_extract_all(coalesce(text, ''),
+        '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u,
+      sha256('42:' || doc_id::VARCHAR) AS h FROM documents),
+  drawn AS (
+    SELECT *, len(u)::BIGINT AS n,
+      ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+      ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM cut),
+  placed AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+        OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn),
+  parts AS (
+    SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+      array_to_string(u[b + 1:], '') AS s FROM placed)
+  SELECT doc_id, n, form,
+    CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+      ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256
+  FROM parts""")
+def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return fill_in_middle(docs).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        sha(F.col("output")).alias("output_sha256"),
+        sha(restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
