@@ -17,6 +17,7 @@ from clauseflow.llm.pages import extract
 from clauseflow.llm.secrets import scan
 from clauseflow.llm.substrings import dedup_substrings
 from clauseflow.llm.tokencount import count_tokens
+from clauseflow.llm.urlfilter import Rule, judge
 from clauseflow.plans.registry import table
 from clauseflow.session import scratch_path
 
@@ -253,3 +254,75 @@ def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
         sha(F.col("output")).alias("output_sha256"),
         sha(restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
     )
+
+
+#: The stated URL rules of the query.
+URL_RULES = (
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+)
+RULES_SQL = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
+
+
+def _url_tokens_sql(text: str, mark: str, kind: str) -> str:
+    return (
+        f"[ '{kind}=' || regexp_replace(x, '[0-9]+', '0', 'g') "
+        f"for x in string_split({text}, '{mark}') if x <> '' ]"
+    )
+
+
+@query("op12_url_filters", f"""
+  WITH parts AS (
+    SELECT page_id,
+      {LOWER_SQL.format("regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)[?]?([^#]*)', 1)")} AS host,
+      regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)[?]?([^#]*)', 2) AS path,
+      regexp_replace(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)[?]?([^#]*)', 3),
+        '=[^&]*', '', 'g') AS names FROM pages),
+  read AS (
+    SELECT page_id, host, path, list_sort(list_distinct(
+      {_url_tokens_sql("host", ".", "host")} || {_url_tokens_sql("path", "/", "path")}
+      || {_url_tokens_sql("names", "&", "query")})) AS tokens FROM parts),
+  given(v, h, p) AS (VALUES {RULES_SQL}),
+  fits AS (
+    SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+    FROM read JOIN given ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+    GROUP BY page_id),
+  labelled AS (SELECT page_id, tokens, verdict FROM read JOIN fits USING (page_id)),
+  sizes AS (
+    SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE verdict = 'allow')::DOUBLE AS a,
+      ceil(0.01::DOUBLE * count(*)::DOUBLE) AS least FROM labelled),
+  told AS (
+    SELECT t, abs((count(*) FILTER (WHERE verdict = 'allow'))::DOUBLE / count(*)::DOUBLE
+      - (SELECT a / n FROM sizes)) AS told
+    FROM (SELECT unnest(tokens) AS t, verdict FROM labelled) GROUP BY t
+    HAVING count(*) >= (SELECT least FROM sizes)),
+  chosen AS (
+    SELECT page_id, verdict, list_sort(list(t)) AS items FROM (
+      SELECT page_id, verdict, t, row_number() OVER (PARTITION BY page_id ORDER BY told DESC, t) AS r
+      FROM (SELECT page_id, verdict, unnest(tokens) AS t FROM labelled) JOIN told USING (t))
+    WHERE r <= 8 GROUP BY page_id, verdict),
+  combined AS (
+    SELECT verdict, [items[i + 1] for i in range(0, len(items)) if (mask >> i) & 1 = 1] AS ant
+    FROM (SELECT verdict, items, unnest(range(1, (1 << len(items))::BIGINT)) AS mask FROM chosen)),
+  mined AS (
+    SELECT ant, v AS verdict, count(*) FILTER (WHERE verdict = v) AS n,
+      (count(*) FILTER (WHERE verdict = v))::DOUBLE / count(*)::DOUBLE AS confidence
+    FROM combined, (VALUES ('allow'), ('block')) AS k(v) GROUP BY ant, v
+    HAVING count(*) FILTER (WHERE verdict = v) >= (SELECT least FROM sizes) AND n > 0
+      AND (count(*) FILTER (WHERE verdict = v))::DOUBLE / count(*)::DOUBLE >= 0.8::DOUBLE),
+  fired AS (
+    SELECT page_id, verdict AS mined, array_to_string(ant, ' ') AS evidence
+    FROM read JOIN mined ON list_has_all(tokens, ant)
+    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY
+      confidence DESC, n DESC, len(ant), array_to_string(ant, ' '), verdict) = 1),
+  usual AS (SELECT CASE WHEN n - a > a THEN 'block' ELSE 'allow' END AS usual FROM sizes)
+  SELECT page_id, host, path, rule, coalesce(verdict, mined, usual) AS verdict,
+    CASE WHEN rule IS NOT NULL THEN 'rule' WHEN mined IS NOT NULL THEN 'mined' ELSE 'default' END AS basis,
+    CASE WHEN rule IS NULL THEN evidence END AS evidence
+  FROM read LEFT JOIN fits USING (page_id) LEFT JOIN fired USING (page_id), usual""")
+def op12_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return judge(pages, URL_RULES).drop("url")
