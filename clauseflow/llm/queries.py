@@ -14,6 +14,7 @@ from clauseflow.llm.jaccard import Similarity, link_components
 from clauseflow.llm.langid import held_out, identify, learn
 from clauseflow.llm.linededup import dedup_lines
 from clauseflow.llm.pages import extract
+from clauseflow.llm.phrases import collocations
 from clauseflow.llm.secrets import scan
 from clauseflow.llm.substrings import dedup_substrings
 from clauseflow.llm.tokencount import count_tokens
@@ -326,3 +327,35 @@ def _url_tokens_sql(text: str, mark: str, kind: str) -> str:
 def op12_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "url")
     return judge(pages, URL_RULES).drop("url")
+
+
+@query("op11_phrase_collocations", f"""
+  WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      {LOWER_SQL.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+  f AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::BIGINT AS f
+    FROM w, (VALUES (1), (2), (3), (4)) AS sizes(k), unnest(range(1, len(w) - k + 2)) AS r(i)
+    WHERE len(w) >= k GROUP BY ALL),
+  n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+  cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+  cuts AS (
+    SELECT c.lang, c.phrase, c.f AS a, j, x.f AS l, y.f AS r,
+      ((2000000::HUGEINT * c.f) // (x.f::HUGEINT + y.f))::BIGINT AS score
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1:], ' ')),
+  scored AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+  inside AS (
+    SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(f) AS longer
+    FROM cand, (VALUES (2), (3)) AS sizes(s), unnest(range(1, k - s + 2)) AS r(i)
+    WHERE s < k GROUP BY 1, 2),
+  ranked AS (
+    SELECT s.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM scored s LEFT JOIN inside USING (lang, phrase)
+    WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+  SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""")
+def op11_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations(table(spark, sf, "documents").select("text", "lang"))
