@@ -19,7 +19,7 @@ each distinct phrase of a slice goes to the aggregation.
 Nulls and odd input: a null text counts as empty, a null language as ``und``; a text without
 words adds nothing; repeated rows count as often as they occur; ties are ordered by phrase; an
 empty table gives an empty result. Columns other than text and language are not read. Texts are
-read whole, whatever their length: a longer text than a slice (2 MB) makes a slice of its own.
+read whole, whatever their length: a longer text than a slice (1 MB) makes a slice of its own.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ from clauseflow.llm import twofilters
 from clauseflow.llm.words import LOWER, U, Words, column, join_two
 from clauseflow.session import cut_lineage
 
-#: Bytes of texts handled together.
-SLICE = 1 << 21
+#: Bytes of texts handled together, and rows handed on at once.
+SLICE, ROWS = 1 << 20, 1 << 15
 #: Bits of a filter for each proposed phrase, places each sets, and most bits of a filter.
 BITS_EACH, PLACES, FILTER_BITS = 10, 3, 1 << 28
 #: Parts that a language's candidates are dealt into before its first ones are taken.
@@ -62,7 +62,7 @@ class Mining:
 
     longest: int = 4
     least: int = 30
-    share: float = 1 / 8
+    share: float = 1 / 16
     ease: float = 0.8
 
     @property
@@ -125,8 +125,8 @@ def _member(filters: list, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _counted(s: Slice, longest: int, filters: list | None) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(words, phrases, counts) of a slice: all phrases without filters; else those with both
+def _counted(s: Slice, longest: int, filters: list | None) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(phrases, counts) of a slice: all phrases without filters; else those with both
     parts in any filter, but not both in any but the last one."""
     n = len(s.ids)
     again = filters is not None and len(filters) > 1
@@ -162,11 +162,11 @@ def _counted(s: Slice, longest: int, filters: list | None) -> Iterator[tuple[int
             now = _member(filters, keys)
             known = now, (_member(filters[:-1], keys) if again else None)
             if not again:
-                yield k, texts, counts
+                yield texts, counts
             elif fresh.any():
-                yield k, texts.filter(pa.array(fresh)), counts[fresh]
+                yield texts.filter(pa.array(fresh)), counts[fresh]
         elif fresh.any():
-            yield k, s.phrases(places[fresh], k)[0], counts[fresh]
+            yield s.phrases(places[fresh], k)[0], counts[fresh]
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
@@ -185,23 +185,22 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
             yield lang, group
 
 
-COUNTS = "lang string, words int, phrase string, f bigint"
+#: A phrase and its language in one key: a line feed ends pieces, so no phrase holds one.
+COUNTS = "key string, f bigint"
+LINE = pa.scalar(b"\n", pa.large_binary())
 
 
 def _count(docs: DataFrame, longest: int, filters: list | None) -> DataFrame:
-    """Summed counts; the number of all words of a language stands in a row of 0 words."""
-
-    def rows(lang: str, k: int, phrases: pa.Array, f: np.ndarray) -> pa.RecordBatch:
-        n = len(phrases)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))),
-                pa.array(np.full(n, k, np.int32)),
-                phrases.cast(pa.large_string()).cast(pa.string()),
-                pa.array(f.astype(np.int64)),
-            ],
-            names=["lang", "words", "phrase", "f"],
-        )
+    """(lang, phrase, f) summed; the number of all words of a language stands with an empty phrase."""
+
+    def rows(lang: str, phrases: pa.Array, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(phrases), ROWS):
+            part = phrases.slice(at, ROWS)
+            keys = pc.binary_join_element_wise(part, pa.scalar(lang.encode(), pa.large_binary()), LINE)
+            yield pa.RecordBatch.from_arrays(
+                [keys.cast(pa.large_string()).cast(pa.string()), pa.array(f[at : at + ROWS].astype(np.int64))],
+                names=["key", "f"],
+            )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,11 +209,15 @@ def _count(docs: DataFrame, longest: int, filters: list | None) -> DataFrame:
                 if not len(s.ids):
                     continue
                 if filters is None or len(filters) == 1:
-                    yield rows(lang, 0, pa.array([b""], pa.large_binary()), np.array([len(s.ids)]))
-                for k, phrases, f in _counted(s, longest, filters):
-                    yield rows(lang, k, phrases, f)
+                    yield from rows(lang, pa.array([b""], pa.large_binary()), np.array([len(s.ids)]))
+                for phrases, f in _counted(s, longest, filters):
+                    yield from rows(lang, phrases, f)
+        pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(count, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    summed = docs.mapInArrow(count, COUNTS).groupBy("key").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("key", "\n", 1)
+    lang = F.substring(F.col("key"), F.char_length(phrase) + 2, F.char_length("key"))
+    return summed.select(lang.alias("lang"), phrase.alias("phrase"), "f")
 
 
 def _filter(proposed: DataFrame, size: int) -> twofilters.Filter:
@@ -234,17 +237,22 @@ def frequent_phrases(
         F.coalesce(column(docs, lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(column(docs, text_col).cast("string"), F.lit("")).cast("binary").alias("body"),
     )
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
     part = F.col("words").between(1, how.longest - 1)
     sample = body.where(F.rand(11) < how.share)
     proposed = cut_lineage(
-        _count(sample, how.longest - 1, None).where(part & (F.col("f") >= how.lowered)).select("lang", "phrase")
+        _count(sample, how.longest - 1, None)
+        .where((F.col("f") >= how.lowered) & (F.col("phrase") != ""))
+        .select("lang", "phrase")
     )
     filters: list[twofilters.Filter] = []
     frequent = None
     while (size := proposed.count()) or not filters:
         filters.append(_filter(proposed, size))
         found = cut_lineage(
-            _count(body, how.longest, filters).where((F.col("f") >= how.least) | (F.col("words") == 0))
+            _count(body, how.longest, filters)
+            .where((F.col("f") >= how.least) | (F.col("phrase") == ""))
+            .select("lang", words.alias("words"), "phrase", "f")
         )
         frequent = found if frequent is None else frequent.unionByName(found)
         sent = list(filters)
