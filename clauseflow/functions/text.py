@@ -7,6 +7,7 @@ and can be pushed next to the scan.
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -29,9 +30,60 @@ def native(pack: LexiconPack, name: str) -> str:
     return java_ci(pattern) if name in CASE_FREE else java_unicode(pattern)
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+@lru_cache(maxsize=1)
+def compat_pattern() -> str:
+    """Words with a character that NFKC changes, joins to the one before, or puts in order.
+
+    The characters follow from the Unicode data of the running Python: those with another form,
+    those with a combining class, and those that end a composed pair. Words begin behind white
+    space, which takes no part in compositions, so a word can be normalised by itself.
+    """
+    marked = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    for cp in range(0xA0, 0x110000):
+        if 0xD800 <= cp < 0xE000 or 0xAC00 <= cp < 0xD7A4:
+            continue
+        ch = chr(cp)
+        if unicodedata.combining(ch) or unicodedata.normalize("NFKC", ch) != ch:
+            marked.add(cp)
+        parts = unicodedata.decomposition(ch).split()
+        if len(parts) == 2 and "<" not in parts[0]:
+            marked.add(int(parts[1], 16))
+
+    def ranges(cps: list[int]) -> str:
+        out, first = [], None
+        for i, cp in enumerate(cps):
+            first = cp if first is None else first
+            if i + 1 == len(cps) or cps[i + 1] != cp + 1:
+                out.append(f"\\x{{{first:X}}}-\\x{{{cp:X}}}")
+                first = None
+        return "".join(out)
+
+    known = sorted(cp for cp in marked if cp > 0x7F)
+    low, high = [c for c in known if c < 0x100], [c for c in known if c >= 0x100]
+    # most texts are decided by the two small classes; the long one is asked beyond Latin-1 only
+    one = f"(?:[{ranges(low)}]|(?=[^\\x00-\\xFF])[{ranges(high)}])"
+    return rf"(?<![^ \t\n\x0B\f\r])[^ \t\n\x0B\f\r]*?{one}[^ \t\n\x0B\f\r]*"
+
+
+def _nfkc_words(words: pd.Series) -> pd.Series:
+    return words.map(
+        lambda ws: None if ws is None else [unicodedata.normalize("NFKC", w) for w in ws]
+    )
+
+
+def compat_text(c: Column) -> Column:
+    """NFKC of a text; only the words that it changes leave the JVM."""
+    pattern = compat_pattern()
+    some = F.rlike(c, F.lit(pattern))
+    # marked so that the optimizer leaves the call where it is and never repeats it in a lambda
+    fix = F.pandas_udf(_nfkc_words, T.ArrayType(T.StringType())).asNondeterministic()
+    words = fix(
+        F.when(some, F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
+    )
+    pieces = F.zip_with(
+        F.split(c, pattern, -1), words, lambda gap, word: F.array(gap, F.coalesce(word, F.lit("")))
+    )
+    return F.when(some, F.array_join(F.flatten(pieces), "")).otherwise(c)
 
 
 # white space of all scripts, spelled out because ``(?U)\\s`` is several times slower
@@ -45,13 +97,20 @@ def collapse_spaces(c: Column) -> Column:
 
 
 def normalize_text(c: Column, compat: bool = False) -> Column:
-    """Lower-cased text with single spaces; ``compat`` adds NFKC through Arrow.
+    """Lower-cased text with single spaces, after NFKC where ``compat`` asks for it."""
+    base = compat_text(c) if compat else c
+    return collapse_spaces(F.lower(base))
+
 
-    NFKC leaves pure Latin-1 letters alone, so the Python hop can be skipped where the
-    corpus is known to hold no compatibility characters.
+def normalize_each(texts: Column) -> Column:
+    """``normalize_text`` with NFKC of each of a row's short texts, in one pass over all of them.
+
+    NFKC leaves line feeds alone and joins nothing across them, so the texts are joined by them
+    and taken apart again; a line feed inside a text is white space in any case.
     """
-    base = nfkc(c) if compat else c
-    return collapse_spaces(F.lower(base))
+    lines = F.array_join(F.transform(texts, lambda x: F.translate(F.coalesce(x, F.lit("")), "\n", " ")), "\n")
+    split = F.when(F.size(texts) > 0, F.split(compat_text(lines), "\n", -1)).otherwise(F.array().cast("array<string>"))
+    return F.transform(split, lambda x: collapse_spaces(F.lower(x)))
 
 
 def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
@@ -154,7 +213,7 @@ def literal_quote_ok(text: Column, quote: Column) -> Column:
 
 def exact_containment(doc_norm: Column, quote: Column) -> Column:
     """Normalised quote is a substring; an empty quote or document never is."""
-    q = normalize_text(F.coalesce(quote, F.lit("")))
+    q = normalize_text(F.coalesce(quote, F.lit("")), compat=True)
     d = F.coalesce(doc_norm, F.lit(""))
     return (F.length(q) > 0) & (F.length(d) > 0) & F.contains(d, q)
 

@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clauseflow.functions.text import TOKEN, all_matches, normalize_text
+from clauseflow.session import cut_lineage
 
 SHINGLE = 5
 
 
-def shingle_rows(df: DataFrame, key: str, text: str, out: str = "_h") -> DataFrame:
-    """One row per word 5-gram of the text, as a hash."""
-    toks = df.select(key, all_matches(F.col(text), TOKEN).alias("_t"))
-    n = F.size("_t") - SHINGLE + 1
-    # the array is zipped with its own shifts, so no exploded row carries it
-    shifts = F.arrays_zip(*[F.slice("_t", k + 1, n).alias(f"s{k}") for k in range(SHINGLE)])
-    hashes = F.transform(shifts, lambda x: F.xxhash64(*[x[f"s{k}"] for k in range(SHINGLE)]))
-    return (
-        toks.where(F.size("_t") >= SHINGLE)
-        .select(key, F.explode(F.array_distinct(hashes)).alias(out))
+#: Quotes of so many words and more are found by the 5-gram of their words 2 to 6.
+LONG = SHINGLE + 2
+#: Characters of the key of a quote without an inner word.
+PART = 3
+
+
+def _grams(toks: Column, size: int, kind: str) -> Column:
+    """Distinct keys of the ``size`` neighbouring words of an array of words."""
+    n = F.greatest(F.size(toks) - size + 1, F.lit(0))
+    shifts = F.arrays_zip(*[F.slice(toks, k + 1, n).alias(f"s{k}") for k in range(size)])
+    return F.array_distinct(
+        F.transform(shifts, lambda x: F.xxhash64(F.lit(kind), *[x[f"s{k}"] for k in range(size)]))
+    )
+
+
+def _parts(toks: Column, size: int) -> Column:
+    """Distinct keys of the ``size`` neighbouring characters of the words."""
+    cut = F.flatten(
+        F.transform(
+            toks,
+            lambda w: F.transform(
+                F.sequence(F.lit(1), F.greatest(F.length(w) - size + 1, F.lit(1))),
+                lambda at: F.substring(w, at, F.lit(size)),
+            ),
+        )
     )
+    return F.array_distinct(F.transform(F.array_distinct(cut), lambda x: F.xxhash64(F.lit("part"), x)))
 
 
 def containment_join(
@@ -30,40 +47,54 @@ def containment_join(
 
     The inner words of a contained quote are whole words of the document (its first and last
     word may be cut), so they give an equi-join key and the substring test runs only on
-    candidates: the 5-gram of words 2 to 6 for quotes of seven or more words, word 2 for
-    quotes of three to six.  One- and two-word quotes have no safe inner word and are tested
-    against each document; where there are none, AQE drops that branch.
+    candidates: words 2 to 6 of a quote of seven or more words, all inner words of one of three
+    to six. A quote of one or two words is found by the first characters of its longest word, one
+    without any word (marks only) by its mere characters. Of the sizes only those that the quotes
+    have are cut from the documents, and a document's keys are distinct before they leave its row.
     """
-    q = quotes.select(quote_key, normalize_text(F.col(quote_text)).alias("_q")).where(
+    q = quotes.select(quote_key, normalize_text(F.col(quote_text), compat=True).alias("_q")).where(
         F.length("_q") > 0
     )
-    d = docs.select(doc_key, normalize_text(F.col(doc_text)).alias("_d"))
-    toks = all_matches(F.col("_q"), TOKEN)
-    q = q.withColumn("_n", F.size(toks)).withColumn(
-        "_h",
-        F.when(
-            F.size(toks) >= SHINGLE + 2,
-            F.xxhash64(*[F.get(toks, F.lit(1 + k)) for k in range(SHINGLE)]),
-        ).when(F.size(toks) >= 3, F.xxhash64(F.get(toks, F.lit(1)))),
+    q = q.withColumn("_t", all_matches(F.col("_q"), TOKEN))
+    n = F.size("_t")
+    longest = F.array_max(F.transform("_t", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    kind = (
+        F.when(n >= LONG, F.lit(SHINGLE)).when(n >= 3, n - 2)
+        .when(n >= 1, -F.least(F.length(longest), F.lit(PART))).otherwise(F.lit(0))
     )
-    long_q, mid_q = q.where(F.col("_n") >= SHINGLE + 2), q.where(F.col("_n").between(3, SHINGLE + 1))
-    words = d.select(
-        doc_key, F.explode(F.array_distinct(all_matches(F.col("_d"), TOKEN))).alias("_w")
-    ).select(doc_key, F.xxhash64("_w").alias("_h"))
-
-    def candidates(rows: DataFrame, part: DataFrame) -> DataFrame:
-        return rows.join(part.select(quote_key, "_h"), "_h").select(quote_key, doc_key).distinct()
-
-    both = candidates(shingle_rows(d, doc_key, "_d"), long_q).unionByName(candidates(words, mid_q))
-    by_key = (
-        both.join(d, doc_key)
-        .join(q.select(quote_key, "_q"), quote_key)
-        .where(F.contains("_d", "_q"))
-        .select(quote_key, doc_key)
+    inner = F.slice("_t", 2, F.greatest(F.least(n - 2, F.lit(SHINGLE)), F.lit(1)))
+    q = q.withColumn("_kind", kind).withColumn("_inner", inner).withColumn("_longest", longest)
+    q = cut_lineage(q.select(quote_key, "_q", "_kind", "_inner", "_longest"))
+    kinds = sorted(r[0] for r in q.select("_kind").distinct().collect())  # 9 at most
+
+    d = docs.select(doc_key, normalize_text(F.col(doc_text), compat=True).alias("_d"))
+    toks = d.select(doc_key, all_matches(F.col("_d"), TOKEN).alias("_t"))
+    both = None
+    for k in kinds:
+        own = q.where(F.col("_kind") == k)
+        if k > 0:
+            key = F.xxhash64(F.lit(f"words{k}"), *[F.get("_inner", F.lit(i)) for i in range(k)])
+            keys = toks.select(doc_key, F.explode(_grams(F.col("_t"), k, f"words{k}")).alias("_h"))
+        elif k < 0:
+            key = F.xxhash64(F.lit("part"), F.substring("_longest", 1, -k))
+            keys = toks.select(doc_key, F.explode(_parts(F.col("_t"), -k)).alias("_h"))
+        else:
+            key = F.xxhash64(F.lit("mark"), F.substring("_q", 1, 1))
+            marks = F.array_distinct(F.split(F.regexp_replace("_d", r"[\p{L}\p{N}_]", ""), ""))
+            keys = d.select(doc_key, F.explode(marks).alias("_m")).select(
+                doc_key, F.xxhash64(F.lit("mark"), F.col("_m")).alias("_h")
+            )
+        found = keys.join(own.select(quote_key, key.alias("_h")), "_h").select(quote_key, doc_key)
+        both = found if both is None else both.unionByName(found)
+    if both is None:
+        return docs.select(doc_key).limit(0).join(quotes.select(quote_key).limit(0), F.lit(False)).select(quote_key, doc_key)
+    met = both.distinct().join(q.select(quote_key, "_q"), quote_key)
+    # a document's candidates come together, so its text is sent and read once
+    listed = met.groupBy(doc_key).agg(F.collect_list(F.struct(F.col(quote_key).alias("key"), "_q")).alias("_c"))
+    hits = d.join(listed, doc_key).select(
+        doc_key, F.explode(F.filter("_c", lambda c: F.contains(F.col("_d"), c["_q"]))).alias("_c")
     )
-    short_q = q.where(F.col("_n") < 3).select(quote_key, "_q")
-    direct = d.join(short_q, F.contains("_d", "_q")).select(quote_key, doc_key)
-    return by_key.unionByName(direct)
+    return hits.select(F.col("_c.key").alias(quote_key), doc_key)
 
 
 def attach(

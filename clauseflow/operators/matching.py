@@ -8,7 +8,7 @@ one document, so the arrays are bounded by one text.
 from __future__ import annotations
 
 import difflib
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 
 import numpy as np
 import pandas as pd
@@ -127,6 +127,29 @@ def candidate_totals(gold: DataFrame, flags: DataFrame, key: str, table) -> Data
     )
 
 
+def containment_candidates(gold: DataFrame, flags: DataFrame, key: str) -> DataFrame:
+    """(key, type, quote, flag_quote, n_gold, n_flag, cr) over all gold x flag candidates.
+
+    Candidates are the findings and flags of one type in one episode. Equal quotes count once,
+    with their numbers; a pair without a common token has the ratio 0 and is no row. The pairs
+    come from a join on the token, so a quote meets only quotes it shares a token with.
+    """
+
+    def side(df: DataFrame, type_col: str, n: str) -> DataFrame:
+        counted = df.groupBy(key, F.col(type_col).alias("type"), "quote").agg(F.count(F.lit(1)).alias(n))
+        return counted.withColumn("tokens", X.tokens(F.col("quote")))
+
+    g, p = side(gold, "finding_type", "n_gold"), side(flags, "flag_type", "n_flag")
+    gt = g.select(key, "type", "quote", "n_gold", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    pt = p.select(key, "type", F.col("quote").alias("flag_quote"), "n_flag", F.explode("tokens").alias("token"))
+    both = gt.join(pt, [key, "type", "token"])
+    return both.groupBy(key, "type", "quote", "flag_quote").agg(
+        F.first("n_gold").alias("n_gold"),
+        F.first("n_flag").alias("n_flag"),
+        (F.count(F.lit(1)) / F.first("size")).alias("cr"),
+    )
+
+
 # ------------------------------------------------------------------ assignment
 def finding_arrays(
     gold: DataFrame, flags: DataFrame, vectors: DataFrame | None, key: str, pack: LexiconPack
@@ -245,64 +268,90 @@ def assign(
 
 
 # ------------------------------------------------------------------ containment
-def _fuzzy_tail(quote: str, doc: str, ratio: float) -> bool:
-    """Sequence similarity of a quote with the tail windows of a document.
+def _step(n):
+    return max(n // 2, 200)
 
-    The ratio is 2M/(|q|+|w|) with M <= |q|, so a full window of 2|q| characters stays at or
-    below 2/3 and cannot pass.  Only windows cut short by the end of the text are tried.
+
+def _fuzzy_tail(quote: str, tail: str, ratio: float) -> bool:
+    """Sequence similarity of a quote with the windows of a tail, see ``tail_of``.
+
+    Two bounds come before the matcher: by lengths, and by the characters both hold.
     """
-    n = len(quote)
-    step = max(n // 2, 200)
-    first = max(0, len(doc) - 2 * n)
-    start = -(-first // step) * step
-    for i in range(start, len(doc), step):
-        window = doc[i : i + 2 * n]
-        if 2 * min(n, len(window)) / (n + len(window)) < ratio:
+    n, have = len(quote), Counter(quote)
+    for i in range(0, len(tail), _step(n)):
+        window = tail[i : i + 2 * n]
+        whole = n + len(window)
+        if 2 * min(n, len(window)) / whole < ratio:
+            continue
+        if 2 * sum((have & Counter(window)).values()) / whole < ratio:
             continue
         if difflib.SequenceMatcher(None, quote, window).ratio() >= ratio:
             return True
     return False
 
 
-@F.pandas_udf(T.BooleanType())
-def fuzzy_containment(doc_norm: pd.Series, quote_norm: pd.Series) -> pd.Series:
-    """Fuzzy part of citation containment, for quotes of 30 or more characters."""
+def tail_of(doc_norm: Column, quote_norm: Column) -> Column:
+    """The part of a document in which a quote can pass the sequence test.
+
+    The ratio is 2M/(|q|+|w|) with M <= |q|, so a full window of 2|q| characters stays at or
+    below 2/3 and cannot pass: only windows cut short by the end of the text are left, the first
+    of which begins at the first multiple of the step in the last 2|q| characters.
+    """
+    n, size = F.length(quote_norm), F.length(doc_norm)
+    step = F.greatest(F.floor(n / 2), F.lit(200))
+    start = F.ceil(F.greatest(size - 2 * n, F.lit(0)) / step) * step
+    return F.substring(doc_norm, (start + 1).cast("int"), (2 * n).cast("int"))
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _fuzzy_each(pairs: pd.Series) -> pd.Series:
     return pd.Series(
         [
-            bool(d) and bool(q) and len(q) >= L.FUZZY_QUOTE_MIN_CHARS
-            and _fuzzy_tail(q, d, L.FUZZY_QUOTE_RATIO)
-            for d, q in zip(doc_norm, quote_norm)
-        ]
+            [bool(p) and _fuzzy_tail(p["q"], p["tail"], L.FUZZY_QUOTE_RATIO) for p in ps] if ps is not None else []
+            for ps in pairs
+        ],
+        dtype=object,
     )
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def contained_each(doc_norm: pd.Series, quotes_norm: pd.Series) -> pd.Series:
-    """Citation containment of all quotes of one document, which travels once."""
-
-    def hit(q: str, d: str) -> bool:
-        if not q or not d:
-            return False
-        return q in d or (
-            len(q) >= L.FUZZY_QUOTE_MIN_CHARS and _fuzzy_tail(q, d, L.FUZZY_QUOTE_RATIO)
+def contained_each(df: DataFrame, doc_norm: str, quotes: str, out: str) -> DataFrame:
+    """Add ``out``: citation containment of each of a document's quotes (both normalised).
+
+    The exact test is native. Quotes that it leaves open go to Python with the tail of the
+    document they can match, never with the whole text.
+    """
+
+    def over(body) -> Column:
+        # as the argument of a lambda the text is evaluated once a row
+        return F.when(
+            F.col(quotes).isNotNull() & (F.size(quotes) > 0),
+            F.get(F.transform(F.array(F.coalesce(F.col(doc_norm), F.lit(""))), body), F.lit(0)),
         )
 
-    return pd.Series(
-        [[hit(q, d) for q in (qs if qs is not None else [])] for d, qs in zip(doc_norm, quotes_norm)]
+    exact = over(lambda d: F.transform(quotes, lambda q: (F.length(q) > 0) & F.contains(d, q)))
+    open_ = over(
+        lambda d: F.zip_with(
+            quotes,
+            "_exact",
+            lambda q, hit: F.when(
+                ~hit & (F.length(q) >= L.FUZZY_QUOTE_MIN_CHARS) & (F.length(d) > 0),
+                F.struct(q.alias("q"), tail_of(d, q).alias("tail")),
+            ),
+        )
     )
+    staged = df.withColumn("_exact", exact).withColumn("_open", open_)
+    some = F.exists("_open", lambda x: x.isNotNull())
+    staged = staged.withColumn("_fuzzy", _fuzzy_each(F.when(some, F.col("_open"))))
+    hit = F.zip_with("_exact", "_fuzzy", lambda a, b: a | F.coalesce(b, F.lit(False)))
+    none = F.array().cast("array<boolean>")
+    return staged.withColumn(out, F.coalesce(hit, none)).drop("_exact", "_open", "_fuzzy")
 
 
 def contained(df: DataFrame, doc_norm: str, quote: str, out: str) -> DataFrame:
     """Add the boolean ``out``: exact substring first, fuzzy windows for the rest.
 
-    The exact test is native.  The document column ends here: only rows the exact test
-    leaves open carry their text on to Python.
+    The document column ends here.
     """
-    exact = X.exact_containment(F.col(doc_norm), F.col(quote))
-    q = X.normalize_text(F.coalesce(F.col(quote), F.lit("")))
-    staged = df.withColumn("_exact", exact).withColumn("_q", q)
-    open_ = ~F.col("_exact") & (F.length("_q") >= L.FUZZY_QUOTE_MIN_CHARS)
-    staged = staged.withColumn("_doc", F.when(open_, F.col(doc_norm))).drop(doc_norm)
-    staged = staged.withColumn("_q", F.when(F.col("_doc").isNotNull(), F.col("_q")))
-    staged = staged.withColumn(out, F.col("_exact") | fuzzy_containment("_doc", "_q"))
-    return staged.drop("_exact", "_q", "_doc")
+    q = X.normalize_text(F.coalesce(F.col(quote), F.lit("")), compat=True)
+    staged = contained_each(df.withColumn("_q", F.array(q)), doc_norm, "_q", "_hits")
+    return staged.withColumn(out, F.get("_hits", F.lit(0))).drop(doc_norm, "_q", "_hits")

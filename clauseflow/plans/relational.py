@@ -17,7 +17,7 @@ from clauseflow.plans.base import (
 from clauseflow.plans.projections import INCLUSION_SQL, flag_records, scoped_events
 from clauseflow.plans.registry import query, table
 from clauseflow.plans.reports import (
-    LEVELS, PRED_SQL, binary_sql, div, predictions, r6, synonym_sql,
+    _NQ, LEVELS, PLAIN, PRED_SQL, WIDE, binary_sql, div, predictions, r6, synonym_sql,
 )
 
 q = quoted
@@ -133,16 +133,28 @@ def j07(spark, sf):
     )
 
 
-_NORM = r"trim(regexp_replace(lower(%s), '[\t\n\v\f\r\x{85}\p{Z}]+', ' ', 'g'))"
+_NORM = _NQ
+#: Quotes of every size: items as they stand or in full-width forms, and their first few words.
+J08_QUOTES = f"""SELECT item_id, CASE item_id % 4 WHEN 1 THEN translate(text, '{PLAIN}', '{WIDE}')
+  WHEN 2 THEN array_to_string(string_split(text, ' ')[1:4], ' ') WHEN 3 THEN array_to_string(string_split(text, ' ')[1:(1 + item_id % 2)::INT], ' ')
+  ELSE text END AS text FROM benchmark"""
 
 
 @query("j08_containment_join", f"""
 SELECT b.item_id, d.doc_id FROM (SELECT doc_id, {_NORM % 'text'} AS t FROM documents) d,
- (SELECT item_id, {_NORM % 'text'} AS t FROM benchmark) b WHERE contains(d.t, b.t)""")
+ (SELECT item_id, {_NORM % 'text'} AS t FROM ({J08_QUOTES})) b WHERE contains(d.t, b.t)""")
 def j08(spark, sf):
+    k = F.col("item_id") % 4
+    words = F.split("text", " ", -1)
+    quotes = table(spark, sf, "benchmark").select(
+        "item_id",
+        F.when(k == 1, F.translate("text", PLAIN, WIDE))
+        .when(k == 2, F.array_join(F.slice(words, 1, 4), " "))
+        .when(k == 3, F.array_join(F.slice(words, F.lit(1), (1 + F.col("item_id") % 2).cast("int")), " "))
+        .otherwise(F.col("text")).alias("text"),
+    )
     return containment_join(
-        table(spark, sf, "benchmark"), "item_id", "text",
-        documents(spark, sf, "doc_id", "text"), "doc_id", "text",
+        quotes, "item_id", "text", documents(spark, sf, "doc_id", "text"), "doc_id", "text",
     )
 
 

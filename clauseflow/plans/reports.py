@@ -143,17 +143,63 @@ def g03(spark, sf):
                     *G.rounded(G.prf(F.col("matched"), F.col("gold"), F.col("pred"))))
 
 
-_NQ = r"trim(regexp_replace(lower(%s), '[\t\n\v\f\r\x{85}\p{Z}]+', ' ', 'g'))"
-CONTAIN_SQL = f"""SELECT g.*, contains({_NQ % 'd.text'}, {_NQ % 'g.quote'}) AND length({_NQ % 'g.quote'}) > 0 AS hit
-   FROM gold g JOIN documents d USING (doc_id)"""
+#: ASCII letters and digits and their full-width forms, which NFKC folds back.
+PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+WIDE = "".join(chr(ord(c) + 0xFEE0) for c in PLAIN)
+_NQ = r"trim(regexp_replace(lower(translate(%s, '" + WIDE + r"', '" + PLAIN + r"')), '[\t\n\v\f\r\x{85}\p{Z}]+', ' ', 'g'))"
+#: Citations as a reader might write them: as they stand, in full-width forms, in capitals with
+#: wider spaces, or with a word that the document lacks.
+CITED_SQL = f"""CASE ('0x' || md5(concat_ws(':', doc_id, type_ord, idx))[1])::BIGINT % 4
+  WHEN 1 THEN translate(quote, '{PLAIN}', '{WIDE}') WHEN 2 THEN quote || ' ' || md5(quote)
+  WHEN 3 THEN replace(translate(quote, '{PLAIN[26:52]}', '{PLAIN[:26]}'), ' ', '  ') ELSE quote END"""
+CONTAIN_SQL = f"""SELECT g.*, contains({_NQ % 'd.text'}, {_NQ % 'g.cited'}) AND length({_NQ % 'g.cited'}) > 0 AS hit
+   FROM (SELECT *, {CITED_SQL} AS cited FROM gold) g JOIN documents d USING (doc_id)"""
+
+
+def cited(doc, x):
+    """The citation of a finding ``x``, see ``CITED_SQL``."""
+    q = x["quote"]
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", doc, x["type_ord"], x["idx"])), 1, 1), 16, 10).cast("int") % 4
+    shouted = F.replace(F.translate(q, PLAIN[26:52], PLAIN[:26]), F.lit(" "), F.lit("  "))
+    return (
+        F.when(draw == 1, F.translate(q, PLAIN, WIDE))
+        .when(draw == 2, F.concat(q, F.lit(" "), F.md5(q)))
+        .when(draw == 3, shouted)
+        .otherwise(q)
+    )
 
 
 def exact_hits(spark, sf):
-    """Gold findings with the exact part of citation containment in their own document."""
-    d = table(spark, sf, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("t"))
-    return gold(spark, sf).join(d, "doc_id").withColumn(
-        "hit", X.exact_containment(F.col("t"), F.col("quote"))
-    ).drop("t")
+    """Gold findings with the exact part of citation containment in their own document.
+
+    Findings, citations and the test share the document's row; texts are neither joined nor
+    copied for each finding, and NFKC runs once over all citations of a document.
+    """
+    t = F.col("text")
+    d = documents(spark, sf, "doc_id", "text").select(
+        "doc_id", "text", X.pack_findings(t, N.gold, "finding_type").alias("g")
+    )
+    # a line feed joins the citations: normalisation keeps it apart from none of them
+    each = F.transform("g", lambda x: cited(F.col("doc_id"), x))
+    d = d.select("doc_id", "g", F.when(F.size("g") > 0, X.normalize_text(t, compat=True)).alias("t"), each.alias("cited"))
+    d = d.withColumn("q", X.normalize_each(F.col("cited")))
+    # as the argument of a lambda the text is evaluated once a row
+    hits = F.when(
+        F.size("q") > 0,
+        F.get(
+            F.transform(F.array("t"), lambda t: F.transform("q", lambda q: (F.length(q) > 0) & F.contains(t, q))),
+            F.lit(0),
+        ),
+    )
+    found = d.select("doc_id", F.explode(F.arrays_zip("g", hits.alias("hit"))).alias("z")).select(
+        "doc_id", "z.g.*", "z.hit"
+    )
+    sev = table(spark, sf, "labels").select(
+        "doc_id",
+        F.when((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit("established"))
+        .otherwise(F.lit("not_established")).alias("severity"),
+    )
+    return found.join(sev, "doc_id")
 
 
 @query("g04_citation_rates", with_ctes("gold", f"""
@@ -360,9 +406,11 @@ def g10(spark, sf):
     )
     m = m.select("doc_id", "text", F.concat(*[left_over(p) for p in N.gold]).alias("open"))
     # the quotes are tested inside the row: an explode would copy the text per finding
-    m = m.select("doc_id", F.when(F.size("open") > 0, X.normalize_text(t)).alias("t"), "open")
-    quotes = F.transform("open", lambda o: X.normalize_text(o["quote"]))
-    m = m.withColumn("hits", M.contained_each(F.col("t"), quotes)).select("doc_id", "open", "hits")
+    m = m.select(
+        "doc_id", F.when(F.size("open") > 0, X.normalize_text(t, compat=True)).alias("t"), "open",
+        X.normalize_each(F.transform("open", lambda o: o["quote"])).alias("q"),
+    )
+    m = M.contained_each(m, "t", "q", "hits").select("doc_id", "open", "hits")
     u = m.select("doc_id", F.explode(F.arrays_zip("open", "hits")).alias("z")).select(
         "doc_id", "z.open.finding_type", "z.open.quote", F.col("z.hits").alias("hit")
     )
@@ -738,35 +786,58 @@ def m02(spark, sf):
 TOK = r"list_distinct(regexp_extract_all(lower(%s), '[\p{L}\p{N}_]+'))"
 
 
-@query("m03_containment_ratio", with_ctes("gold flags", f"""
-SELECT g.doc_id, g.type_ord, g.idx, {r6(div(f"len(list_intersect({TOK % 'g.quote'}, {TOK % 'f.quote'}))", f"len({TOK % 'g.quote'})"))} AS cr
-FROM gold g JOIN flags f ON f.doc_id = g.doc_id AND f.flag_type = g.finding_type AND f.idx = g.idx"""))
-def m03(spark, sf):
-    return aligned(spark, sf).select(
-        "doc_id", "type_ord", "idx",
-        F.round(X.token_containment(F.col("gold_quote"), F.col("quote")), 6).alias("cr"),
-    )
+_RATIO = div(f"len(list_intersect({TOK % 'g.quote'}, {TOK % 'f.quote'}))", f"len({TOK % 'g.quote'})")
+CANDIDATE_SQL = f"""gq AS (SELECT doc_id, finding_type AS type, quote, count(*) AS n_gold FROM gold GROUP BY ALL),
+ fq AS (SELECT doc_id, flag_type AS type, quote, count(*) AS n_flag FROM flags GROUP BY ALL),
+ cand AS MATERIALIZED (SELECT doc_id, type, g.quote, n_gold, n_flag, {_RATIO} AS cr FROM gq g JOIN fq f USING (doc_id, type))"""
+
+
+def candidates(spark, sf):
+    """Ratios of all gold x flag candidates and, beside them, the number of all pairs."""
+    g, f = gold(spark, sf), flags(spark, sf)
+    return g, f, M.containment_candidates(g, f, "doc_id")
 
 
-def aligned(spark, sf):
-    """Gold finding and flag of the same type and position: one pair per finding."""
-    g = gold(spark, sf).select(
-        "doc_id", "type_ord", "idx", "finding_type", F.col("quote").alias("gold_quote"), "severity"
+@query("m03_containment_ratio", with_ctes("gold flags", f"""WITH {CANDIDATE_SQL},
+best AS (SELECT doc_id, type, quote, sum(n_flag)::BIGINT AS candidates, {r6('max(cr)')} AS best_cr, {r6('sum(cr * n_flag) / sum(n_flag)')} AS mean_cr
+  FROM cand GROUP BY doc_id, type, quote)
+SELECT g.doc_id, g.type_ord, g.idx, candidates, best_cr, mean_cr FROM gold g JOIN best b ON b.doc_id = g.doc_id AND b.type = g.finding_type AND b.quote = g.quote"""))
+def m03(spark, sf):
+    """Best and mean ratio of each finding over all flags of its type in its document."""
+    g, f, pairs = candidates(spark, sf)
+    met = pairs.groupBy("doc_id", "type", "quote").agg(
+        F.max("cr").alias("best"), F.sum(F.col("cr") * F.col("n_flag")).alias("total")
     )
-    f = flags(spark, sf).select(
-        "doc_id", "idx", F.col("flag_type").alias("finding_type"), "quote", "confidence"
+    n = f.groupBy("doc_id", F.col("flag_type").alias("type")).agg(F.count(F.lit(1)).alias("candidates"))
+    zero = F.lit(0.0)
+    return (
+        g.withColumnRenamed("finding_type", "type")
+        .join(n, ["doc_id", "type"])
+        .join(met, ["doc_id", "type", "quote"], "left")
+        .select(
+            "doc_id", "type_ord", "idx", "candidates", F.round(F.coalesce("best", zero), 6).alias("best_cr"),
+            F.round(F.coalesce("total", zero) / F.col("candidates"), 6).alias("mean_cr"),
+        )
     )
-    return g.join(f, ["doc_id", "finding_type", "idx"])
 
 
-@query("m04_containment_gate", with_ctes("gold flags", f"""
-SELECT finding_type, count(*) AS pairs, count(*) FILTER (cr >= {L.CONTAINMENT_GATE}) AS kept FROM (
- SELECT g.finding_type, {div(f"len(list_intersect({TOK % 'g.quote'}, {TOK % 'f.quote'}))", f"len({TOK % 'g.quote'})")} AS cr
- FROM gold g JOIN flags f ON f.doc_id = g.doc_id AND f.flag_type = g.finding_type AND f.idx = g.idx) GROUP BY finding_type"""))
+@query("m04_containment_gate", with_ctes("gold flags", f"""WITH {CANDIDATE_SQL}
+SELECT type AS finding_type, sum(n_gold * n_flag)::BIGINT AS pairs, coalesce(sum(n_gold * n_flag) FILTER (cr >= {L.CONTAINMENT_GATE}), 0)::BIGINT AS kept
+FROM cand GROUP BY type"""))
 def m04(spark, sf):
-    cr = X.token_containment(F.col("gold_quote"), F.col("quote"))
-    return aligned(spark, sf).groupBy("finding_type").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if(cr >= L.CONTAINMENT_GATE).alias("kept")
+    """Candidate pairs of each type, and those that pass the gate."""
+    g, f, pairs = candidates(spark, sf)
+    kept = pairs.where(F.col("cr") >= L.CONTAINMENT_GATE).groupBy("type").agg(
+        F.sum(F.col("n_gold") * F.col("n_flag")).alias("kept")
+    )
+    by_type = ["doc_id", "type"]
+    every = (
+        g.groupBy("doc_id", F.col("finding_type").alias("type")).agg(F.count(F.lit(1)).alias("a"))
+        .join(f.groupBy("doc_id", F.col("flag_type").alias("type")).agg(F.count(F.lit(1)).alias("b")), by_type)
+        .groupBy("type").agg(F.sum(F.col("a") * F.col("b")).alias("pairs"))
+    )
+    return every.join(kept, "type", "left").select(
+        F.col("type").alias("finding_type"), "pairs", F.coalesce("kept", F.lit(0)).cast("long").alias("kept")
     )
 
 

@@ -1,6 +1,8 @@
 """Token containment, fuzzy types, 1:1 assignment and citation containment."""
 
 import difflib
+import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +150,51 @@ def test_entities(spark):
     t = 'Монитор «Samsung» по ГОСТ 12345-2020, код 26.20.16.110, модель X200'
     row = spark.createDataFrame([(t,)], "t string").select(X.entities(F.col("t"), RUSSIAN).alias("e")).first()
     assert set(row.e) == {"q:samsung", "gost:гост12345-2020", "ktru:26.20.16.110", "lat:x200"}
+
+
+COMPAT = [
+    "plain ascii", "ﬁne ﬂour ½ x² №5", "Ａ Ｂ Ｃ　１２３", "e\u0301tude caf\u0065\u0301 a\u0323\u0307", "\u1100\u1161\u11a8 한글",
+    "", " ", "x\u00a0y \u2003z\n\u0301lone", "Å Å ﷺ ㎏", "é" * 50, "ſ K µ", "a\tﬀ\r\nb", "\U0001d400\U0001f600", "日本語 ﾊﾝｶｸ",
+]
+
+
+def test_compat_text_is_nfkc(spark):
+    rows = [(i, t) for i, t in enumerate(COMPAT)] + [(99, None), (98, "word " * 50_000 + "ﬁ"), (97, "y" * 300_000 + " ½")]
+    df = spark.createDataFrame(rows, "i int, t string")
+    got = {r.i: r.c for r in df.select("i", X.compat_text(F.col("t")).alias("c")).collect()}
+    assert got == {i: None if t is None else unicodedata.normalize("NFKC", t) for i, t in rows}
+
+
+def test_normalize_each(spark):
+    texts = [[], ["Ａ  B", "x\ny", None, " ½ "], ["\u0301", "e", "\u0301"], None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t array<string>")
+    got = {r.i: r.c for r in df.select("i", X.normalize_each(F.col("t")).alias("c")).collect()}
+
+    def one(t):
+        return " ".join(unicodedata.normalize("NFKC", (t or "").replace("\n", " ")).lower().split())
+
+    assert [got[i] for i in range(3)] == [[one(t) for t in ts] for ts in texts[:3]]
+    assert got[3] in (None, [])
+
+
+def test_candidates_cover_all_pairs(spark):
+    rng = random.Random(4)
+    words = ["a", "b", "c", "d", "É"]
+
+    def some(kind, n):
+        return [(rng.randrange(4), rng.choice("xy"), " ".join(rng.choices(words, k=rng.randrange(4)))) for _ in range(n)]
+
+    g, p = some("g", 60), some("p", 80)
+    gold = spark.createDataFrame(g, "ep int, finding_type string, quote string")
+    flags = spark.createDataFrame(p, "ep int, flag_type string, quote string")
+    got = {
+        (r.ep, r.type, r.quote, r.flag_quote): (r.n_gold, r.n_flag, round(r.cr, 9))
+        for r in M.containment_candidates(gold, flags, "ep").collect()
+    }
+    expect = {}
+    for e, t, q in set(g):
+        for e2, t2, f in set(p):
+            a, b = set(q.lower().split()), set(f.lower().split())
+            if e == e2 and t == t2 and a & b:
+                expect[e, t, q, f] = (g.count((e, t, q)), p.count((e, t, f)), round(len(a & b) / len(a), 9))
+    assert got == expect
