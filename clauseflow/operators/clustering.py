@@ -12,35 +12,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clauseflow.session import cut_lineage
 
-AXES = 3
+AXES = 4
 BLOCK = 2000
 
 
-def reduce_dims(df: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
-    """Linear reduction to k components (the covariance is k-independent: d x d)."""
-    v = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(v)
-    return model.transform(v).select(key, vector_to_array("_p").alias("components"))
+def _components(df: DataFrame, vector: str, k: int):
+    """Principal directions: the covariance (d x d) is summed in the tasks."""
+    v = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    return PCA(k=k, inputCol="_v", outputCol="_p").fit(v)
 
 
-def _axes(dim: int) -> np.ndarray:
-    """Fixed orthonormal directions for the candidate grid."""
-    rng = np.random.default_rng(7)
-    q, _ = np.linalg.qr(rng.standard_normal((dim, AXES)))
-    return q.T
+def reduce_dims(df: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
+    """Linear reduction to k components; the first m of them are the reduction to m.
 
+    A component's sign is free: here its largest loading is positive.
+    """
+    loadings = _components(df, vector, k).pc.toArray()
+    flips = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
+    parts = [_projection(F.col(vector), loadings[:, i] * flips[i]) for i in range(k)]
+    return df.select(key, F.array(*parts).alias("components"))
 
-def _grid(points: DataFrame, vec: str, dim: int, eps: float) -> DataFrame:
-    axes = _axes(dim)
 
-    def coord(axis: np.ndarray) -> Column:
-        w = F.array(*[F.lit(float(x)) for x in axis])
-        proj = F.aggregate(
-            F.zip_with(vec, w, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x
-        )
-        return F.floor(proj / F.lit(eps)).cast("int")
+def _projection(vec: Column, axis: np.ndarray) -> Column:
+    w = F.array(*[F.lit(float(x)) for x in axis])
+    return F.aggregate(
+        F.zip_with(vec, w, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x
+    )
+
 
-    return points.select("id", vec, "weight", *[coord(a).alias(f"c{i}") for i, a in enumerate(axes)])
+def _grid(points: DataFrame, vec: str, dim: int, eps: float) -> DataFrame:
+    """Cells of eps along the directions in which the points differ most."""
+    k = min(AXES, dim)
+    axes = _components(points, vec, k).pc.toArray().T
+    coords = [F.floor(_projection(F.col(vec), a) / F.lit(eps)).cast("int") for a in axes]
+    coords += [F.lit(0)] * (AXES - k)
+    return points.select("id", vec, "weight", *[c.alias(f"c{i}") for i, c in enumerate(coords)])
 
 
 HALF = [o for o in product((-1, 0, 1), repeat=AXES) if o > (0,) * AXES]
@@ -72,7 +78,7 @@ def _block_pairs(grid: DataFrame, vec: str) -> DataFrame:
         .withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("lm") - 1)))
         .withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rm") - 1)))
         .where(~F.col("same") | (F.col("lb") <= F.col("rb")))
-        .withColumn("gid", F.xxhash64(*["l" + c for c in cell], "lb", *cell, "rb"))
+        .withColumn("gid", F.struct(*["l" + c for c in cell], "lb", *cell, "rb"))
     )
     as_left = pts.join(
         blocks.select("gid", *[F.col("l" + c).alias(c) for c in cell], F.col("lb").alias("b"),
@@ -113,11 +119,9 @@ def density_clusters(
     neighbour counts and a spanning forest, never its neighbour pairs.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    sig = F.xxhash64("v")
-    folded = rows.withColumn("sig", sig).groupBy("sig").agg(
-        F.min_by("v", "id").alias("v"), F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")
-    )
-    points = cut_lineage(_grid(folded.select("id", "v", "weight"), "v", dim, eps))
+    folded = rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    stored = cut_lineage(folded.select("id", "v", "weight"))
+    points = cut_lineage(_grid(stored, "v", dim, eps))
 
     def count_near(pdf: pd.DataFrame) -> pd.DataFrame:
         got = _matrices(pdf, "v", eps)
@@ -160,7 +164,7 @@ def density_clusters(
     edges = _block_pairs(core_points, "v").groupBy("gid").applyInPandas(forest, "a long, b long")
     labels = connected_components(core_points.select("id"), edges)
     # sizes count every original row of a folded point
-    member = rows.withColumn("sig", sig).join(folded.select("sig", F.col("id").alias("rep")), "sig")
+    member = rows.join(stored.select("v", F.col("id").alias("rep")), "v")
     tagged = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     big = (
         tagged.where(F.col("component").isNotNull()).groupBy("component")

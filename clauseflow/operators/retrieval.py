@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from clauseflow.functions.text import all_matches
 from clauseflow.operators.windows import top_per_group
@@ -14,16 +14,17 @@ from clauseflow.session import cut_lineage
 
 TERM = r"[\p{L}\p{N}_]{2,}"
 HEAVY_SHARE = 64
-QUERY_BLOCK = 4096
+#: Queries and items of a pair of blocks, and items scored at once (16 MB of scores).
+QUERY_BLOCK, ITEM_BLOCK, SCORED = 1024, 16_384, 2048
 
 
 def ngram_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """Term frequency of word 1- and 2-grams (tokens of two or more characters).
 
-    All terms of a text start in one task, so map-side aggregation folds them before the
-    shuffle.
+    Texts are dealt by key before they are taken apart: the counts of a text then come together
+    where it lies, and the shuffle carries texts, not terms.
     """
-    toks = df.select(key, all_matches(F.lower(F.col(text)), TERM).alias("_t"))
+    toks = df.select(key, text).repartition(F.col(key)).select(key, all_matches(F.lower(F.col(text)), TERM).alias("_t"))
     n = F.size("_t")
     # bigrams come from the array zipped with its own shift, so no row carries the array
     pairs = F.zip_with(
@@ -64,6 +65,67 @@ def _lengths(weights: DataFrame, key: str, out: str) -> DataFrame:
     return weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(out))
 
 
+#: Share of a query's upper bounds whose terms set the first threshold, and what rounding may hide.
+FIRST_SHARE, SLACK = 0.5, 2e-6
+
+
+def bounded_top_k(postings: DataFrame, terms: DataFrame, query_key: str, doc_key: str, k: int) -> DataFrame:
+    """(query, document, score, rank) from (term, document, w) and (query, term, w), exactly.
+
+    A score is the sum of products over common terms. A query's terms stand in falling order of
+    the most each can add. The documents of the first ones give a threshold, the k-th best partial
+    score. As soon as all terms left add less than that, no document can come in by them: only
+    documents with an essential term before that point, and of these only the ones whose partial
+    score and what is left reach the threshold, are scored in full.
+    """
+    most = postings.groupBy("term").agg(F.max("w").alias("top"))
+    by_bound = Window.partitionBy(query_key).orderBy(F.desc("u"), "term")
+    ranked = (
+        terms.join(most, "term")
+        .withColumn("u", F.col("w") * F.col("top"))
+        .withColumn("upto", F.sum("u").over(by_bound.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("total", F.sum("u").over(Window.partitionBy(query_key)))
+    )
+    ranked = cut_lineage(ranked.select(query_key, "term", F.col("w").alias("_qw"), "u", "upto", "total"))
+
+    def partial(part: DataFrame) -> DataFrame:
+        met = postings.join(part.select(query_key, "term", "_qw"), "term")
+        return met.groupBy(query_key, doc_key).agg(F.sum(F.col("w") * F.col("_qw")).alias("sum"))
+
+    first = partial(ranked.where(F.col("upto") - F.col("u") < F.col("total") * FIRST_SHARE))
+    kth = top_per_group(first, [query_key], [F.desc("sum"), F.asc(doc_key)], k, "_r").where(F.col("_r") == k)
+    least = ranked.select(query_key).distinct().join(
+        kth.select(query_key, F.col("sum").alias("least")), query_key, "left"
+    ).select(query_key, F.coalesce("least", F.lit(0.0)).alias("least"))
+    # a term is essential while it and those after it can add up to the threshold
+    split = cut_lineage(
+        ranked.join(least, query_key).withColumn(
+            "essential", F.col("total") - F.col("upto") + F.col("u") >= F.col("least") - SLACK
+        )
+    )
+    left = split.groupBy(query_key).agg(
+        F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("u"))).alias("left"), F.first("least").alias("least")
+    )
+    near = (
+        partial(split.where("essential"))
+        .join(left, query_key)
+        .where(F.col("sum") + F.col("left") >= F.col("least") - SLACK)
+        .select(query_key, doc_key, "sum")
+    )
+    near = cut_lineage(near)
+    more = (
+        near.select(query_key, doc_key)
+        .join(postings, doc_key)
+        .join(split.where("not essential").select(query_key, "term", "_qw"), [query_key, "term"])
+        .groupBy(query_key, doc_key)
+        .agg(F.sum(F.col("w") * F.col("_qw")).alias("more"))
+    )
+    scores = near.join(more, [query_key, doc_key], "left").select(
+        query_key, doc_key, F.round(F.col("sum") + F.coalesce("more", F.lit(0.0)), 6).alias("score")
+    )
+    return top_per_group(scores, [query_key], [F.desc("score"), F.asc(doc_key)], k, "rank")
+
+
 def tfidf_top_k(
     docs: DataFrame, doc_key: str, queries: DataFrame, query_key: str, text: str, k: int = 5,
     min_df: int = 2, max_df: float = 0.95,
@@ -72,23 +134,24 @@ def tfidf_top_k(
 
     Term counts and the vocabulary are written once to the shared folder and read by every
     later step.  Vector lengths need all terms of a document but travel as one partial sum
-    per document and task; scores use only terms the queries hold.  The final ranking
-    forwards k candidates per query and task.
+    per document and task; postings are kept for the terms of the queries only, and
+    ``bounded_top_k`` scores just the documents that can rank.
     """
     n_docs = docs.count()
     tf = cut_lineage(ngram_counts(docs, doc_key, text))
     vocab = cut_lineage(vocabulary(tf, n_docs, min_df, max_df))
-    dw = _weigh(tf, vocab, doc_key, n_docs)
     qw = cut_lineage(_weigh(ngram_counts(queries, query_key, text), vocab, query_key, n_docs))
-    pairs = dw.join(qw.withColumnRenamed("w", "_qw"), "term")
-    dots = pairs.groupBy(query_key, doc_key).agg(F.sum(F.col("w") * F.col("_qw")).alias("dot"))
-    scores = dots.join(_lengths(dw, doc_key, "_dl"), doc_key).join(
-        _lengths(qw, query_key, "_ql"), query_key
+    lengths = _lengths(_weigh(tf, vocab, doc_key, n_docs), doc_key, "_dl")
+    asked = vocab.join(qw.select("term").distinct(), "term", "left_semi").select("term", "idf")
+    postings = cut_lineage(
+        tf.join(asked, "term")
+        .join(lengths, doc_key)
+        .select("term", doc_key, (F.col("tf") * F.col("idf") / F.col("_dl")).alias("w"))
     )
-    scores = scores.select(
-        query_key, doc_key, F.round(F.col("dot") / (F.col("_dl") * F.col("_ql")), 6).alias("score")
+    terms = qw.join(_lengths(qw, query_key, "_ql"), query_key).select(
+        query_key, "term", (F.col("w") / F.col("_ql")).alias("w")
     )
-    return top_per_group(scores, [query_key], [F.desc("score"), F.asc(doc_key)], k, "rank")
+    return bounded_top_k(postings, terms, query_key, doc_key, k)
 
 
 def squared_distance_score(cosine: np.ndarray) -> np.ndarray:
@@ -96,18 +159,36 @@ def squared_distance_score(cosine: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, 1.0 - (2.0 - 2.0 * cosine) / 2.0)
 
 
-def _block_scorer(ids: list, matrix: np.ndarray, id_col: str, vec_col: str, k: int):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            own = pdf[id_col].to_numpy()
-            sims = np.stack(pdf[vec_col].to_numpy()).astype("float64") @ matrix.T
-            sims = np.round(squared_distance_score(sims), 6)
-            take = min(k, len(own))
-            for j, qid in enumerate(ids):
-                best = np.lexsort((own, -sims[:, j]))[:take]
-                yield pd.DataFrame({"query_id": qid, "item_id": own[best], "score": sims[best, j]})
+def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, the smallest id first among equal ones."""
+    if len(ids) > 4 * k:
+        least = np.partition(sims, len(sims) - k)[len(sims) - k]
+        kept = np.flatnonzero(sims >= least)
+        return kept[np.lexsort((ids[kept], -sims[kept]))[:k]]
+    return np.lexsort((ids, -sims))[:k]
+
+
+def _block_scorer(k: int):
+    def score(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(queries) and len(items):
+            q = np.stack(queries["v"].to_numpy()).astype("float64")
+            kept = [(np.empty(0, np.int64), np.empty(0))] * len(q)
+            for at in range(0, len(items), SCORED):
+                part = items.iloc[at : at + SCORED]
+                ids = part["id"].to_numpy()
+                sims = np.round(squared_distance_score(q @ np.stack(part["v"].to_numpy()).astype("float64").T), 6)
+                for j, (old, held) in enumerate(kept):
+                    every, values = np.concatenate([old, ids]), np.concatenate([held, sims[j]])
+                    best = _best(every, values, k)
+                    kept[j] = every[best], values[best]
+            for qid, (ids, sims) in zip(queries["id"], kept):
+                out.append(pd.DataFrame({"query_id": qid, "item_id": ids, "score": sims}))
+        if not out:
+            return pd.DataFrame({"query_id": [], "item_id": [], "score": []}).astype(
+                {"query_id": "int64", "item_id": "int64", "score": "float64"}
+            )
+        return pd.concat(out)
 
     return score
 
@@ -118,34 +199,26 @@ def dense_top_k(
 ) -> DataFrame:
     """Exact top-k neighbours of each query among unit vectors.
 
-    Queries are taken in blocks of ``QUERY_BLOCK`` rows (a fixed memory bound) that travel to
-    the tasks; each Arrow batch of items is one matrix product and forwards k rows per query.
-    No item-query pair is ever a row.
+    Queries and items are dealt into blocks, and every pair of blocks meets in one task: a matrix
+    product over slices of the items, of which k rows a query go on. Neither side passes the
+    driver, items are scanned once, and no item-query pair is ever a row. A group holds
+    ``QUERY_BLOCK`` queries and ``ITEM_BLOCK`` items, whatever the sizes of the two tables.
     """
-    from clauseflow.operators.windows import ordered_index
+    q_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    i_blocks = max(1, math.ceil(items.count() / ITEM_BLOCK))
 
-    n = queries.count()
-    blocks = [queries]
-    if n > QUERY_BLOCK:
-        idx = ordered_index(
-            queries, [F.asc(query_key)], F.substring(F.md5(F.col(query_key).cast("string")), 1, 3)
-        )
-        blocks = [
-            idx.where(F.col("row_idx").between(i, i + QUERY_BLOCK - 1))
-            for i in range(0, n, QUERY_BLOCK)
-        ]
-    src = items.select(F.col(item_key).cast("long").alias("_id"), F.col(item_vec).alias("_v"))
-    out = None
-    for block in blocks:
-        rows = block.select(F.col(query_key).cast("long").alias("q"), F.col(query_vec).alias("v")).collect()
-        if not rows:
-            continue
-        fn = _block_scorer(
-            [r["q"] for r in rows], np.array([r["v"] for r in rows], dtype="float64"), "_id", "_v", k
+    def dealt(df: DataFrame, key: str, vec: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        rows = df.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v"))
+        return rows.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
         )
-        part = src.mapInPandas(fn, "query_id long, item_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    return top_per_group(out, ["query_id"], [F.desc("score"), F.asc("item_id")], k, "rank")
+
+    q = dealt(queries, query_key, query_vec, "qb", q_blocks, "ib", i_blocks)
+    x = dealt(items, item_key, item_vec, "ib", i_blocks, "qb", q_blocks)
+    found = q.groupBy("qb", "ib").cogroup(x.groupBy("qb", "ib")).applyInPandas(
+        _block_scorer(k), "query_id long, item_id long, score double"
+    )
+    return top_per_group(found, ["query_id"], [F.desc("score"), F.asc("item_id")], k, "rank")
 
 
 def distinct_cases(hits: DataFrame, case: str, k: int) -> DataFrame:

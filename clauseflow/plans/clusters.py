@@ -15,6 +15,7 @@ from clauseflow.plans.projections import (
 )
 from clauseflow.plans.registry import query, table
 from clauseflow.plans.reports import SIM_SQL, centroid_similarity, r6
+from clauseflow.session import cut_lineage
 
 q = quoted
 
@@ -91,22 +92,55 @@ def v05(spark, sf):
     return r.select("vec_id", F.posexplode("components").alias("component", "value"))
 
 
+@query("v05_plane")
+def v05_plane(spark, sf):
+    """The same reduction cut to two components, as a point in the plane."""
+    r = C.reduce_dims(table(spark, sf, "embeddings"), "vec_id", "embedding", 2)
+    return r.select("vec_id", F.col("components")[0].alias("x"), F.col("components")[1].alias("y"))
+
+
 EPS = 1.0
-DENSITY_SQL = f"""
-WITH RECURSIVE e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
-near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM e a, e b WHERE 2 - 2 * list_dot_product(a.v, b.v) <= {EPS * EPS} + 1e-7),
+
+
+def density_sql(key: str, vectors: str, eps: float) -> str:
+    """Clusters by comparing all pairs of the rows (id, v) of ``vectors``."""
+    return f"""
+WITH RECURSIVE e AS MATERIALIZED ({vectors}),
+near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM e a, e b WHERE 2 - 2 * list_dot_product(a.v, b.v) <= {eps * eps!r} + 1e-9),
 core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 5),
 ce AS MATERIALIZED (SELECT a, b FROM near SEMI JOIN core x ON near.a = x.id SEMI JOIN core y ON near.b = y.id),
 reach(id, r) AS (SELECT id, id FROM core UNION SELECT ce.b, reach.r FROM reach JOIN ce ON ce.a = reach.id),
 lab AS (SELECT id, min(r) AS c FROM reach GROUP BY id), big AS (SELECT c FROM lab GROUP BY c HAVING count(*) >= 5)
-SELECT e.id AS vec_id, CASE WHEN big.c IS NOT NULL THEN lab.c ELSE -1 END AS cluster_id FROM e LEFT JOIN lab USING (id) LEFT JOIN big USING (c)"""
+SELECT e.id AS {key}, CASE WHEN big.c IS NOT NULL THEN lab.c ELSE -1 END AS cluster_id FROM e LEFT JOIN lab USING (id) LEFT JOIN big USING (c)"""
 
 
-@query("v06_density_clusters", DENSITY_SQL)
+@query("v06_density_clusters", density_sql("vec_id", "SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings", EPS))
 def v06(spark, sf):
     return C.density_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", 64, EPS)
 
 
+#: Characters whose shares are the profile of a text.
+PROFILE = "abcdefghijklmnopqrstuvwxyzäöüßéèêçáíóúñ0123456789 .,;:!?-'()@/_"
+PROFILE_EPS = 0.03
+_COUNTED = ", ".join(f"length(t) - length(replace(t, {quoted(c)}, ''))" for c in PROFILE)
+PROFILE_VECTOR_SQL = f"""SELECT doc_id AS id, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS v FROM (
+  SELECT doc_id, list_transform([{_COUNTED}], lambda x: x::DOUBLE) AS c FROM (SELECT doc_id, lower(text) AS t FROM documents)) WHERE list_sum(c) > 0"""
+
+
+@query("v06_profile_clusters", density_sql("doc_id", PROFILE_VECTOR_SQL, PROFILE_EPS))
+def v06_profiles(spark, sf):
+    """Texts by the shares of their characters: languages and near copies are dense, the rest is noise."""
+    t = F.col("t")
+    counts = F.array(*[(F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double") for c in PROFILE])
+    docs = documents(spark, sf, "doc_id", "text").select("doc_id", F.lower("text").alias("t"))
+    c = docs.select("doc_id", counts.alias("c"))
+    size = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))
+    unit = c.select("doc_id", "c", size.alias("size")).where("size > 0").select(
+        "doc_id", F.transform("c", lambda x: x / F.col("size")).alias("v")
+    )
+    return C.density_clusters(cut_lineage(unit), "doc_id", "v", len(PROFILE), PROFILE_EPS)
+
+
 MEMBER_SQL = """SELECT e.label::BIGINT AS cluster_id, d.doc_id, d.source, d.lang, e.vec_id FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id"""
 
 

@@ -176,3 +176,24 @@ def test_folds_keep_groups_whole_and_auc(spark):
     neg = [s for *_, y, s in rows if not y]
     want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
     assert ML.rank_auc(df, "y", "s").first().auc == pytest.approx(want)
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_bounded_top_k_equals_full_scores(spark, k):
+    rng = random.Random(k)
+    weights = {(t, d): rng.random() ** 3 for d in range(120) for t in rng.sample(range(40), rng.randrange(1, 9))}
+    asked = {(q, t): rng.random() for q in range(12) for t in rng.sample(range(44), rng.randrange(1, 12))}
+    posts = spark.createDataFrame([(f"t{t}", d, w) for (t, d), w in weights.items()], "term string, doc long, w double")
+    terms = spark.createDataFrame([(q, f"t{t}", w) for (q, t), w in asked.items()], "q long, term string, w double")
+    got = sorted((r.q, r["rank"], r.doc, r.score) for r in RT.bounded_top_k(posts, terms, "q", "doc", k).collect())
+    want = []
+    for q in range(12):
+        sums = {}
+        for (q2, t), w in asked.items():
+            for d in range(120):
+                if q2 == q and (t, d) in weights:
+                    sums[d] = sums.get(d, 0.0) + w * weights[t, d]
+        best = sorted((-round(s, 6), d) for d, s in sums.items())[:k]
+        want += [(q, r, d, -s) for r, (s, d) in enumerate(best, 1)]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-6)
