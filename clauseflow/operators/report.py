@@ -6,6 +6,10 @@ is a projection; nothing is shuffled between the rules and the recommendations.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clauseflow import lexicon as L
@@ -90,15 +94,66 @@ def risk_verdict(score: Column, n: Column, max_conf: Column) -> Column:
     )
 
 
-def assemble(df: DataFrame, text_len: Column) -> DataFrame:
-    """Fact rows with ``findings`` to report rows: ``features`` struct, score and verdict."""
+@dataclass(frozen=True)
+class RiskModel:
+    """A fitted linear model over raw features; standardisation is folded into the weights."""
+
+    version: str
+    names: tuple[str, ...]
+    weights: tuple[float, ...]
+    intercept: float
+
+    def score(self, features: Column) -> Column:
+        """Positive probability; features the row lacks count as 0, as do nulls."""
+        return self.score_of({n: features[n] for n in L.FEATURE_COLUMNS})
+
+    def score_of(self, columns: dict[str, Column]) -> Column:
+        z = F.lit(self.intercept)
+        for name, w in zip(self.names, self.weights):
+            if name in columns:
+                z = z + F.lit(w) * F.coalesce(columns[name].cast("double"), F.lit(0.0))
+        return 1 / (1 + F.exp(-z))
+
+
+MODEL = "version string, saved_at timestamp, names array<string>, weights array<double>, intercept double"
+
+
+def save_model(spark: SparkSession, model: RiskModel, path: str) -> None:
+    """Append a version; older ones stay readable."""
+    row = [(model.version, list(model.names), list(model.weights), model.intercept)]
+    df = spark.createDataFrame(row, "version string, names array<string>, weights array<double>, intercept double")
+    df.withColumn("saved_at", F.current_timestamp()).select(*[c.split()[0] for c in MODEL.split(", ")]).write.mode(
+        "append"
+    ).parquet(path)
+
+
+def load_model(spark: SparkSession, path: str, version: str | None = None) -> RiskModel | None:
+    """A stored version, else the latest; None where there is none or it is not usable."""
+    try:
+        stored = spark.read.schema(MODEL).parquet(path)
+        if version is not None:
+            stored = stored.where(F.col("version") == version)
+        row = stored.orderBy(F.desc("saved_at"), F.desc("version")).first()
+    except (AnalysisException, Py4JJavaError):
+        return None
+    if row is None or None in (row.names, row.weights, row.intercept) or len(row.names) != len(row.weights):
+        return None
+    return RiskModel(row.version, tuple(row.names), tuple(row.weights), row.intercept)
+
+
+def assemble(df: DataFrame, text_len: Column, model: RiskModel | None = None) -> DataFrame:
+    """Fact rows with ``findings`` to report rows: ``features`` struct, score and verdict.
+
+    The score is that of the model; without one it is the fallback formula.
+    """
     clean = dedupe_array(df, "findings")
-    return _scored(clean.withColumn("features", F.struct(*features(text_len))))
+    return _scored(clean.withColumn("features", F.struct(*features(text_len))), model)
 
 
-def _scored(df: DataFrame) -> DataFrame:
+def _scored(df: DataFrame, model: RiskModel | None) -> DataFrame:
     n, top = F.col("features.risk_flag_count"), F.col("features.max_confidence")
-    return df.withColumn("risk_score", fallback_score(n, top)).withColumn(
+    score = fallback_score(n, top) if model is None else model.score(F.col("features"))
+    return df.withColumn("risk_score", score).withColumn(
         "risk_verdict", risk_verdict(F.col("risk_score"), n, top)
     )
 

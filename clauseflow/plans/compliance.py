@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from clauseflow import lexicon as L
@@ -9,6 +11,7 @@ from clauseflow.functions import rules as RU, text as X
 from clauseflow.operators import report as RP
 from clauseflow.plans.base import documents, quoted
 from clauseflow.plans.registry import query, table
+from clauseflow.session import scratch_path
 
 q = quoted
 _W = r"[^\p{L}\p{N}_]"
@@ -218,6 +221,31 @@ def u14(spark, sf):
     return reports(spark, sf).select("doc_id", F.round("risk_score", 6).alias("risk_score"))
 
 
+#: A fitted model as it would be stored: few weights, one feature that the rows lack.
+STORED_MODEL = RP.RiskModel(
+    "2", ("risk_flag_count", "max_confidence", "brand_count", "has_units", "not_a_feature", "tz_char_count"),
+    (0.35, 1.2, -0.1, -0.25, 3.0, -0.00002), -1.1,
+)
+_Z = " + ".join(
+    f"{w!r}::DOUBLE * {n}" for n, w in zip(STORED_MODEL.names, STORED_MODEL.weights) if n in L.FEATURE_COLUMNS
+)
+
+
+@query("u14_model_score", f"""{REPORT_SQL}, md AS (SELECT *, 1 / (1 + exp(-({STORED_MODEL.intercept!r}::DOUBLE + {_Z}))) AS p FROM ft)
+SELECT doc_id, round(p, 6) AS model_score, CASE WHEN risk_flag_count = 0 THEN 'low' WHEN p >= 0.7 OR max_confidence >= 0.85 OR risk_flag_count >= 4 THEN 'high'
+  WHEN p >= 0.4 OR max_confidence >= 0.55 OR risk_flag_count >= 2 THEN 'medium' ELSE 'low' END AS risk_verdict, '2' AS model_version FROM md""")
+def u14_model(spark, sf):
+    """Score and verdict by the latest stored version of a model."""
+    path = scratch_path(spark, "risk-models")
+    RP.save_model(spark, dataclasses.replace(STORED_MODEL, version="1", intercept=0.0), path)
+    RP.save_model(spark, STORED_MODEL, path)
+    model = RP.load_model(spark, path)
+    scored = RP.assemble(evaluated(spark, sf), F.col("chars"), model)
+    return scored.select(
+        "doc_id", F.round("risk_score", 6).alias("model_score"), "risk_verdict", F.lit(model.version).alias("model_version")
+    )
+
+
 @query("u15_risk_verdict", f"{REPORT_SQL} SELECT risk_verdict, count(*) AS n, min(doc_id) AS first_doc FROM vd GROUP BY risk_verdict")
 def u15(spark, sf):
     return reports(spark, sf).groupBy("risk_verdict").agg(

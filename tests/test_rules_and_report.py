@@ -1,5 +1,7 @@
 """Compliance rules, dedupe, score, verdict, recommendations."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +168,43 @@ def test_verdict_record(spark, text, verdict, conf):
     r = spark.createDataFrame([(text,)], "t string").select(
         rec["verdict"].alias("v"), rec["confidence"].alias("c")).first()
     assert (r.v, r.c) == (verdict, conf)
+
+
+def test_stored_risk_model(spark, tmp_path):
+    from clauseflow.operators import report as RP
+
+    path = str(tmp_path / "models")
+    assert RP.load_model(spark, path) is None
+    a = RP.RiskModel("a", ("risk_flag_count", "unknown"), (2.0, 9.0), -1.0)
+    RP.save_model(spark, a, path)
+    b = RP.RiskModel("b", ("max_confidence",), (1.0,), 0.5)
+    RP.save_model(spark, b, path)
+    assert RP.load_model(spark, path) == b
+    assert RP.load_model(spark, path, "a") == a
+    assert RP.load_model(spark, path, "c") is None
+    broken = RP.RiskModel("z", ("x", "y"), (1.0,), 0.0)
+    RP.save_model(spark, broken, path)
+    assert RP.load_model(spark, path) is None and RP.load_model(spark, path, "b") == b
+    row = spark.createDataFrame([(3.0,), (None,)], "risk_flag_count double").select(
+        a.score_of({"risk_flag_count": F.col("risk_flag_count")}).alias("p")
+    ).collect()
+    assert [round(r.p, 9) for r in row] == [round(1 / (1 + math.exp(-5)), 9), round(1 / (1 + math.exp(1)), 9)]
+
+
+def test_linear_scorer_equals_the_pipeline(spark):
+    import random
+
+    from clauseflow import lexicon as L
+    from clauseflow.operators import ml as ML
+
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(2), *[0.0 if c == "has_units" else rng.random() * 5 for c in L.FEATURE_COLUMNS]) for i in range(60)]
+    df = spark.createDataFrame(rows, ["doc_id", "y", *L.FEATURE_COLUMNS])
+    model = ML.train_scorer(df)
+    plain = ML.linear_scorer(model, "1")
+    both = ML.score(model, df).withColumn("own", plain.score(F.struct(*L.FEATURE_COLUMNS))).collect()
+    assert max(abs(r.score - r.own) for r in both) < 1e-9
+    folds = ML.stratified_folds(df, "doc_id", "y").join(df.select("doc_id", "y"), "doc_id").collect()
+    for y in (0, 1):
+        sizes = [sum(r.fold == f and r.y == y for r in folds) for f in range(5)]
+        assert max(sizes) - min(sizes) <= 1
