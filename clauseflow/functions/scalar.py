@@ -94,12 +94,12 @@ def fallback_cost(model: Column, tokens_in: Column, tokens_out: Column) -> Colum
 
 def inclusion(scope: Column, has_docs: Column) -> tuple[Column, Column]:
     """(status, reason) of an episode by scope tag and document flag."""
-    keep = scope.isin(*L.INCLUDED_SCOPES) & has_docs
-    status = F.when(keep, F.lit("included")).otherwise(F.lit("excluded"))
+    keep, say = scope.isin(*L.INCLUDED_SCOPES) & has_docs, {k: F.lit(v) for k, v in L.INCLUSION.items()}
+    status = F.when(keep, say["included"]).otherwise(say["excluded"])
     reason = (
-        F.when(keep, F.lit("doc_core_scope_and_docs_true"))
-        .when(~has_docs, F.lit("involves_procurement_docs_false"))
-        .otherwise(F.concat(F.lit("excluded_scope_"), scope))
+        F.when(keep, say["core"])
+        .when(~has_docs, say["no_documents"])
+        .otherwise(F.concat(say["other_scope"], scope))
     )
     return status, reason
 
@@ -108,36 +108,28 @@ def cluster_shape(
     cluster: Column, size: Column, top_count: Column, n_scopes: Column, overrides=None
 ) -> tuple[Column, Column]:
     """(shape flag, attention reason) with manual overrides first."""
-    share = ratio(top_count, size)
-    mixed = (share < 0.75) | (n_scopes >= 3)
-    shape, why = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
-    for cid, (flag, reason) in (L.SHAPE_OVERRIDES if overrides is None else overrides).items():
-        shape = shape.when(cluster == cid, F.lit(flag))
-        why = why.when(cluster == cid, F.lit(reason))
-    shape = (
-        shape.when(mixed, F.lit("mixed_candidate"))
-        .when(size >= 200, F.lit("broad_anchor_candidate"))
-        .otherwise(F.lit("coherent_candidate"))
-    )
-    why = (
-        why.when(mixed, F.lit("scope_distribution_mixed"))
-        .when(size >= 200, F.lit("large_anchor_cluster"))
-        .otherwise(F.lit(""))
-    )
-    return shape, why
+    mixed = (ratio(top_count, size) < 0.75) | (n_scopes >= 3)
+
+    def ladder(part: int) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for cid, given in (L.SHAPE_OVERRIDES if overrides is None else overrides).items():
+            out = out.when(cluster == cid, F.lit(given[part]))
+        mixed_, broad, coherent = (F.lit(L.SHAPES[k][part]) for k in ("mixed", "broad", "coherent"))
+        return out.when(mixed, mixed_).when(size >= 200, broad).otherwise(coherent)
+
+    return ladder(0), ladder(1)
 
 
 def benchmark_signal(shape: Column, dependency: Column, knowledge: Column, size: Column) -> Column:
     open_knowledge = knowledge.isin("none", "market_knowledge", "regulatory_history")
+    likely = (dependency == "full") & (knowledge == "none") & (size >= 20)
+    say = {k: F.lit(v) for k, v in L.SIGNALS.items()}
     return (
-        F.when(F.startswith(shape, F.lit("mixed")), F.lit("mixed_review_first"))
-        .when(F.startswith(shape, F.lit("broad")), F.lit("broad_review_first"))
-        .when(
-            (dependency == "full") & (knowledge == "none") & (size >= 20),
-            F.lit("likely_benchmarkable"),
-        )
-        .when(dependency.isin("full", "partial") & open_knowledge, F.lit("conditional_benchmarkable"))
-        .otherwise(F.lit("service_only_signal"))
+        F.when(F.startswith(shape, F.lit("mixed")), say["mixed"])
+        .when(F.startswith(shape, F.lit("broad")), say["broad"])
+        .when(likely, say["likely"])
+        .when(dependency.isin("full", "partial") & open_knowledge, say["conditional"])
+        .otherwise(say["none"])
     )
 
 
@@ -145,49 +137,33 @@ def family_status(
     size: Column, dependency: Column, knowledge: Column, qc: Column, attention: Column
 ) -> tuple[Column, Column]:
     """(status, reason) of a family; conditional families list every unmet criterion."""
-    strict = (dependency == "full") & (knowledge == "none") & (qc == "coherent") & (size >= 20)
-    ladder = [
-        (
-            F.startswith(attention, F.lit("mis_scoped"))
-            | F.startswith(attention, F.lit("out_of_scope")),
-            "out_of_scope",
-            "manual review marked family as mis-scoped relative to DOC_CORE",
-        ),
-        (size < 10, "exploratory", "family has <10 episodes despite thematic interest"),
-        (
-            strict,
-            "benchmarkable",
-            "full runtime-doc detectability, no external knowledge, coherent family, >=20 episodes",
-        ),
-        (
-            knowledge.isin("expert_judgment", "physical_measurement"),
-            "service_only",
-            "external expert knowledge is the primary support for detection",
-        ),
-        (dependency == "none", "service_only", "family is not detectable from runtime documents"),
-        (
-            (knowledge == "market_knowledge") & (dependency != "full"),
-            "service_only",
-            "market knowledge is primary and runtime evidence is only partial",
-        ),
-    ]
+    mis_scoped = F.startswith(attention, F.lit("mis_scoped")) | F.startswith(attention, F.lit("out_of_scope"))
+    ladder = {
+        "mis_scoped": mis_scoped,
+        "small": size < 10,
+        "strict": (dependency == "full") & (knowledge == "none") & (qc == "coherent") & (size >= 20),
+        "expert": knowledge.isin("expert_judgment", "physical_measurement"),
+        "undetectable": dependency == "none",
+        "market": (knowledge == "market_knowledge") & (dependency != "full"),
+    }
+    say = {k: F.lit(v) for k, v in L.UNMET.items()}
     unmet = F.concat_ws(
         "; ",
-        F.when(dependency != "full", F.concat(F.lit("runtime_doc_dependency="), dependency)),
-        F.when(knowledge == "regulatory_history", F.lit("needs regulatory-history workaround")).when(
-            knowledge != "none", F.concat(F.lit("external_knowledge_required="), knowledge)
+        F.when(dependency != "full", F.concat(say["dependency"], dependency)),
+        F.when(knowledge == "regulatory_history", say["history"]).when(
+            knowledge != "none", F.concat(say["knowledge"], knowledge)
         ),
-        F.when(qc != "coherent", F.concat(F.lit("family_qc="), qc)),
-        F.when(size < 20, F.lit("family size <20")),
+        F.when(qc != "coherent", F.concat(say["qc"], qc)),
+        F.when(size < 20, say["size"]),
     )
     status, reason = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
-    for cond, name, text in ladder:
-        status, reason = status.when(cond, F.lit(name)), reason.when(cond, F.lit(text))
+    for name, holds in ladder.items():
+        means, text = L.FAMILY_REASONS[name]
+        status, reason = status.when(holds, F.lit(means)), reason.when(holds, F.lit(text))
+    means, text = L.FAMILY_REASONS["rest"]
     return (
-        status.otherwise(F.lit("conditional_benchmarkable")),
-        reason.otherwise(
-            F.when(unmet == "", F.lit("falls short of strict benchmarkable criterion")).otherwise(unmet)
-        ),
+        status.otherwise(F.lit(means)),
+        reason.otherwise(F.when(unmet == "", F.lit(text)).otherwise(unmet)),
     )
 
 
@@ -215,8 +191,7 @@ def keyword_lanes(text: Column, lanes=L.KEYWORD_LANES) -> tuple[Column, Column,
         F.when(none, F.lit("")).otherwise(F.array_join(F.slice(hits, 2, len(lanes)), ";")),
         F.when(none, F.lit(L.NO_LANE_NOTE)).otherwise(
             F.concat(
-                F.lit("keyword overlap -> "), F.array_join(hits, ", "),
-                F.lit("; confidence="), confidence,
+                F.lit(L.LANE_NOTE[0]), F.array_join(hits, ", "), F.lit(L.LANE_NOTE[1]), confidence,
             )
         ),
     )

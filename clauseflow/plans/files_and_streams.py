@@ -42,18 +42,13 @@ def s01_damage(spark, sf):
     return RD.jsonl_damage(spark, _line_file(spark, sf), DOC_LINE)
 
 
-#: The whole head element, which is short.
-HEAD_PATTERN = "(?s)<head>(.*?)</head>"
-HEAD_SQL = f"regexp_extract(html, '{HEAD_PATTERN}', 1)"
-
-
 def _decision_files(spark, sf) -> str:
     """One JSON file per page, in three key layouts."""
     path = scratch_path(spark, "decisions")
     p = table(spark, sf, "pages").select("page_id", "url", "html")
     pid, kind = F.col("page_id").cast("string"), F.col("page_id") % 3
     a = F.to_json(F.struct(pid.alias("decision_id"), F.col("html").alias("full_text"), F.col("url").alias("purchase_id")))
-    b = F.to_json(F.struct(pid.alias("fas_case_id"), F.regexp_extract("html", HEAD_PATTERN, 1).alias("decision_text"), F.lit("").alias("notice_id")))
+    b = F.to_json(F.struct(pid.alias("fas_case_id"), F.col("html").alias("decision_text"), F.lit("").alias("notice_id")))
     c = F.to_json(F.struct(pid.alias("decision_id"), F.lit("").alias("full_text"), F.col("html").alias("decision_text"), F.col("url").alias("notice_id")))
     body = F.when(kind == 0, a).when(kind == 1, b).otherwise(c)
     # one directory and file per page
@@ -65,7 +60,7 @@ TRIM = "trim(%s, ' ' || chr(9) || chr(10) || chr(13))"
 
 
 @query("s02_decision_scan", f"""
-WITH t AS (SELECT page_id::VARCHAR AS decision_id, {TRIM % f"CASE WHEN page_id % 3 = 1 THEN {HEAD_SQL} ELSE html END"} AS t FROM pages)
+WITH t AS (SELECT page_id::VARCHAR AS decision_id, {TRIM % "html"} AS t FROM pages)
 SELECT decision_id, CASE WHEN length(t) >= 100 THEN md5(t) ELSE 'none' END AS text_md5 FROM t""")
 def s02(spark, sf):
     d = RD.read_decisions(spark, _decision_files(spark, sf))
@@ -76,7 +71,7 @@ def s02(spark, sf):
 
 
 MANIFEST_SQL = f"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'decision_id|full_text|purchase_id' WHEN 1 THEN 'fas_case_id|decision_text|notice_id'
-   ELSE 'decision_id|full_text|notice_id' END AS schema_family, CASE page_id % 3 WHEN 0 THEN length({TRIM % 'html'}) WHEN 1 THEN length({TRIM % HEAD_SQL}) ELSE 0 END AS n,
+   ELSE 'decision_id|full_text|notice_id' END AS schema_family, CASE page_id % 3 WHEN 0 THEN length({TRIM % 'html'}) WHEN 1 THEN length({TRIM % 'html'}) ELSE 0 END AS n,
    CASE WHEN page_id % 3 = 1 THEN '' ELSE url END AS notice FROM pages"""
 
 
