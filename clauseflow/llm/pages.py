@@ -4,7 +4,8 @@ The DOMs of all pages of a host are merged: elements of one path (block tags wit
 are one node of the host's tree. A node's importance is high where its contents differ from page
 to page and low where they return, by the entropy of each content over the pages that show it,
 with a small share for the variety of layouts it stands in. Tags and classes with a fixed role
-(menus, footers, adverts, forms, ...) weigh a node down, which also covers hosts of one page;
+(menus, footers, adverts, forms, ...) weigh a node down, which also covers hosts of one page; names
+say nothing about html, body, a page's own article or main element, or what these stand in;
 branches of an article or main element are weighed up a little, so those go that return on nearly
 all pages. Branches below the threshold go. A page whose article would lose all its text is a copy
 of others, not boilerplate, and keeps it.
@@ -56,6 +57,9 @@ ROLE_WORDS = frozenset(
     "recommended comment comments disqus respond reply replies pagination pager widget toolbar "
     "masthead search complementary contentinfo alert".split()
 )
+#: Words before a role word that turn it round, and words behind one that leave its sense.
+TURNS = frozenset("no not non without with has hide".split())
+PARTS = frozenset("list box section area wrap wrapper container block form bar inner outer item items row".split())
 #: A role only outside an article.
 OUTER = frozenset(["header", "banner"])
 MAIN = frozenset(["article", "main"])
@@ -82,9 +86,20 @@ class Node:
     path: int
     weight: float
     main: bool
+    #: the weight by tags alone
+    tagged: float
     children: int = 0
 
 
+def _says(name: str, words: frozenset) -> bool:
+    """Whether a class name is a role word, ends in one (site-footer), or adds only a part to one
+    (comment-list); no-sidebar and with-nav say the contrary, comment-status-open something else."""
+    parts = [p for p in re.split(r"[^a-z]+", name) if p]
+    if not parts or TURNS & set(parts):
+        return False
+    return parts[-1] in words or (len(parts) > 1 and parts[-1] in PARTS and parts[-2] in words)
+
+
 def _role(attributes: str, main: bool) -> tuple[str, bool]:
     """(class part of the label, whether class, id or role name something but content)."""
     names, role = "", False
@@ -94,8 +109,7 @@ def _role(attributes: str, main: bool) -> tuple[str, bool]:
         if name == "class":
             names = ".".join(sorted(value.split()))
         if name in ("class", "id", "role"):
-            found = set(re.split(r"[^a-z]+", value.lower()))
-            role |= bool(found & ROLE_WORDS) or (not main and bool(found & OUTER))
+            role |= any(_says(t, ROLE_WORDS if main else ROLE_WORDS | OUTER) for t in value.lower().split())
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             role = True
         elif name == "style" and re.search(r"display\s*:\s*none", value.lower()):
@@ -105,7 +119,7 @@ def _role(attributes: str, main: bool) -> tuple[str, bool]:
 
 def blocks(source: str) -> Iterator[tuple[Node, int, str]]:
     """(node, layout of its parent, text) for each block with text, in page order."""
-    stack = [Node("", "", 0, 1.0, False)]
+    stack = [Node("", "", 0, 1.0, False, 1.0)]
     pieces: list[str] = []
 
     def block():
@@ -117,12 +131,17 @@ def blocks(source: str) -> Iterator[tuple[Node, int, str]]:
         up = stack[-1]
         main = up.main or tag in MAIN
         names, role = _role(attributes, main) if attributes.strip() else ("", False)
-        role |= tag in ROLE_TAGS or (tag in OUTER and not main)
+        by_tag = tag in ROLE_TAGS or (tag in OUTER and not main)
+        own = tag in MAIN and not up.main
+        weight = tagged = min(up.tagged, ROLE_WEIGHT) if by_tag else up.tagged
+        if not own:
+            named = role and tag not in ("html", "body")
+            weight = min(up.weight, ROLE_WEIGHT) if named or by_tag else up.weight
         label = f"{tag}.{names}" if names else tag
         # html and body may be left out of a page, so they are no part of a path
         path = up.path if tag in ("html", "body") else xxhash.xxh3_64_intdigest(f"{up.path:x}/{label}")
         up.children = xxhash.xxh3_64_intdigest(f"{up.children:x},{label}")
-        stack.append(Node(tag, label, path, min(up.weight, ROLE_WEIGHT) if role else up.weight, main))
+        stack.append(Node(tag, label, path, weight, main, tagged))
 
     def pop_to(tags, stops=frozenset()) -> None:
         for i in range(len(stack) - 1, 0, -1):

@@ -278,3 +278,25 @@ def test_pipeline(spark, rows, tmp_path):
     docs.limit(0).write.parquet(f"{empty}/documents.parquet")
     spark.read.parquet(f"{base}/benchmark.parquet").write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ('<body class="single no-sidebar"><article><h1>Title</h1><p>Text', "Title\nText"),
+        ('<div class="page with-nav"><main><p>Story', "Story"),
+        ('<article class="post comment-status-open"><p>Story', "Story"),
+        ('<main id="search"><p>Story', "Story"),
+        ('<body id="menu"><div class="sidebar"><p>x</p></div><p>Story', "Story"),
+        ('<div class="site-footer">f</div><div class="comment-list">c</div><p class="no-ads">Story', "Story"),
+        (
+            '<article><p>a<div class="comments"><article class="comment"><p>c</article></div></article>'
+            "<aside><article><p>teaser</article></aside>",
+            "a",
+        ),
+    ],
+)
+def test_names_of_the_article_and_above_say_nothing(html, text):
+    from clauseflow.llm.pages import THRESHOLD, main_text
+
+    assert main_text(html, {}, THRESHOLD) == text
