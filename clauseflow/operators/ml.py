@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import Evaluator
@@ -20,7 +21,7 @@ from clauseflow.operators.metrics import binary_scores
 from clauseflow.operators.report import RiskModel
 from clauseflow.operators.windows import hash_order, ordered_index
 from clauseflow.functions.scalar import ratio
-from clauseflow.session import cut_lineage
+from clauseflow.session import cut_lineage, scratch_path
 
 
 def group_folds(df: DataFrame, group: str, label: str, k: int = 5) -> DataFrame:
@@ -156,6 +157,63 @@ def nested_search(
     return training_set(pooled)
 
 
+def fit_params(kind: str, point: dict, n: int) -> dict:
+    """Spark's parameters of a grid point that is stated in terms of C, the inverse penalty of a
+    summed loss: the mean loss of n rows takes the penalty 1 / (C n)."""
+    if kind in ("lr", "svm"):
+        return {"regParam": 1.0 / (point["C"] * max(n, 1)), **{k: v for k, v in point.items() if k != "C"}}
+    return point
+
+
+def held_out_grid(
+    df: DataFrame, key: str, group: str, kind: str, grid: list[dict], folds: int = 5, label: str = "y",
+    parallel: int = 8,
+) -> DataFrame:
+    """(point, fold, key, label, prediction, score): every row predicted by every grid point, by a
+    model of the folds it is not in. A group never spans folds.
+
+    The matrix is stored once; the fits share nothing else and run side by side, each adding its
+    held-out part to one table, from which every metric can be had.
+    """
+    spark = df.sparkSession
+    parts = group_folds(df, group, label, folds).select(group, "fold")
+    data = training_set(df.join(parts, group)).cache()
+    sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
+    path = scratch_path(spark, f"held-out-{kind}")
+
+    def run(job: tuple[int, int]) -> None:
+        at, f = job
+        params = fit_params(kind, grid[at], sum(n for g, n in sizes.items() if g != f))
+        model = estimator(kind, label, **params).fit(data.where(F.col("fold") != f))
+        part = score(model, data.where(F.col("fold") == f)).select(
+            F.lit(at).alias("point"), "fold", key, label, F.col("prediction").cast("int").alias("prediction"), "score"
+        )
+        part.coalesce(1).write.parquet(f"{path}/{at}-{f}")  # jobs at one folder would clear each other's work
+
+    jobs = [(at, f) for at in range(len(grid)) for f in sorted(sizes)]
+    with ThreadPool(parallel) as pool:
+        pool.map(run, jobs, chunksize=1)
+    data.unpersist()
+    return spark.read.parquet(*[f"{path}/{at}-{f}" for at, f in jobs])
+
+
+def grid_metrics(held: DataFrame, label: str = "y") -> DataFrame:
+    """Pooled accuracy, macro F1 and AUC of each grid point, from the table of predictions."""
+    c = held.groupBy("point").agg(*_counts(F.col(label), F.col("prediction")))
+    s = binary_scores(*[F.col(x) for x in ("tp", "fp", "fn", "tn")])
+    flat = c.select("point", "tp", "fp", "fn", "tn", s["accuracy"].alias("accuracy"), s["f1_macro"].alias("f1_macro"))
+    h = held.groupBy("point", F.round("score", 6).alias("s")).agg(
+        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q")
+    )
+    w = Window.partitionBy("point").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    auc = h.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0))).groupBy("point").agg(
+        ratio(
+            F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.sum("p") * F.sum("q").cast("double")
+        ).alias("auc")
+    )
+    return flat.join(auc, "point")
+
+
 class MacroF1(Evaluator):
     """Macro F1 of a binary prediction (Spark's own ``f1`` is class-weighted)."""
 

@@ -10,7 +10,7 @@ from clauseflow.plans.base import documents, flags, quoted, with_ctes
 from clauseflow.plans.extraction import T07_SQL
 from clauseflow.plans.projections import FAMILY_SQL, families
 from clauseflow.plans.registry import query, table
-from clauseflow.session import scratch_path
+from clauseflow.session import cut_lineage, scratch_path
 from clauseflow.sources import readers as RD, writers as WR
 from clauseflow.streaming import documents as ST
 from clauseflow.streaming.windows import sliding_rate, usage_windows
@@ -185,8 +185,10 @@ SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITIO
 def z03(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     tbl, cp = scratch_path(spark, "latest"), scratch_path(spark, "latest-cp")
-    ST.drain(ST.upsert_latest(_arrivals(spark, e, 3, "results"), ["user_id"], ["ts", "event_id"], tbl, cp))
-    return spark.read.parquet(tbl).select("user_id", "event_id", "event_type")
+    key, order = ["user_id"], ["ts", "event_id"]
+    ST.drain(ST.upsert_latest(_arrivals(spark, e, 3, "results"), key, order, tbl, cp))
+    ST.compact_latest(spark, tbl, key, order)
+    return ST.read_latest(spark, tbl, key, order).select("user_id", "event_id", "event_type")
 
 
 @query("z04_usage_stream", """
@@ -205,11 +207,26 @@ def z04_stream(spark, sf):
     )
 
 
-@query("z06_running_gate")
+_VERDICT_BUCKET = "('0x' || md5(doc_id::VARCHAR)[1])::BIGINT % 8"
+
+
+@query("z06_running_gate", f"""
+WITH c AS (SELECT {_VERDICT_BUCKET} AS batch, count(*) AS n, count(*) FILTER (regexp_matches(text, {quoted(N.flags[5].pattern)})) AS p FROM documents GROUP BY 1),
+s AS (SELECT batch, (sum(n) OVER (ORDER BY batch))::BIGINT AS n_seen, (sum(p) OVER (ORDER BY batch))::BIGINT AS n_positive FROM c),
+g AS (SELECT *, n_seen >= 30 AND (n_positive = 0 OR n_positive = n_seen) AS stop FROM s)
+SELECT batch, n_seen, n_positive, stop FROM g WHERE batch <= coalesce((SELECT min(batch) FROM g WHERE stop), 8)""")
 def z06(spark, sf):
     """Gate log of a stream of verdicts: stops once 30 outputs are all of one class."""
-    d = documents(spark, sf, "doc_id", "text").select(
-        "doc_id", F.when(F.col("text").rlike(N.flags[5].pattern), "violation").otherwise("not_established").alias("verdict")
+    draw = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1), 16, 10).cast("int") % 8
+    d = cut_lineage(
+        documents(spark, sf, "doc_id", "text").select(
+            "doc_id", draw.alias("bucket"),
+            F.when(F.col("text").rlike(N.flags[5].pattern), "violation").otherwise("not_established").alias("verdict"),
+        )
     )
-    log = ST.gated(_arrivals(spark, d, 8, "verdicts"), "verdict", "violation", scratch_path(spark, "gate-cp"))
+    path = scratch_path(spark, "verdicts")
+    for b in range(8):  # files arrive one after the other
+        d.where(F.col("bucket") == b).drop("bucket").coalesce(1).write.mode("append").parquet(path)
+    stream = ST.arrivals(spark, path, d.drop("bucket").schema, 1)
+    log = ST.gated(stream, "verdict", "violation", scratch_path(spark, "gate-cp"))
     return spark.createDataFrame(log, "batch long, n_seen long, n_positive long, stop boolean")

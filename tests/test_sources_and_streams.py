@@ -1,6 +1,7 @@
 """File readers and writers, streams, and the registry."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,19 +69,70 @@ def test_restart_processes_only_new_files(spark, tmp_path):
 
 def test_upsert_keeps_latest_with_late_rows(spark, tmp_path):
     src, tbl, cp = (str(tmp_path / x) for x in ("src", "tbl", "cp"))
-    schema = "k string, t int, v string"
-    for rows in ([("a", 5, "new"), ("b", 1, "b1")], [("a", 3, "late"), ("b", 2, "b2"), ("c", 1, "c1")]):
+    schema, key, order = "k string, t int, v string", ["k"], ["t"]
+    assert ST.read_latest(spark, tbl, key, order) is None
+
+    def latest():
+        return {r.k: r.v for r in ST.read_latest(spark, tbl, key, order).collect()}
+
+    batches = [
+        [("a", 5, "new"), ("b", 1, "b1")], [("a", 3, "late"), ("b", 2, "b2"), ("c", 1, "c1")], [("c", 2, "c2")],
+    ]
+    for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        ST.drain(ST.upsert_latest(ST.arrivals(spark, src, schema), ["k"], ["t"], tbl, cp))
-    got = {r.k: r.v for r in spark.read.parquet(tbl).collect()}
-    assert got == {"a": "new", "b": "b2", "c": "c1"}
+        ST.drain(ST.upsert_latest(ST.arrivals(spark, src, schema), key, order, tbl, cp))
+        if i == 1:
+            first = (tmp_path / "tbl" / "batch-0").stat().st_mtime_ns
+            ST.compact_latest(spark, tbl, key, order)
+            assert (tmp_path / "tbl" / "base-1").exists()
+            assert latest() == {"a": "new", "b": "b2", "c": "c1"}
+    assert latest() == {"a": "new", "b": "b2", "c": "c2"}
+    assert (tmp_path / "tbl" / "batch-0").stat().st_mtime_ns == first  # nothing was rewritten
+    # a batch whose write was cut off is not read
+    shutil.copytree(tmp_path / "tbl" / "batch-2", tmp_path / "tbl" / "batch-3")
+    (tmp_path / "tbl" / "batch-3" / "_SUCCESS").unlink()
+    spark.createDataFrame([("c", 9, "lost")], schema).write.mode("append").option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false"
+    ).parquet(str(tmp_path / "tbl" / "batch-3"))
+    assert latest() == {"a": "new", "b": "b2", "c": "c2"}
+    # a replayed batch takes its own place
+    spark.createDataFrame(batches[2], schema).write.mode("overwrite").parquet(str(tmp_path / "tbl" / "batch-2"))
+    assert latest() == {"a": "new", "b": "b2", "c": "c2"}
+
+
+def test_duplicates_are_remembered_over_restarts_on_disk(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    for rows in (["a", "b", "a"], ["b", "c"], ["c", "a", "d"]):
+        spark.createDataFrame([(r,) for r in rows], "k string").coalesce(1).write.mode("append").parquet(src)
+        kept = ST.suppress_duplicates(ST.arrivals(spark, src, "k string"), ["k"])
+        ST.drain(kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp)
+                 .trigger(availableNow=True).start())
+    assert sorted(r.k for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "d"]
+    assert "RocksDB" in spark.conf.get(ST.PROVIDER)
+    # the keys are in the store's files, not in the heap's snapshot format
+    assert list((tmp_path / "cp" / "state").rglob("*.zip")) or list((tmp_path / "cp" / "state").rglob("*.changelog"))
 
 
 def test_gate_stops_on_one_class(spark, tmp_path):
     src = str(tmp_path / "src")
     spark.range(200).select(F.lit("n").alias("v")).repartition(8).write.parquet(src)
-    log = ST.gated(ST.arrivals(spark, src, "v string", 1), "v", "p", str(tmp_path / "cp"))
+    stream = ST.arrivals(spark, src, "v string", 1)
+    log = ST.gated(stream, "v", "p", str(tmp_path / "cp"))
     assert log[-1]["stop"] and log[-1]["n_seen"] < 200
+    assert ST.gated(stream, "v", "p", str(tmp_path / "cp")) == log  # a restart stays stopped
+
+
+def test_gate_goes_on_after_a_restart(spark, tmp_path):
+    src, cp = str(tmp_path / "src"), str(tmp_path / "cp")
+    seen = []
+    for values in (["n"] * 20, ["n"] * 5 + ["p"], ["n"] * 20):
+        spark.createDataFrame([(v,) for v in values], "v string").coalesce(1).write.mode("append").parquet(src)
+        seen.append(ST.gated(ST.arrivals(spark, src, "v string", 1), "v", "p", cp))
+    assert [len(x) for x in seen] == [1, 2, 3]
+    assert seen[2][-1] == {"batch": 2, "n_seen": 46, "n_positive": 1, "stop": False}
+    # a replayed batch counts once
+    spark.createDataFrame([(1, 6, 1)], "batch long, n long, p long").write.mode("overwrite").parquet(f"{cp}-gate/batch-1")
+    assert ST.gate_log(spark, f"{cp}-gate").orderBy("batch").collect()[-1].n_seen == 46
 
 
 def test_sliding_stream_equals_batch(spark, tmp_path):
