@@ -53,7 +53,7 @@ GRIDS = {
         for n in (100, 300) for d in (5, 10, 30) for m in (5, 10)
     ],
     "gbt": [{"maxIter": 10, "maxDepth": d} for d in (2, 3)],
-    "svm": [{"C": c, "maxIter": 500} for c in (0.1, 1.0, 10.0)],
+    "svm": [{"C": c, "maxIter": 500, "tol": 1e-4} for c in (0.1, 1.0, 10.0)],
 }
 
 
