@@ -14,16 +14,18 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-#: Units a task remembers; a unit longer than ``LONG`` is not kept.
-MAX_UNITS, LONG = 500_000, 200
+#: Units of each of the two ages a task remembers; a unit longer than ``LONG`` is not kept.
+MAX_UNITS, LONG = 30_000, 200
+#: Rows of a batch that are Python objects at once, and characters encoded together.
+ROWS, GROUP = 256, 1 << 18
 #: Fragments longer than this are merged one by one with a heap.
 SCAN = 256
 
@@ -183,17 +185,26 @@ class Vocabulary:
 
 
 class _Units(dict):
-    """Unit of text, as it stands after ``lead``, to its ids (little-endian, 32 bits)."""
+    """Unit of text, as it stands after ``lead``, to its ids (little-endian, 32 bits).
+
+    A full table becomes the old one; what is met again there comes back, the rest goes with it.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lead: str):
         self.vocabulary, self.lead = vocabulary, lead
+        self.old: dict[str, bytes] = {}
 
     def learn(self, units: set[str]) -> list[str]:
         """Encode the units not yet known; returns those to be forgotten after use."""
         new = units.difference(self)
         if len(self) + len(new) > MAX_UNITS:
+            self.old = dict(self)
             self.clear()
             new = units
+        again = new & self.old.keys()
+        if again:
+            self.update(zip(again, map(self.old.__getitem__, again)))
+            new = new - again
         # a unit of letters is one pre-token; letters and one mark are two
         plain = [u for u in new if u.isalpha()]
         rest = [u for u in new if not u.isalpha()]
@@ -298,7 +309,7 @@ def read_file(spark: SparkSession, path: str) -> str:
         return spark.read.text(path, wholetext=True).first()[0]
 
 
-def groups(texts: list[str | None], limit: int = 1 << 22) -> Iterator[list[str]]:
+def groups(texts: list[str | None], limit: int = GROUP) -> Iterator[list[str]]:
     """Texts in groups of about ``limit`` characters; null counts as empty."""
     group: list[str] = []
     size = 0
@@ -312,6 +323,14 @@ def groups(texts: list[str | None], limit: int = 1 << 22) -> Iterator[list[str]]
         yield group
 
 
+def in_slices(values: pa.Array, kind: pa.DataType, run: Callable[[list], list]) -> pa.Array:
+    """``run`` over a few hundred values at a time, so that few of them are Python objects at once."""
+    parts = [
+        pa.array(run(values.slice(at, ROWS).to_pylist()), kind) for at in range(0, len(values), ROWS)
+    ]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 #: One encoder in a worker, so that its tables outlive a batch.
 _encoders: dict[int, Encoder] = {}
 
@@ -334,16 +353,14 @@ class BytePairs:
         @F.arrow_udf("binary")
         def encode(texts: pa.Array) -> pa.Array:
             run = encoder().encode
-            out: list[bytes] = []
-            for group in groups(texts.to_pylist()):
-                out += run(group)
-            return pa.array(out, pa.binary())
+            return in_slices(texts, pa.binary(), lambda part: [i for g in groups(part) for i in run(g)])
 
         @F.arrow_udf("string")
         def decode(ids: pa.Array) -> pa.Array:
             run = encoder().decode
-            return pa.array([run(i) if i else "" for i in ids.to_pylist()], pa.string())
+            return in_slices(ids, pa.string(), lambda part: [run(i) if i else "" for i in part])
 
+        self.encoder = encoder
         self._encode, self._decode = encode, decode
 
     def encode(self, text: Column) -> Column:
@@ -356,17 +373,43 @@ class BytePairs:
 
 
 def encode_texts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """All rows with ids binary, n_tokens long and decoded string."""
-    pairs = BytePairs(docs.sparkSession, path)
+    """All rows with ids binary, n_tokens long and decoded string.
+
+    Rows come back a few hundred at a time, so a task never holds the ids of a whole batch.
+    """
+    encoder = BytePairs(docs.sparkSession, path).encoder
     kept = [c for c in docs.columns if c not in {"ids", "n_tokens", "decoded"}]
-    packed = docs.select(
-        F.struct(*[docs["`" + c.replace("`", "``") + "`"] for c in kept]).alias("row")
+    fields = [docs.schema[c] for c in kept]
+    cells = [docs["`" + c.replace("`", "``") + "`"].alias(f"c{i}") for i, c in enumerate(kept)]
+    if text_col in kept and isinstance(docs.schema[text_col].dataType, T.StringType):
+        at = kept.index(text_col)
+    else:
+        at = len(kept)
+        cells.append(docs["`" + text_col.replace("`", "``") + "`"].cast("string").alias("body"))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = encoder()
+        names = [f"c{i}" for i in range(len(kept))] + ["ids", "decoded"]
+        for batch in batches:
+            for lo in range(0, len(batch), ROWS):
+                part = batch.slice(lo, ROWS)
+                ids = [i for g in groups(part.column(at).to_pylist()) for i in run.encode(g)]
+                texts = [run.decode(i) if i else "" for i in ids]
+                cells = [part.column(i) for i in range(len(kept))]
+                cells += [pa.array(ids, pa.binary()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(cells, names=names)
+
+    out = T.StructType(
+        [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)]
+        + [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
     )
-    coded = packed.select("row", pairs.encode(F.col("row")[text_col].cast("string")).alias("ids"))
-    both = coded.select("row", "ids", pairs.decode(F.col("ids")).alias("decoded"))
-    return both.select(
-        *[F.col("row")[c].alias(c) for c in kept],
-        "ids",
-        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        "decoded",
+    return (
+        docs.select(*cells)
+        .mapInArrow(code, out)
+        .select(
+            *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)],
+            "ids",
+            F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+            "decoded",
+        )
     )
