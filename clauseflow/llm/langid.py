@@ -1,8 +1,8 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax.
 
 The model is trained on the driver by stochastic gradient descent in numpy, on a bounded sample
-of labelled rows (``per_language`` rows of each language, the first ``train_bytes`` bytes of
-each); prediction runs in the tasks over whole texts. A part of the sample sets a temperature,
+of labelled rows (``per_language`` rows of each language, whole texts, of which only the counts of
+their hashed subwords reach the driver); prediction runs in the tasks over whole texts. A part of the sample sets a temperature,
 so that scores are calibrated, and the score below which a prediction is rejected.
 
 Nulls and odd input: a text that is null or has no letter gets ``und`` with score 0 and is
@@ -12,7 +12,7 @@ text gets ``und``; repeated rows are ordinary rows; an empty table gives an empt
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +23,9 @@ from clauseflow.llm.words import ALNUM, LOWER, U, chunks, column
 
 #: Buckets of subword hashes, width of an embedding, subword lengths in bytes.
 BUCKETS, WIDTH, SIZES = 1 << 15, 16, (2, 3, 4)
-PER_LANGUAGE, TRAIN_BYTES = 1_500, 4_000
+PER_LANGUAGE = 1_500
+#: Parts that a language's rows are dealt into before its sample is taken.
+PARTS = 64
 EPOCHS, RATE, SEED = 6, 0.5, 20240601
 #: Share of the sample kept for calibration.
 CALIBRATION = 5
@@ -75,6 +77,15 @@ def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return bucket[np.cumsum(keep[:-1]) > 0], counts
 
 
+#: Buckets of a text's subwords and how often each occurs.
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def subword_counts(text: bytes) -> Counts:
+    bucket, count = np.unique(subwords([text])[0], return_counts=True)
+    return bucket.astype(np.uint16), count.astype(np.float32)
+
+
 @dataclass
 class Model:
     """Languages, embeddings x output weights folded to one table, temperature, rejection."""
@@ -95,23 +106,27 @@ class Model:
             out[some] = np.add.reduceat(self.table[bucket], starts, axis=0) / counts[some, None]
         return softmax((out + self.bias) / self.temperature)
 
+    def scores_of(self, rows: list[Counts]) -> np.ndarray:
+        """The same from subword counts."""
+        out = np.zeros((len(rows), len(self.languages)))
+        for i, (bucket, count) in enumerate(rows):
+            if len(bucket):
+                out[i] = count @ self.table[bucket] / count.sum()
+        return softmax((out + self.bias) / self.temperature)
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], labels: list[str], seed: int = SEED) -> Model:
+def train(rows: list[Counts], labels: list[str], seed: int = SEED) -> Model:
     """Fit embeddings and softmax by gradient descent; every CALIBRATION-th row calibrates."""
     languages = sorted(set(labels))
     if not languages:
         return Model()
     rng = np.random.default_rng(seed)
     y = np.array([languages.index(v) for v in labels])
-    rows = []
-    for t in texts:
-        bucket, _ = subwords([t])
-        rows.append(np.unique(bucket, return_counts=True))
     k = len(languages)
     embed = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     weight = rng.normal(0, 0.1, (WIDTH, k))
@@ -143,7 +158,7 @@ def train(texts: list[bytes], labels: list[str], seed: int = SEED) -> Model:
 
     def loss(t: float) -> float:
         model.temperature = t
-        log_p = np.log(np.maximum(model.scores([texts[i] for i in check]), 1e-12))
+        log_p = np.log(np.maximum(model.scores_of([rows[i] for i in check]), 1e-12))
         hit = log_p[np.arange(len(check)), truth]
         # targets of a finite sample stay off 0 and 1, or separable languages would ask for
         # scores of exactly 1 even for texts like nothing in the sample
@@ -152,7 +167,7 @@ def train(texts: list[bytes], labels: list[str], seed: int = SEED) -> Model:
 
     grid = [2.0**e for e in np.arange(-4, 4.5, 0.5)]
     model.temperature = min(grid, key=loss)
-    top = np.sort(model.scores([texts[i] for i in check]).max(axis=1))
+    top = np.sort(model.scores_of([rows[i] for i in check]).max(axis=1))
     model.reject_below = float(min(REJECT_GUESS / k, top[int(REJECT_SHARE * len(top))]))
     return model
 
@@ -168,35 +183,52 @@ def learn(
     text_col: str = "text",
     label_col: str = "lang",
     per_language: int = PER_LANGUAGE,
-    train_bytes: int = TRAIN_BYTES,
 ) -> Model:
     """Train on at most ``per_language`` rows of each language that are not held out.
 
-    The rows are those with the smallest hash of the id, so the sample is spread evenly.
+    The rows are those with the smallest hash of id and text, so the sample is spread evenly. A
+    language's rows are dealt into parts and each part gives its first ones, so none is sorted in
+    one task; whole texts stay in the tasks, subword counts come to the driver.
     """
-    ident, label = column(docs, id_col), column(docs, label_col)
-    usable = docs.where(
-        label.isNotNull() & column(docs, text_col).isNotNull() & ident.isNotNull() & ~held_out(ident)
+    ident, label, text = column(docs, id_col), column(docs, label_col), column(docs, text_col)
+    usable = docs.where(label.isNotNull() & text.isNotNull() & ident.isNotNull() & ~held_out(ident))
+    # the hash alone is ordered; equal hashes are equal rows but for chance
+    keyed = usable.select(
+        label.cast("string").alias("label"), F.xxhash64(ident, text).alias("h"), text.cast("binary").alias("t")
     )
-    order = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    chosen = (
-        usable.select(ident.alias("id"), label.alias("label"))
-        .withColumn("r", order)
-        .where(F.col("r") <= per_language)
-        .select("id", "label")
-        .distinct()
-    )
-    # at most per_language rows of each language
-    rows = (
-        usable.select(
-            ident.alias("id"), label.alias("label"), F.substring(column(docs, text_col), 1, train_bytes).alias("t")
-        )
-        .join(F.broadcast(chosen), ["id", "label"])
-        .select(F.xxhash64("id").alias("h"), "label", F.col("t").cast("binary").alias("t"))
+    hashes = keyed.select("label", "h", F.pmod(F.shiftright("h", 20), F.lit(PARTS)).alias("part"))
+    first = Window.partitionBy("label", "part").orderBy("h")
+    few = hashes.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language)
+    every = Window.partitionBy("label").orderBy("h")
+    chosen = few.withColumn("r", F.row_number().over(every)).where(F.col("r") <= per_language)
+    # at most per_language rows of each language; a text that occurs again is taken as often as chosen
+    sample = chosen.groupBy("label", "h").agg(F.count(F.lit(1)).alias("times"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                bucket, times = subword_counts(batch.column("t")[i].as_py())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(c).slice(i, 1) for c in ("label", "h", "times")],
+                        pa.array([bucket.astype("<u2").tobytes()], pa.binary()),
+                        pa.array([times.astype("<f4").tobytes()], pa.binary()),
+                    ],
+                    names=["label", "h", "times", "bucket", "count"],
+                )
+
+    found = (
+        keyed.join(F.broadcast(sample), ["label", "h"])
+        .mapInArrow(count, "label string, h bigint, times bigint, bucket binary, count binary")
+        .dropDuplicates(["label", "h"])
         .toArrow()
+        .sort_by([("h", "ascending"), ("label", "ascending")])
     )
-    ordered = sorted(zip(rows["h"].to_pylist(), rows["label"].to_pylist(), rows["t"].to_pylist()))
-    return train([t[:train_bytes] for _, _, t in ordered], [v for _, v, _ in ordered])
+    rows, labels = [], []
+    for name, times, bucket, n in zip(*(found[c].to_pylist() for c in ("label", "times", "bucket", "count"))):
+        rows += [(np.frombuffer(bucket, "<u2"), np.frombuffer(n, "<f4"))] * times
+        labels += [name] * times
+    return train(rows, labels)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -209,7 +241,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         model = sent.value
         langs: list[str] = []
         scores: list[float] = []
-        for _, group in chunks(texts.to_pylist(), 1 << 19):
+        for _, group in chunks(texts, 1 << 17):
             p = model.scores(group)
             best = p.argmax(axis=1)
             langs += [model.languages[b] for b in best]
