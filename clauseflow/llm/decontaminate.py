@@ -173,7 +173,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, window: int, most: int)
 def _pass(texts: pa.Array, spans: pa.Array, block: Block | None) -> pa.StructArray:
     n_words, out_spans, out_items = [], [], []
     before = spans.to_pylist()
-    for start, group in chunks(texts.to_pylist()):
+    for start, group in chunks(texts):
         words = Words(group, ALNUM)
         hashes = words.hashes(LOWER)
         for k in range(len(group)):

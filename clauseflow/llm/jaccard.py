@@ -46,6 +46,8 @@ OPEN_PAIRS = 32
 MORE_HUBS = 8
 #: Most pairs of one document that are verified in one place.
 PARTNERS = 2_000
+#: Steps of a counter's logarithm: counts up to 2^51 fit one byte.
+LEVELS = 5
 #: Bits of a filter for a shingle, and places a prefix shingle sets.
 BITS_EACH, K = 12, 2
 
@@ -67,7 +69,7 @@ class Similarity:
         return both > 0 and self.den * both >= self.num * (len(a) + len(b) - both)
 
 
-def shingle_sets(texts: list, n: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list | pa.Array, n: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text, A-Z lower-cased."""
     for _, group in chunks(texts):
         words = Words(group, SPACED)
@@ -99,15 +101,16 @@ def _profiles(docs: DataFrame, sim: Similarity, counts: np.ndarray, twice) -> Da
 
     m counts the shingles that another document may have too. The prefix leaves out shingles that no other document has; they count in its length.
     """
+    levels = np.round(LEVELS * np.log2(counts + 1.0)).clip(0, 255).astype(np.uint8)
+    value = (2.0 ** (np.arange(256) / LEVELS) - 1).astype(np.float32)  # count of a level
     typical = float(np.median(counts))
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
+    sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sent.value
-        level = np.log2(counts + 1.0).round(1)
+        level = sent.value
         for batch in batches:
             sizes, commons, digests, needs, prefixes = [], [], [], [], []
-            for s in shingle_sets(batch.column("body").to_pylist(), sim.n):
+            for s in shingle_sets(batch.column("body"), sim.n):
                 n = len(s)
                 sizes.append(n)
                 if not n:
@@ -127,8 +130,8 @@ def _profiles(docs: DataFrame, sim: Similarity, counts: np.ndarray, twice) -> Da
                 commons.append(int(met.sum()))
                 base = n - sim.overlap(n)
                 most = min(MAX_MATCH, sim.overlap(n))
-                order = np.lexsort((two, np.where(met, level[at], -1.0)))[: base + most]
-                excess = np.where(met, np.maximum(counts[at] - typical, 0.5), 0.0)[order]
+                order = np.lexsort((two, np.where(met, level[at].astype(np.int16), np.int16(-1))))[: base + most]
+                excess = np.where(met, np.maximum(value[level[at]] - typical, 0.5), 0.0)[order]
                 need = choose_match(excess, n, base, most)
                 needs.append(need)
                 chosen = order[: base + need]
@@ -207,7 +210,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
         for batch in batches:
             good = []
             first = batch.column("a").is_null().to_pylist()
-            bodies = batch.column("body").to_pylist()
+            bodies = batch.column("body")
             for leads, found in zip(first, shingle_sets(bodies, sim.n)):
                 if leads:
                     own = found
@@ -317,7 +320,7 @@ def link_components(
     )
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield from shingle_sets(batch.column("body").to_pylist(), sim.n)
+        yield from shingle_sets(batch.column("body"), sim.n)
 
     text = F.col("body").cast("string")
     spaces = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))

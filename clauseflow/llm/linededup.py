@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from clauseflow.llm import twofilters
-from clauseflow.llm.words import column
+from clauseflow.llm.words import column, each_value
 from clauseflow.session import cut_lineage
 
 #: Bits of each filter for a line, and places a line sets.
@@ -69,7 +69,7 @@ def dedup_lines(
     lines = narrow.agg(F.sum(F.lit(1) + F.coalesce(newlines, F.lit(0)))).first()[0] or 0
 
     def hashes_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for text in batch.column("body").to_pylist():
+        for text in each_value(batch.column("body")):
             yield _hashes(keys(text, min_chars))
 
     bits = twofilters.bits_for(lines, BITS_EACH)
@@ -80,7 +80,7 @@ def dedup_lines(
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, found = [], []
-            for i, text in enumerate(batch.column("body").to_pylist()):
+            for i, text in enumerate(each_value(batch.column("body"))):
                 own = list(keys(text, min_chars))
                 for hit in np.flatnonzero(twice.hits(_hashes(own))):
                     owner.append(i)

@@ -37,7 +37,7 @@ FLUSH = 1 << 20
 
 def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
     """Hashes of the blocks of each text: places 0, size, 2 * size, ..."""
-    for _, group in chunks(batch.column("body").to_pylist()):
+    for _, group in chunks(batch.column("body")):
         words = Words(group, SPACED)
         rolling = windows(words.hashes(), size)
         picks = [
@@ -154,7 +154,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             ids.append(batch.column("doc"))
             sigs.append(batch.column("sig"))
-            for start, group in chunks(batch.column("body").to_pylist()):
+            for start, group in chunks(batch.column("body")):
                 words = Words(group, SPACED)
                 row, place, h, g = _candidates(words, words.hashes(), once, twice, window)
                 if len(row):

@@ -10,6 +10,9 @@ small for its input only passes more keys on to the exact step behind it.
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from clauseflow.llm.words import U, mix
+from clauseflow.session import shared_dir
 
 SEGMENT = 16
 #: 32 MB for each filter at most.
@@ -105,19 +109,45 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+#: The files that a task's process has mapped.
+_maps: dict[str, np.memmap] = {}
+
+
+def mapped(path: str) -> np.memmap:
+    if path not in _maps:
+        if len(_maps) >= 8:
+            _maps.clear()
+        _maps[path] = np.memmap(path, np.uint8, "r")
+    return _maps[path]
+
+
 class Filter:
-    """A merged filter as sent to the tasks."""
+    """A merged filter as the tasks see it.
+
+    Where the shared folder is a folder of the file system, the bits are a file there that each
+    machine's tasks map into memory together; in another store they are broadcast.
+    """
 
-    def __init__(self, shared, bits: int, k: int):
-        self.shared, self.bits, self.k = shared, bits, k
+    def __init__(self, spark: SparkSession, data: np.ndarray, bits: int, k: int):
+        self.bits, self.k, self.shared, self.path = bits, k, None, None
+        folder = re.sub("^file:(//)?", "", shared_dir(spark))
+        if os.path.isdir(folder):
+            self.path = f"{folder}/filter-{uuid.uuid4().hex}"
+            data.tofile(self.path + ".part")
+            os.rename(self.path + ".part", self.path)
+        else:
+            self.shared = spark.sparkContext.broadcast(data)
 
     def release(self) -> None:
-        """Frees the tasks' copies once everything that used the filter is stored."""
-        self.shared.unpersist()
+        """Frees the filter once everything that used it is stored."""
+        if self.path:
+            os.remove(self.path)
+        else:
+            self.shared.unpersist()
 
     def hits(self, keys: np.ndarray) -> np.ndarray:
         """True where a key may be in the filter (never false for a key that is)."""
-        data = self.shared.value
+        data = mapped(self.path) if self.path else self.shared.value
         out = np.ones(len(keys), bool)
         for at in places(keys, self.bits, self.k):
             out &= (data[at >> U(3)] >> (U(7) - (at & U(7))).astype(np.uint8)) & np.uint8(1) > 0
@@ -131,9 +161,9 @@ def build(
     k: int,
     which: tuple[str, ...] = ("once", "twice"),
 ) -> list[Filter]:
-    """The filters of all keys that ``keys_of`` finds in the rows, as broadcast bit arrays.
+    """The filters of all keys that ``keys_of`` finds in the rows.
 
-    Each is bits / 8 bytes, ``MAX_BITS`` / 8 at most: that is what the driver and each task hold.
+    Each is bits / 8 bytes, ``MAX_BITS`` / 8 at most: that is what the driver and each machine hold.
     """
     spark: SparkSession = df.sparkSession
 
@@ -155,4 +185,4 @@ def build(
         for seg, data in zip(at, table.column(w)):
             whole[w][seg * size : (seg + 1) * size] = np.frombuffer(data.as_buffer(), np.uint8)
     del table
-    return [Filter(spark.sparkContext.broadcast(whole[w]), bits, k) for w in which]
+    return [Filter(spark, whole.pop(w), bits, k) for w in which]

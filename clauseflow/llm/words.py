@@ -16,9 +16,9 @@ U = np.uint64
 _B = U(0x9E3779B97F4A7C15)
 _B_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes hashed at once; a longer piece is cut at a separator.
-SLICE = 1 << 20
+SLICE = 1 << 17
 #: Bytes of text handled together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -109,11 +109,20 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     return out[:keep]
 
 
-def chunks(values: list, limit: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+def each_value(values: list | pa.Array, rows: int = 256) -> Iterator:
+    """The values one after the other; of a column only a few are Python objects at a time."""
+    if isinstance(values, list):
+        yield from values
+    else:
+        for at in range(0, len(values), rows):
+            yield from values.slice(at, rows).to_pylist()
+
+
+def chunks(values: list | pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
     """(place of the first, texts) in groups of about ``limit`` bytes; null counts as empty."""
     group: list[bytes] = []
     size = start = 0
-    for i, v in enumerate(values):
+    for i, v in enumerate(each_value(values)):
         v = v or b""
         if group and size + len(v) > limit:
             yield start, group

@@ -140,3 +140,38 @@ def test_substrings(docs, rows, none, window):
     assert sum(k[2] for k in found) > 0
     assert all(sum(s.end - s.start for s in r.repeats) == r.n_removed for r in got)
     assert dedup_substrings(none).count() == 0
+
+
+@pytest.mark.parametrize("folder", [True, False])
+def test_filters_are_mapped_or_broadcast(spark, monkeypatch, folder):
+    import numpy as np
+
+    from clauseflow.llm import twofilters
+    from clauseflow.llm.words import U, mix
+
+    if not folder:
+        monkeypatch.setattr(twofilters, "shared_dir", lambda s: "store://bucket/shared")
+    ids = spark.createDataFrame([(i % 700,) for i in range(1000)], "id long").repartition(3)
+
+    def keys_of(batch):
+        yield mix(batch.column("id").to_numpy().astype(U))
+
+    once, twice = twofilters.build(ids, keys_of, 1 << 17, 3)
+    assert (once.path is None) != folder
+    met = mix(np.arange(2000, dtype=U))
+    assert once.hits(met)[:700].all() and once.hits(met)[700:].mean() < 0.01
+    assert twice.hits(met)[:300].all() and twice.hits(met)[300:].mean() < 0.02
+    seen = ids.mapInArrow(lambda bs: (b.filter(__import__("pyarrow").array(twice.hits(next(keys_of(b))))) for b in bs), "id long")
+    assert seen.where("id < 300").count() == 600
+    twice.release()
+    once.release()
+
+
+def test_values_of_a_column_come_in_slices():
+    import pyarrow as pa
+
+    from clauseflow.llm.words import chunks, each_value
+
+    column = pa.array([None, b"", b"ab"] * 400 + [b"x" * (1 << 20)], pa.binary())
+    assert list(each_value(column, 7)) == column.to_pylist()
+    assert [list(c) for c in chunks(column, 100)] == [list(c) for c in chunks(column.to_pylist(), 100)]
