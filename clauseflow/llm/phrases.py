@@ -126,8 +126,11 @@ def _member(filters: list, keys: np.ndarray) -> np.ndarray:
 
 
 def _counted(s: Slice, longest: int, filters: list | None) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(phrases, counts) of a slice: all phrases without filters; else those with both
-    parts in any filter, but not both in any but the last one."""
+    """(phrases, counts) of a slice: all phrases without filters; else those with both parts
+    counted and in any filter, without those that all filters but the last one let in already.
+
+    A filter can hold a phrase by mistake that was not counted when it was sent, so whether a
+    phrase was counted before is known only together with the same of its parts."""
     n = len(s.ids)
     again = filters is not None and len(filters) > 1
     numbers, distinct = s.ids, len(s.words)
@@ -135,6 +138,7 @@ def _counted(s: Slice, longest: int, filters: list | None) -> Iterator[tuple[pa.
     places[s.ids[::-1]] = np.arange(n - 1, -1, -1)
     counts = np.bincount(s.ids, minlength=distinct)
     alive = np.ones(n, bool)
+    counted = np.full(distinct, again)  # before this pass
     for k in range(1, longest + 1):
         if k > 1:
             # a phrase is its first k - 1 words and one more; numbers are places in ``places``
@@ -147,14 +151,14 @@ def _counted(s: Slice, longest: int, filters: list | None) -> Iterator[tuple[pa.
             key = numbers[begin] * (int(s.ids.max()) + 1) + s.ids[begin + k - 1]
             _, first, back, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             places = begin[first]
-            fresh = np.ones(len(places), bool)
+            parts = numbers[places], numbers[places + 1]
+            counted = counted[parts[0]] & counted[parts[1]]
             if again:
-                fresh = ~(before[numbers[places]] & before[numbers[places + 1]])
+                counted &= before[parts[0]] & before[parts[1]]
             numbers = np.full(n, -1, np.int64)
             numbers[begin] = back
             alive = numbers >= 0
-        else:
-            fresh = np.full(distinct, not again)
+        fresh = ~counted
         if not len(places):
             return
         if k < longest and filters is not None:

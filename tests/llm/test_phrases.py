@@ -6,10 +6,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from clauseflow.llm import phrases
-from clauseflow.llm.phrases import Mining, collocations, frequent_phrases
+from clauseflow.llm.phrases import Mining, Slice, _counted, collocations, frequent_phrases, phrase_keys
 
 SCHEMA = "text string, lang string, f long, words long, phrase string, `a.b` long"
 
@@ -100,6 +102,26 @@ def test_a_full_filter_changes_nothing(spark, rows, monkeypatch):
     assert got == brute_counts(rows, how)[0]
 
 
+class Holding:
+    """A filter of these phrases."""
+
+    def __init__(self, *listed):
+        self.keys = phrase_keys(pa.array(["en"] * len(listed)), pa.array(listed))
+
+    def hits(self, keys):
+        return np.isin(keys, self.keys)
+
+
+def test_a_phrase_let_in_by_mistake_hides_no_longer_one():
+    s = Slice([b"a a a a b. a a c d"], "en")
+    passes = [Holding("a a", "c"), Holding("a"), Holding("a a a", "d")]  # a a comes before its word
+    found = [x for i in range(3) for t, n in _counted(s, 4, passes[: i + 1]) for x in zip(t.to_pylist(), n.tolist())]
+    assert len(found) == len(dict(found))
+    assert dict(found) == {
+        b"a": 6, b"b": 1, b"c": 1, b"d": 1, b"a a": 4, b"a c": 1, b"a a a": 2, b"a a a a": 1, b"c d": 1,
+    }
+
+
 def test_empty_table(spark):
     assert collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert collocations(spark.createDataFrame([("a b", "en", 1, 2, "p", 3)], SCHEMA)).count() == 0
