@@ -97,7 +97,7 @@ def normalize_finding(f: Column) -> Column:
     ftype = F.trim(F.coalesce(f["finding_type"], F.lit("")))
     sev = F.lower(F.trim(F.coalesce(f["severity"], F.lit(""))))
     arts = F.filter(
-        F.transform(parse_json_list(f["cited_articles"]), F.trim), lambda a: F.length(a) > 0
+        F.transform(parse_json_list(f["cited_articles"]), lambda a: F.trim(a)), lambda a: F.length(a) > 0
     )
     return F.struct(
         F.when(ftype.isin(*L.FINDING_TYPES), ftype).otherwise(F.lit("other")).alias("finding_type"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseflow.functions import positional as Q, scalar as S, text as X
-from clauseflow.lexicon import RUSSIAN
+from clauseflow.lexicon import NEUTRAL, RUSSIAN
 
 TEXT = (
     "Техническое задание\nСистемная плата: ASUS 850M или эквивалент, разъёмы SATA.\n" + "x " * 150
@@ -68,6 +68,11 @@ def test_unguarded_trademark_window(spark):
     assert [r.x for r in got] == [False, True]
 
 
+def test_codes_keep_the_digits_at_their_ends(spark):
+    df = spark.createDataFrame([("Anna 900 or Bert 711 or Carl 22",)], "t string")
+    assert df.select(X.model_codes(F.col("t"), NEUTRAL).alias("c")).first().c == ["Anna 900", "Bert 711", "Carl 22"]
+
+
 def test_normalisation(spark):
     df = spark.createDataFrame([("  ＡＢ  Ё\t\n x ",)], "t string")
     assert df.select(X.normalize_text(F.col("t"), compat=True).alias("n")).first().n == "ab ё x"
