@@ -17,6 +17,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clauseflow import lexicon as L
+from clauseflow.operators import logistic
 from clauseflow.operators.metrics import binary_scores
 from clauseflow.operators.report import RiskModel
 from clauseflow.operators.windows import hash_order, ordered_index
@@ -147,6 +148,8 @@ def nested_search(
     Rows: every input row once, with fold, chosen grid position, prediction and score.
     """
     folds = group_folds(df, group, label, outer).select(group, "fold")
+    if kind == "lr":
+        return _nested_logistic(df, folds, group, grid, outer, inner, label)
     data = training_set(df.join(folds, group)).cache()
     pooled = None
     for f in range(outer):
@@ -157,6 +160,58 @@ def nested_search(
     return training_set(pooled)
 
 
+def _folds_scored(data: DataFrame, models: list, fold: str, points: int) -> DataFrame:
+    """Rows with ``scores``: one probability for each point, by the models of the row's own fold."""
+    listed = F.array(*[logistic.literal(models[i : i + points]) for i in range(0, len(models), points)])
+    return logistic.probabilities(data, list(L.FEATURE_COLUMNS), F.get(listed, F.col(fold)), "scores")
+
+
+def _nested_logistic(
+    df: DataFrame, folds: DataFrame, group: str, grid: list[dict], outer: int, inner: int, label: str
+) -> DataFrame:
+    """:func:`nested_search` of logistic regressions: all inner models in one go, then all outer ones."""
+    feats = list(L.FEATURE_COLUMNS)
+    base = training_set(df.join(folds, group))
+    parts = folds
+    for f in range(outer):
+        own = group_folds(base.where(F.col("fold") != f), group, label, inner)
+        parts = parts.join(own.select(group, F.col("fold").alias(f"inner_{f}")), group, "left")
+    data = training_set(base.drop("fold").join(parts, group)).cache()
+    trains = F.array(
+        *[(F.col("fold") != f) & (F.col(f"inner_{f}") != g) for f in range(outer) for g in range(inner)],
+        *[F.col("fold") != f for f in range(outer)],
+    )
+    trains = F.transform(trains, lambda x: F.coalesce(x, F.lit(False)))  # no inner fold outside its part
+    points = len(grid)
+    best = [0] * outer
+    if points > 1:
+        jobs = [(f * inner + g, p) for f in range(outer) for g in range(inner) for p in grid]
+        models = logistic.fit_many(data, feats, label, trains, jobs)
+        counted = None
+        for f in range(outer):
+            own = models[f * inner * points : (f + 1) * inner * points]
+            part = _folds_scored(data.where(F.col("fold") != f), own, f"inner_{f}", points)
+            part = part.select(F.lit(f).alias("of"), F.col(f"inner_{f}").alias("part"), label, F.posexplode("scores"))
+            counted = part if counted is None else counted.unionByName(part)
+        c = counted.groupBy("of", "part", F.col("pos").alias("point")).agg(
+            *_counts(F.col(label), (F.col("col") > 0.5).cast("int"))
+        )
+        value = binary_scores(*[F.col(x) for x in ("tp", "fp", "fn", "tn")])["f1_macro"]
+        means = {
+            (r["of"], r["point"]): r["v"]
+            for r in c.groupBy("of", "point").agg(F.sum(F.coalesce(value, F.lit(0.0))).alias("v")).collect()
+        }
+        best = [max(range(points), key=lambda i: (round(means.get((f, i), 0.0), 12), -i)) for f in range(outer)]
+    final = logistic.fit_many(data, feats, label, trains, [(outer * inner + f, grid[best[f]]) for f in range(outer)])
+    scored = _folds_scored(data, final, "fold", 1).withColumn("score", F.get("scores", F.lit(0)))
+    pooled = scored.withColumn("prediction", (F.col("score") > 0.5).cast("double")).withColumn(
+        "chosen", F.get(F.array(*[F.lit(b) for b in best]), F.col("fold"))
+    )
+    stored = training_set(pooled.drop("scores", *[f"inner_{f}" for f in range(outer)]))
+    data.unpersist()
+    return stored
+
+
 def fit_params(kind: str, point: dict, n: int) -> dict:
     """Spark's parameters of a grid point that is stated in terms of C, the inverse penalty of a
     summed loss: the mean loss of n rows takes the penalty 1 / (C n)."""
@@ -172,13 +227,31 @@ def held_out_grid(
     """(point, fold, key, label, prediction, score): every row predicted by every grid point, by a
     model of the folds it is not in. A group never spans folds.
 
-    The matrix is stored once; the fits share nothing else and run side by side, each adding its
-    held-out part to one table, from which every metric can be had.
+    The matrix is stored once. Logistic regressions are fitted all together; other fits share
+    nothing else and run side by side, each adding its held-out part to one table, from which every
+    metric can be had.
     """
     spark = df.sparkSession
     parts = group_folds(df, group, label, folds).select(group, "fold")
     data = training_set(df.join(parts, group)).cache()
     sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
+    if kind == "lr":
+        present = sorted(sizes)
+        jobs = [
+            (at, fit_params(kind, p, sum(n for g, n in sizes.items() if g != f)))
+            for at, f in enumerate(present) for p in grid
+        ]
+        trains = F.array(*[F.col("fold") != f for f in present])
+        models = logistic.fit_many(data, list(L.FEATURE_COLUMNS), label, trains, jobs)
+        own = data.withColumn("_at", F.array_position(F.array(*[F.lit(f) for f in present]), F.col("fold")) - 1)
+        held = _folds_scored(own, models, "_at", len(grid)).select(
+            F.posexplode("scores").alias("point", "score"), "fold", key, label
+        )
+        stored = cut_lineage(
+            held.select("point", "fold", key, label, (F.col("score") > 0.5).cast("int").alias("prediction"), "score")
+        )
+        data.unpersist()
+        return stored
     path = scratch_path(spark, f"held-out-{kind}")
 
     def run(job: tuple[int, int]) -> None:

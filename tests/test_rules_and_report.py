@@ -1,13 +1,14 @@
 """Compliance rules, dedupe, score, verdict, recommendations."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from clauseflow import lexicon as L
 from clauseflow.functions import records as R, rules as RU
-from clauseflow.operators import report as RP
+from clauseflow.operators import ml as ML, report as RP
 
 SCHEMA = (
     "doc_type string, brands array<struct<name:string,guarded:boolean,quote:string>>, "
@@ -208,3 +209,45 @@ def test_linear_scorer_equals_the_pipeline(spark):
     for y in (0, 1):
         sizes = [sum(r.fold == f and r.y == y for r in folds) for f in range(5)]
         assert max(sizes) - min(sizes) <= 1
+
+
+def test_logistic_regressions_together_are_spark_s_one_by_one(spark):
+    rng = random.Random(5)
+    feats = list(L.FEATURE_COLUMNS)
+    rows = []
+    for i in range(600):
+        x = [rng.gauss(0, 1 + j) for j in range(len(feats))]
+        x[3], x[4] = 2.0, float(rng.random() < 0.02)  # one value; a rare one
+        rows.append((i, f"g{i % 40}", int(x[0] - 0.4 * x[1] + rng.gauss(0, 1) > 0.5), *x))
+    df = spark.createDataFrame(rows, ["doc_id", "g", "y", *feats])
+    grid = [{"C": c, "elasticNetParam": e, "maxIter": 500} for c in (0.05, 5.0) for e in (1.0, 0.0)]
+    held = ML.held_out_grid(df, "doc_id", "g", "lr", grid, folds=3)
+    got = {(r.point, r.doc_id): r for r in held.collect()}
+    assert len(got) == held.count() == 600 * len(grid)
+    folds = df.join(ML.group_folds(df, "g", "y", 3), "g").cache()
+    train = folds.where("fold != 1")
+    for at, p in enumerate(grid):
+        model = ML.estimator("lr", "y", tol=1e-10, **ML.fit_params("lr", p, train.count())).fit(train)
+        for r in ML.score(model, folds.where("fold = 1")).collect():
+            assert got[at, r.doc_id].score == pytest.approx(r.score, abs=1e-4)
+            assert got[at, r.doc_id].prediction == int(got[at, r.doc_id].score > 0.5)
+            assert (got[at, r.doc_id].fold, got[at, r.doc_id].y) == (1, r.y)
+
+
+def test_nested_search_of_logistic_regressions_in_few_jobs(spark):
+    rng = random.Random(6)
+    feats = list(L.FEATURE_COLUMNS)
+    rows = []
+    for i in range(400):
+        x = [rng.gauss(0, 1) for _ in feats]
+        rows.append((i, f"g{i % 30}", int(x[0] + rng.gauss(0, 0.5) > 0), *x))
+    df = spark.createDataFrame(rows, ["doc_id", "g", "y", *feats])
+    grid = [{"regParam": r, "elasticNetParam": 1.0, "maxIter": 500} for r in (0.9, 0.01)]
+    spark.sparkContext.setJobGroup("nested", "nested")
+    out = ML.nested_search(df, "g", "lr", grid, outer=3, inner=2).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("nested"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 250
+    assert sorted(r.doc_id for r in out) == list(range(400))
+    assert {r.chosen for r in out} == {1}
+    assert sum(r.prediction == r.y for r in out) > 330
