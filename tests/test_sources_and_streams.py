@@ -171,3 +171,17 @@ def test_pooled_row_is_sum_of_strata(spark):
     pooled = [r for r in rows if r.stratum == "pooled"][0]
     for c in ("episodes", "matched", "gold", "pred"):
         assert pooled[c] == sum(r[c] for r in rows if r.stratum != "pooled")
+
+
+def test_files_of_single_rows_lie_in_one_folder(spark, tmp_path):
+    import os
+
+    from clauseflow.sources import readers, writers
+
+    df = spark.createDataFrame([(i, f"text {i}\nmore") for i in range(40)], "notice long, value string")
+    flat, deep = str(tmp_path / "flat"), str(tmp_path / "deep")
+    writers.write_files(df.select("value"), flat)
+    assert sum(f.endswith(".txt") for f in os.listdir(flat)) == 40
+    writers.write_files(df, deep, "notice")
+    back = readers.read_specifications(spark, deep, r"notice=([^/]+)/").collect()
+    assert {(int(r.notice_id), r.text.rstrip("\n")) for r in back} == {(r.notice, r.value) for r in df.collect()}
