@@ -486,12 +486,15 @@ SELECT doc_id, type_ord, idx, CASE WHEN pos > 0 AND length(q) > 0 THEN
   (CASE WHEN a > 1 THEN '…' ELSE '' END) || trim(substr(t, a, b - a + 1)) ||
   (CASE WHEN b < length(t) THEN '…' ELSE '' END) ELSE quote END AS snippet FROM s"""))
 def p23(spark, sf):
-    g = gold(spark, sf).select("doc_id", "type_ord", "idx", "quote")
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    return g.join(d, "doc_id").select(
-        "doc_id", "type_ord", "idx",
-        X.context_snippet(F.col("text"), F.col("quote")).alias("snippet"),
-    )
+    """A document's findings stay in the row of its text, which is normalised once and not moved."""
+    found = X.pack_findings(F.col("text"), NEUTRAL.gold, "finding_type")
+    d = documents(spark, sf, "doc_id", "text").select("doc_id", "text", found.alias("g"))
+    cut = X.context_snippets(F.col("text"), F.transform("g", lambda f: f["quote"]))
+    rows = F.arrays_zip(F.col("g"), cut.alias("snippet"))
+    listed = d.where(F.size("g") > 0).select("doc_id", F.inline(rows)).select(
+        "doc_id", "g.type_ord", "g.idx", "snippet"
+    )
+    return listed.join(table(spark, sf, "labels").select("doc_id"), "doc_id")
 
 
 @query("p24_risk_level", with_ctes("flags", """

@@ -109,3 +109,14 @@ def test_lanes_match_short_terms_as_words(spark):
     df = spark.createDataFrame([("требование сро и лицензия",), ("просрочка",), ("нет ничего",)], "t string")
     rows = df.select(*[c.alias(n) for c, n in zip(S.keyword_lanes(F.col("t")), "abc")]).collect()
     assert [r.a for r in rows] == ["REQ-QUAL", "no_clean_legacy_match", "no_clean_legacy_match"]
+
+
+def test_snippets_of_one_text_are_cut_in_its_row(spark):
+    text, quotes = "A  " + "b " * 300 + "Needle  x" + " c" * 300, ["needle X", "gone", "", "A b"]
+    df = spark.createDataFrame([(text, quotes), (None, ["q"])], "t string, q array<string>")
+    many, empty = df.select(X.context_snippets(F.col("t"), F.col("q")).alias("s")).collect()
+    one = df.where("t is not null").select("t", F.explode("q").alias("q")).select(X.context_snippet(F.col("t"), F.col("q")).alias("s"))
+    assert many.s == [r.s for r in one.collect()]
+    assert many.s[0].startswith("…b b") and many.s[0].endswith("c c…") and "needle x" in many.s[0]
+    assert many.s[1:3] == ["gone", ""] and many.s[3].startswith("a b b") and many.s[3].endswith("…")
+    assert empty.s == ["q"]
