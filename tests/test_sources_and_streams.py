@@ -185,3 +185,13 @@ def test_files_of_single_rows_lie_in_one_folder(spark, tmp_path):
     writers.write_files(df, deep, "notice")
     back = readers.read_specifications(spark, deep, r"notice=([^/]+)/").collect()
     assert {(int(r.notice_id), r.text.rstrip("\n")) for r in back} == {(r.notice, r.value) for r in df.collect()}
+
+
+def test_arrivals_of_a_larger_table_are_more_files(spark, monkeypatch):
+    from clauseflow.plans import files_and_streams as FS
+
+    seen = []
+    monkeypatch.setattr(FS.ST, "arrivals", lambda s, path, schema, n: seen.append((len(s.read.parquet(path).inputFiles()), n)))
+    FS._arrivals(spark, spark.range(0, 900, 1, 9), 3, "many")
+    FS._arrivals(spark, spark.range(0, 900, 1, 1), 3, "few")
+    assert seen == [(9, 3), (3, 1)]
