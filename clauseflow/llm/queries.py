@@ -295,16 +295,13 @@ def _url_tokens_sql(text: str, mark: str, kind: str) -> str:
   sizes AS (
     SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE verdict = 'allow')::DOUBLE AS a,
       ceil(0.01::DOUBLE * count(*)::DOUBLE) AS least FROM labelled),
-  told AS (
-    SELECT t, abs((count(*) FILTER (WHERE verdict = 'allow'))::DOUBLE / count(*)::DOUBLE
-      - (SELECT a / n FROM sizes)) AS told
-    FROM (SELECT unnest(tokens) AS t, verdict FROM labelled) GROUP BY t
+  frequent AS (
+    SELECT t FROM (SELECT unnest(tokens) AS t FROM labelled) GROUP BY t
     HAVING count(*) >= (SELECT least FROM sizes)),
   chosen AS (
-    SELECT page_id, verdict, list_sort(list(t)) AS items FROM (
-      SELECT page_id, verdict, t, row_number() OVER (PARTITION BY page_id ORDER BY told DESC, t) AS r
-      FROM (SELECT page_id, verdict, unnest(tokens) AS t FROM labelled) JOIN told USING (t))
-    WHERE r <= 8 GROUP BY page_id, verdict),
+    SELECT page_id, verdict, list_sort(list(t)) AS items
+    FROM (SELECT page_id, verdict, unnest(tokens) AS t FROM labelled) JOIN frequent USING (t)
+    GROUP BY page_id, verdict),
   combined AS (
     SELECT verdict, [items[i + 1] for i in range(0, len(items)) if (mask >> i) & 1 = 1] AS ant
     FROM (SELECT verdict, items, unnest(range(1, (1 << len(items))::BIGINT)) AS mask FROM chosen)),

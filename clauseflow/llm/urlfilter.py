@@ -11,9 +11,10 @@ more support, fewer tokens, tokens in order), found by an inverted index from a
 token to the rule; where no rule fires, the verdict that most labelled URLs have (``allow`` on a
 tie or without labels).
 
-Size: mining sees the ``items`` tokens of a URL whose verdicts are least like the average, so at
-most 2^(items + 1) / support sets are frequent, whatever the input. Everything else covers all
-rows and all tokens, in the row: no row of pages is shuffled. Only DataFrame functions are used.
+Size: mining combines all frequent tokens of a URL, at most (mean number of tokens) / support
+different ones. Tokens that cannot change a result are not combined (see ``mine``), so a long URL
+costs something only where many of its tokens tell different things. Everything covers all
+rows and all tokens. Only DataFrame functions and FP-growth are used.
 
 Nulls and odd input: a null URL, or one without ``://``, has empty host and path, no token and
 the verdict of the majority; equal URLs get equal verdicts; an empty table gives an empty result.
@@ -23,6 +24,7 @@ read whole, whatever their length.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -49,12 +51,12 @@ class Rule:
 
 @dataclass(frozen=True)
 class Mining:
-    """Least share of the labelled URLs that a rule must cover rightly, least confidence, and the
-    number of tokens of a URL that are combined with each other."""
+    """Least share of the labelled URLs that a rule must cover rightly, least confidence, and, where
+    fewer than all tokens of a URL shall be combined with each other, their number."""
 
     support: float = 0.01
     confidence: float = 0.8
-    items: int = 8
+    items: int | None = None
 
 
 def host_of(url: Column) -> Column:
@@ -111,10 +113,33 @@ def _verdict_item(x: Column) -> Column:
     return F.startswith(x, F.lit("verdict="))
 
 
+def _most_telling(labelled: DataFrame, least: int, share: float, items: int) -> DataFrame:
+    """(tokens, verdict) with the ``items`` frequent tokens whose verdicts are least like the average."""
+    frequent = (
+        labelled.select(F.explode("tokens").alias("token"), "verdict")
+        .groupBy("token")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == ALLOW).alias("a"))
+        .where(F.col("n") >= least)
+        .select("token", F.abs(F.col("a") / F.col("n") - F.lit(share)).alias("told"))
+    )
+    # at most (mean number of tokens) / support entries
+    known = frequent.agg(F.map_from_entries(F.collect_list(F.struct("token", "told"))).alias("known"))
+    told = F.transform(
+        F.filter("tokens", lambda t: F.map_contains_key("known", t)),
+        lambda t: F.struct((-F.element_at("known", t)).alias("told"), t.alias("token")),
+    )
+    return labelled.select("tokens", "verdict", known.scalar().alias("known")).select(
+        F.transform(F.slice(F.array_sort(told), 1, items), lambda t: t["token"]).alias("tokens"), "verdict"
+    )
+
+
 def mine(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
     """Mined rules (tokens sorted array, verdict, n, of, confidence) from (tokens, verdict).
 
-    ``n`` labelled URLs have the tokens and the verdict, ``of`` have the tokens.
+    ``n`` labelled URLs have the tokens and the verdict, ``of`` have the tokens. Rules of one token
+    follow from counts. Only tokens that can stand in a longer rule that is not needless are
+    combined: none whose URLs all have one verdict (its own rule is certain), none that all URLs
+    have, and one for all tokens of the same URLs, which are put in its place afterwards.
     """
     labelled = cut_lineage(labelled.select("tokens", "verdict"))
     total, allowed = labelled.agg(F.count(F.lit(1)), F.count_if(F.col("verdict") == ALLOW)).first()
@@ -123,25 +148,39 @@ def mine(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
     )
     if not total:
         return empty
-    frequent = (
-        labelled.select(F.explode("tokens").alias("token"), "verdict")
+    least = math.ceil(how.support * total)
+    if how.items is not None:
+        labelled = cut_lineage(_most_telling(labelled, least, allowed / total, how.items))
+    row = F.monotonically_increasing_id()
+    single = cut_lineage(
+        labelled.select("tokens", "verdict", F.xxhash64(row).alias("x"), F.xxhash64(row, F.lit(1)).alias("y"))
+        .select(F.explode("tokens").alias("token"), "verdict", "x", "y")
         .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == ALLOW).alias("a"))
-        .where(F.col("n") >= F.ceil(F.lit(how.support) * F.lit(float(total))))
-        .select("token", F.abs(F.col("a") / F.col("n") - F.lit(allowed) / F.lit(total)).alias("told"))
+        .agg(
+            F.count(F.lit(1)).alias("of"), F.count_if(F.col("verdict") == ALLOW).alias("a"),
+            F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"),
+        )
+        .where(F.col("of") >= least)
+    )
+    votes = F.array(
+        F.struct(F.lit(ALLOW).alias("verdict"), F.col("a").alias("n")),
+        F.struct(F.lit(BLOCK).alias("verdict"), (F.col("of") - F.col("a")).alias("n")),
+    )
+    alone = single.select(F.array("token").alias("tokens"), "of", F.inline(votes))
+    mixed = (
+        single.where((F.col("of") < total) & (F.col("a") > 0) & (F.col("a") < F.col("of")))
+        .groupBy("of", "a", "x", "y")
+        .agg(F.array_sort(F.collect_set("token")).alias("same"))
     )
     # at most (mean number of tokens) / support entries
-    known = frequent.agg(F.map_from_entries(F.collect_list(F.struct("token", "told"))).alias("known"))
-    looked_up = labelled.select("tokens", "verdict", known.scalar().alias("known")).select(
-        "verdict",
-        F.transform(
-            F.filter("tokens", lambda t: F.map_contains_key("known", t)),
-            lambda t: F.struct((-F.element_at("known", t)).alias("told"), t.alias("token")),
-        ).alias("told"),
-    )
-    baskets = looked_up.select(
+    classes = cut_lineage(
+        mixed.agg(
+            F.map_from_entries(F.collect_list(F.struct(F.get("same", F.lit(0)).alias("token"), "same"))).alias("classes")
+        )
+    )
+    baskets = labelled.select("tokens", "verdict", classes.scalar().alias("classes")).select(
         F.concat(
-            F.transform(F.slice(F.array_sort("told"), 1, how.items), lambda t: t["token"]),
+            F.filter("tokens", lambda t: F.map_contains_key("classes", t)),
             F.array(F.concat(F.lit("verdict="), "verdict")),
         ).alias("items")
     )
@@ -154,14 +193,29 @@ def mine(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
         F.filter("items", lambda x: ~_verdict_item(x)).alias("tokens"),
         F.regexp_replace(F.get(F.filter("items", _verdict_item), F.lit(0)), "^verdict=", "").alias("verdict"),
         "freq",
-    ).where(F.size("tokens") > 0)
-    rules = (
+    ).where(F.size("tokens") > 1)
+    each_of_class = F.aggregate(
+        "tokens",
+        F.array(F.array().cast("array<string>")),
+        lambda made, t: F.flatten(
+            F.transform(made, lambda m: F.transform(F.element_at("classes", t), lambda s: F.array_append(m, s)))
+        ),
+    )
+    together = (
         split.where("verdict is not null")
         .withColumnRenamed("freq", "n")
         .join(split.where("verdict is null").select("tokens", F.col("freq").alias("of")), "tokens")
+        .where(F.col("n") / F.col("of") >= how.confidence)
+        .select("*", classes.scalar().alias("classes"))
+        .select(F.explode(each_of_class).alias("tokens"), "verdict", "n", "of")
+        .select(F.array_sort("tokens").alias("tokens"), "of", "verdict", "n")
+    )
+    rules = (
+        alone.unionByName(together)
         .withColumn("confidence", F.col("n") / F.col("of"))
-        .where(F.col("confidence") >= how.confidence)
+        .where((F.col("confidence") >= how.confidence) & (F.col("n") >= max(least, 1)))
     )
+    rules = cut_lineage(rules)
     less = F.transform(
         F.sequence(F.lit(1), F.size("tokens")),
         lambda i: F.filter("tokens", lambda t, at: at != i - 1),
