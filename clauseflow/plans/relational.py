@@ -323,10 +323,10 @@ def s11(spark, sf):
             F.round(F.col("n_chars") / 1000.0, 3).cast("string")).alias("confidence"),
         F.col("text").alias("evidence_quote"), F.col("text").alias("reasoning"),
     ))
-    rec = R.verdict_record(F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-    return j.select(
-        "doc_id", rec["verdict"].alias("verdict"), rec["confidence"].alias("confidence"),
-        F.md5(rec["evidence_quote"]).alias("quote_md5"), F.md5(rec["reasoning"]).alias("reasoning_md5"),
+    j = j.select("doc_id", F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("resp"))
+    return R.with_verdict_record(j, "resp").select(
+        "doc_id", "verdict", "confidence",
+        F.md5("evidence_quote").alias("quote_md5"), F.md5("reasoning").alias("reasoning_md5"),
     )
 
 

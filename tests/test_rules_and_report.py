@@ -251,3 +251,13 @@ def test_nested_search_of_logistic_regressions_in_few_jobs(spark):
     assert sorted(r.doc_id for r in out) == list(range(400))
     assert {r.chosen for r in out} == {1}
     assert sum(r.prediction == r.y for r in out) > 330
+
+
+def test_staged_verdict_record_decodes_once(spark):
+    texts = ['```json\n{"verdict": "violation", "confidence": 3, "evidence_quote": "a"}\n```', "none", None, "", "[1]", '{"a": 1} x ```[2]```', "```\n{broken}\n```"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    made = R.with_verdict_record(df, "t")
+    plain = df.select("i", *[c.alias(n) for n, c in R.verdict_record(F.col("t")).items()])
+    assert sorted(map(str, made.collect())) == sorted(map(str, plain.collect()))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
