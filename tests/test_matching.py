@@ -198,3 +198,36 @@ def test_candidates_cover_all_pairs(spark):
             if e == e2 and t == t2 and a & b:
                 expect[e, t, q, f] = (g.count((e, t, q)), p.count((e, t, f)), round(len(a & b) / len(a), 9))
     assert got == expect
+
+
+def test_cheap_tests_of_patterns_hide_no_match(spark):
+    from clauseflow.lexicon import NEUTRAL
+
+    assert sum(bool(p.literal or p.probe) for p in (*NEUTRAL.flags, *NEUTRAL.gold)) == 8
+    rng = random.Random(5)
+    parts = ["ABC", "AB-", "A1-2", "ÄBCD", "aABCD e", "@", "a@b.de", "1.2", "1.2.3", "10.20.30.4", ".5.", '"', '"ab"', "$$$", "x$$$", " ", "\n", "only", "license"]
+    texts = [None, "", *parts, *("".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(300))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in (*NEUTRAL.flags, *NEUTRAL.gold):
+        plain, count = X.all_matches(F.col("t"), p.pattern, 1), F.regexp_count("t", F.lit(p.pattern))
+        rows = df.select(X.pattern_matches(F.col("t"), p).alias("a"), plain.alias("b"), X.pattern_count(F.col("t"), p).alias("c"), count.alias("d")).collect()
+        assert all((r.a or []) == (r.b or []) and (r.c or 0) == (r.d or 0) for r in rows), p
+
+
+def test_texts_are_scanned_once_for_both_sides(spark, tmp_path):
+    from clauseflow.plans.base import findings_of_both
+
+    spark.createDataFrame([(1, 'ABCD or "x y" and license'), (2, "nothing"), (3, "WXYZ here"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (2, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    g, f = findings_of_both(spark, str(tmp_path))
+    assert {r.quote for r in g.collect()} == {'ABCD or "x y"', "license"} and {r.doc_id for r in f.collect()} == {1}
+    assert "RegExpExtractAll" not in g.join(f, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in g.join(f, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_assignment_of_more_episodes_than_a_slice(spark):
+    item = "array<struct<type_ord:int,idx:int,type:string,quote:string,tokens:array<string>,entities:array<string>,vector:array<double>>>"
+    one = lambda i, n: [(1, k, BRAND, f"q{i}", ["q"], [], [1.0, float(k)]) for k in range(n)]
+    rows = [(i, one(i, i % 3), None if i % 5 == 0 else one(i, 2)) for i in range(M.EPISODES * 2 + 3)]
+    got = M.assign(spark.createDataFrame(rows, f"k int, gold {item}, pred {item}").coalesce(1)).collect()
+    assert {r.k: len(r.pairs) for r in got} == {i: 0 if i % 5 == 0 else i % 3 for i, _, _ in rows}
