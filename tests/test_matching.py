@@ -226,8 +226,20 @@ def test_texts_are_scanned_once_for_both_sides(spark, tmp_path):
 
 
 def test_assignment_of_more_episodes_than_a_slice(spark):
-    item = "array<struct<type_ord:int,idx:int,type:string,quote:string,tokens:array<string>,entities:array<string>,vector:array<double>>>"
-    one = lambda i, n: [(1, k, BRAND, f"q{i}", ["q"], [], [1.0, float(k)]) for k in range(n)]
-    rows = [(i, one(i, i % 3), None if i % 5 == 0 else one(i, 2)) for i in range(M.EPISODES * 2 + 3)]
-    got = M.assign(spark.createDataFrame(rows, f"k int, gold {item}, pred {item}").coalesce(1)).collect()
-    assert {r.k: len(r.pairs) for r in got} == {i: 0 if i % 5 == 0 else i % 3 for i, _, _ in rows}
+    item = "array<struct<type_ord:int,idx:int,type:string,quote:string,tokens:array<string>,entities:array<string>>>"
+    one = lambda i, n: [(1, k, BRAND, f"q{i}", ["q"], []) for k in range(n)]
+    rows = [(i, one(i, i % 3), None if i % 5 == 0 else one(i, 2), [(f"q{i}", [1.0])]) for i in range(M.EPISODES * 2 + 3)]
+    got = M.assign(spark.createDataFrame(rows, f"k int, gold {item}, pred {item}, vectors {M.VECTORS}").coalesce(1)).collect()
+    assert {r.k: len(r.pairs) for r in got} == {i: 0 if i % 5 == 0 else i % 3 for i, *_ in rows}
+
+
+def test_an_episode_holds_a_vector_once(spark):
+    from clauseflow.lexicon import NEUTRAL
+
+    gold = spark.createDataFrame([(1, 1, BRAND, k, " same ") for k in range(5)], "doc_id int, type_ord int, finding_type string, idx int, quote string")
+    flags = spark.createDataFrame([(1, 1, BRAND, k, "same" if k else "other") for k in range(9)], "doc_id int, type_ord int, flag_type string, idx int, quote string")
+    vectors = spark.createDataFrame([("same", [0.6, 0.8]), ("other", [1.0, 0.0])], "quote string, vector array<double>")
+    a = M.finding_arrays(gold, flags, vectors, "doc_id", NEUTRAL)
+    row = M.assign(a).first()
+    assert sorted(v.quote for v in row.vectors) == ["other", "same"]
+    assert [(p.gold_idx, p.pred_idx, round(p.sem, 9)) for p in row.pairs] == [(k, k + 1, 1.0) for k in range(1, 6)]
