@@ -2,41 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clauseflow.functions.text import TOKEN, all_matches, normalize_text
 from clauseflow.session import cut_lineage
 
-SHINGLE = 5
+#: Inner words in the key of a quote, at most.
+INNER = 5
+#: Up to so many inner words the key also takes characters of the first and last word, so many of each.
+FEW, ENDS = 2, 3
+#: Characters in the key of a quote of one word: the most of these that it has.
+PARTS = (1, 2, 3, 5, 8)
 
 
-#: Quotes of so many words and more are found by the 5-gram of their words 2 to 6.
-LONG = SHINGLE + 2
-#: Characters of the key of a quote without an inner word.
-PART = 3
+def _window_key(word, inner: int, head: int, tail: int) -> Column:
+    """Key of the inner words 1 .. ``inner``, with the last characters of word 0 and the first of the next."""
+    ends = ([F.substring(word(0), -head, head)] if head else []) + ([F.substring(word(inner + 1), 1, tail)] if tail else [])
+    return F.xxhash64(F.lit(f"words {inner} {head} {tail}"), *[word(i) for i in range(1, inner + 1)], *ends)
 
 
-def _grams(toks: Column, size: int, kind: str) -> Column:
-    """Distinct keys of the ``size`` neighbouring words of an array of words."""
-    n = F.greatest(F.size(toks) - size + 1, F.lit(0))
-    shifts = F.arrays_zip(*[F.slice(toks, k + 1, n).alias(f"s{k}") for k in range(size)])
-    return F.array_distinct(
-        F.transform(shifts, lambda x: F.xxhash64(F.lit(kind), *[x[f"s{k}"] for k in range(size)]))
-    )
+def _part_key(text: Column, at, size: int) -> Column:
+    return F.xxhash64(F.lit(f"part {size}"), F.substring(text, at, F.lit(size)))
 
 
-def _parts(toks: Column, size: int) -> Column:
-    """Distinct keys of the ``size`` neighbouring characters of the words."""
-    cut = F.flatten(
-        F.transform(
-            toks,
-            lambda w: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(w) - size + 1, F.lit(1))),
-                lambda at: F.substring(w, at, F.lit(size)),
-            ),
-        )
-    )
-    return F.array_distinct(F.transform(F.array_distinct(cut), lambda x: F.xxhash64(F.lit("part"), x)))
+def _mark_key(text: Column) -> Column:
+    return F.xxhash64(F.lit("mark"), F.substring(text, 1, 1))
 
 
 def containment_join(
@@ -45,53 +37,76 @@ def containment_join(
 ) -> DataFrame:
     """(quote key, document key) where the normalised quote is a substring of the document.
 
-    The inner words of a contained quote are whole words of the document (its first and last
-    word may be cut), so they give an equi-join key and the substring test runs only on
-    candidates: words 2 to 6 of a quote of seven or more words, all inner words of one of three
-    to six. A quote of one or two words is found by the first characters of its longest word, one
-    without any word (marks only) by its mere characters. Of the sizes only those that the quotes
-    have are cut from the documents, and a document's keys are distinct before they leave its row.
+    The inner words of a contained quote are whole words of the document, its first and last
+    word may be cut. So a key of its inner words (the first ``INNER``; of up to ``FEW`` together
+    with the last characters of the first word and the first of the last) is among the keys of
+    the document's neighbouring words, and the substring test runs only on candidates. A quote of
+    one word is found by its first characters in any place of a word, one without any word (marks
+    only) by its first character. Only the kinds of keys that the quotes have are cut from the
+    documents, which are normalised and split once; keys meet the quotes where they are made, as
+    long as those are few enough to be sent there.
     """
     q = quotes.select(quote_key, normalize_text(F.col(quote_text), compat=True).alias("_q")).where(
         F.length("_q") > 0
     )
-    q = q.withColumn("_t", all_matches(F.col("_q"), TOKEN))
-    n = F.size("_t")
-    longest = F.array_max(F.transform("_t", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    kind = (
-        F.when(n >= LONG, F.lit(SHINGLE)).when(n >= 3, n - 2)
-        .when(n >= 1, -F.least(F.length(longest), F.lit(PART))).otherwise(F.lit(0))
+    q = cut_lineage(q.withColumn("_t", all_matches(F.col("_q"), TOKEN)))
+    n, first, last = F.size("_t"), F.get("_t", F.lit(0)), F.get("_t", F.size("_t") - 1)
+    inner = F.least(n - 2, F.lit(INNER))
+
+    def taken(word: Column) -> Column:
+        return F.when(inner <= FEW, F.least(F.length(word), F.lit(ENDS))).otherwise(F.lit(0))
+
+    size = F.greatest(*[F.when(F.length(first) >= s, s) for s in PARTS], F.lit(0))
+    q = q.withColumn(
+        "_kind",
+        F.when(n >= 2, F.array(inner, taken(first), taken(last)))
+        .when(n == 1, F.array(size)).otherwise(F.array().cast("array<int>")),
     )
-    inner = F.slice("_t", 2, F.greatest(F.least(n - 2, F.lit(SHINGLE)), F.lit(1)))
-    q = q.withColumn("_kind", kind).withColumn("_inner", inner).withColumn("_longest", longest)
-    q = cut_lineage(q.select(quote_key, "_q", "_kind", "_inner", "_longest"))
-    kinds = sorted(r[0] for r in q.select("_kind").distinct().collect())  # 9 at most
+    kinds = sorted(tuple(r[0]) for r in q.select("_kind").distinct().collect())  # 36 at most
+    windows = [k for k in kinds if len(k) == 3]
+    sizes = [k[0] for k in kinds if len(k) == 1]
+
+    def own(kind: tuple) -> Column:
+        if not kind:
+            return _mark_key(F.col("_q"))
+        if len(kind) == 1:
+            return _part_key(first, F.lit(1), kind[0])
+        return _window_key(
+            lambda i: last if i > kind[0] and kind[2] else F.get("_t", F.lit(i)), *kind
+        )
 
-    d = docs.select(doc_key, normalize_text(F.col(doc_text), compat=True).alias("_d"))
-    toks = d.select(doc_key, all_matches(F.col("_d"), TOKEN).alias("_t"))
-    both = None
-    for k in kinds:
-        own = q.where(F.col("_kind") == k)
-        if k > 0:
-            key = F.xxhash64(F.lit(f"words{k}"), *[F.get("_inner", F.lit(i)) for i in range(k)])
-            keys = toks.select(doc_key, F.explode(_grams(F.col("_t"), k, f"words{k}")).alias("_h"))
-        elif k < 0:
-            key = F.xxhash64(F.lit("part"), F.substring("_longest", 1, -k))
-            keys = toks.select(doc_key, F.explode(_parts(F.col("_t"), -k)).alias("_h"))
-        else:
-            key = F.xxhash64(F.lit("mark"), F.substring("_q", 1, 1))
-            marks = F.array_distinct(F.split(F.regexp_replace("_d", r"[\p{L}\p{N}_]", ""), ""))
-            keys = d.select(doc_key, F.explode(marks).alias("_m")).select(
-                doc_key, F.xxhash64(F.lit("mark"), F.col("_m")).alias("_h")
-            )
-        found = keys.join(own.select(quote_key, key.alias("_h")), "_h").select(quote_key, doc_key)
-        both = found if both is None else both.unionByName(found)
-    if both is None:
+    if not kinds:
         return docs.select(doc_key).limit(0).join(quotes.select(quote_key).limit(0), F.lit(False)).select(quote_key, doc_key)
-    met = both.distinct().join(q.select(quote_key, "_q"), quote_key)
+    key = F.lit(None).cast("long")
+    for kind in kinds:
+        key = F.when(F.col("_kind") == F.array(*[F.lit(x) for x in kind]).cast("array<int>"), own(kind)).otherwise(key)
+    wanted = cut_lineage(q.select(quote_key, "_q", key.alias("_h")))
+
+    d = docs.select(doc_key, normalize_text(F.col(doc_text), compat=True).alias("_d"))
+    d = cut_lineage(d.select(doc_key, "_d", all_matches(F.col("_d"), TOKEN).alias("_t")))
+    keys = []
+    if windows:
+        wide = max(k[0] + 2 for k in windows)
+        # all words from each place on; what is missing behind the last one is null
+        cut = F.arrays_zip(*[F.slice("_t", i + 1, F.greatest(F.size("_t") - i, F.lit(0))).alias(f"w{i}") for i in range(wide)])
+        rows = d.select(doc_key, F.inline(cut))
+        whole = [F.when(F.col(f"w{k[0] + 1}").isNotNull(), _window_key(lambda i: F.col(f"w{i}"), *k)) for k in windows]
+        keys.append(rows.select(doc_key, F.explode(F.array(*whole)).alias("_h")))
+    if sizes:
+        words = d.select(doc_key, F.explode(F.array_distinct("_t")).alias("w"))
+        places = words.select(doc_key, "w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("at"))
+        parts = [F.when(F.col("at") + s - 1 <= F.length("w"), _part_key(F.col("w"), F.col("at"), s)) for s in sizes]
+        keys.append(places.select(doc_key, F.explode(F.array(*parts)).alias("_h")))
+    if () in kinds:
+        marks = F.array_distinct(F.split(F.regexp_replace("_d", r"[\p{L}\p{N}_]", ""), ""))
+        keys.append(d.select(doc_key, F.explode(marks).alias("m")).select(doc_key, _mark_key(F.col("m")).alias("_h")))
+    short = wanted.select(quote_key, "_h")
+    met = reduce(DataFrame.unionByName, [k.join(short, "_h").select(quote_key, doc_key).distinct() for k in keys])
     # a document's candidates come together, so its text is sent and read once
-    listed = met.groupBy(doc_key).agg(F.collect_list(F.struct(F.col(quote_key).alias("key"), "_q")).alias("_c"))
-    hits = d.join(listed, doc_key).select(
+    listed = met.join(wanted.select(quote_key, "_q"), quote_key).groupBy(doc_key).agg(
+        F.collect_list(F.struct(F.col(quote_key).alias("key"), "_q")).alias("_c")
+    )
+    hits = d.select(doc_key, "_d").join(listed, doc_key).select(
         doc_key, F.explode(F.filter("_c", lambda c: F.contains(F.col("_d"), c["_q"]))).alias("_c")
     )
     return hits.select(F.col("_c.key").alias(quote_key), doc_key)

@@ -99,6 +99,34 @@ def test_containment_join_equals_nested_loop(spark):
     assert got == want
 
 
+def test_containment_join_reads_the_documents_once(spark):
+    """Quotes of all kinds, words cut at both ends and marks; each text is made ready once."""
+    rng = random.Random(12)
+    w = ["a", "ab", "abc", "cdé", "naïve_1", "xxxxxxxxxxy", "z9", "日本語の"]
+    docs = [(i, "".join(rng.choice(w) + rng.choice([" ", ", ", "-", ". (", " ", " "]) for _ in range(30))) for i in range(30)]
+    docs += [(98, ""), (99, None)]
+    quotes = [(-1, "?!"), (-2, "- "), (-3, "("), (-4, None), (-5, "y")]
+    for j in range(150):
+        t = docs[rng.randrange(30)][1]
+        a = rng.randrange(0, len(t))
+        quotes.append((j, t[a : a + rng.choice([1, 2, 4, 7, 12, 20, 45, 70])]))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(t):
+        seen.add(1)
+        return t
+
+    d = spark.createDataFrame(docs, "doc int, t string").select("doc", read.asNondeterministic()("t").alias("t"))
+    qd = spark.createDataFrame(quotes, "q int, t string")
+    got = sorted((r.q, r.doc) for r in J.containment_join(qd, "q", "t", d, "doc", "t").collect())
+    assert seen.value == len(docs)
+    want = sorted(
+        (j, i) for j, q in quotes for i, t in docs if q and t and q.strip() and " ".join(q.split()) in " ".join(t.split())
+    )
+    assert got == want and len(got) > 150
+
+
 def unit(v):
     return (v / np.linalg.norm(v)).tolist()
 
