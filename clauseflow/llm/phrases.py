@@ -50,6 +50,11 @@ SPACE = pa.scalar(b" ", pa.large_binary())
 PIECE_END = np.zeros(256, bool)
 PIECE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 WORD &= ~PIECE_END
+#: Tables of ``bytes.translate``: the kind of a byte, A-Z to a-z, and what is in no word.
+WORD_BYTE, END_BYTE = 1, 2
+KIND = np.where(WORD, WORD_BYTE, np.where(PIECE_END, END_BYTE, 0)).astype(np.uint8).tobytes()
+FOLD = LOWER.tobytes()
+NO_WORD = np.flatnonzero(~WORD).astype(np.uint8).tobytes()
 
 
 @dataclass(frozen=True)
@@ -78,30 +83,34 @@ class Slice:
     """The words of some texts of one language, numbered exactly."""
 
     def __init__(self, texts: list[bytes], lang: str):
-        data = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-        inside = WORD[data]
-        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
+        joined = b"\n".join([b"", *texts, b""])  # neither end is inside a word
+        kind = np.frombuffer(joined.translate(KIND), np.uint8)
+        inside = kind == WORD_BYTE
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         starts, ends = edge[0::2], edge[1::2]
-        piece = np.cumsum(PIECE_END[data], dtype=np.int32)[starts]
-        self.together = piece[1:] == piece[:-1]
+        gap = np.searchsorted(starts, np.flatnonzero(kind == END_BYTE))
+        self.together = np.ones(max(0, len(starts) - 1), bool)
+        self.together[gap[(gap > 0) & (gap < len(starts))] - 1] = False
         places = np.concatenate(([0], np.cumsum(ends - starts)))
         words = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(data[inside])]
+            pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(joined.translate(FOLD, NO_WORD))]
         ).dictionary_encode()
         self.ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.words = words.dictionary
-        listed = Words(self.words.to_pylist(), WORD)
         self.lang = lang_key(lang)
-        self.hashes = listed.hashes()
+        self.hashes = Words.of(self.words).hashes()
 
-    def phrases(self, at: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray]:
-        """Texts and hashes of the phrases of k words that begin at ``at``."""
-        parts = [self.ids[at + i] for i in range(k)]
-        key = join_two(np.full(len(at), self.lang, U), self.hashes[parts[0]])
-        for p in parts[1:]:
-            key = join_two(key, self.hashes[p])
-        taken = [self.words.take(pa.array(p)) for p in parts]
-        return (taken[0] if k == 1 else pc.binary_join_element_wise(*taken, SPACE)), key
+    def texts(self, at: np.ndarray, k: int) -> pa.Array:
+        """The phrases of k words that begin at ``at``."""
+        taken = [self.words.take(pa.array(self.ids[at + i])) for i in range(k)]
+        return taken[0] if k == 1 else pc.binary_join_element_wise(*taken, SPACE)
+
+    def keys(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Their hashes, made without their texts."""
+        key = np.full(len(at), self.lang, U)
+        for i in range(k):
+            key = join_two(key, self.hashes[self.ids[at + i]])
+        return key
 
 
 def phrase_keys(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
@@ -118,6 +127,14 @@ def phrase_keys(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
     return key
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the keys in the order of their first places, and how often each occurs."""
+    if not len(keys):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    numbers = pa.array(keys).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return numbers, np.bincount(numbers)
+
+
 def _member(filters: list, keys: np.ndarray) -> np.ndarray:
     out = np.zeros(len(keys), bool)
     for f in filters:
@@ -149,8 +166,9 @@ def _counted(s: Slice, longest: int, filters: list | None) -> Iterator[tuple[pa.
                 ok = now[numbers[begin]] & now[numbers[begin + 1]]
                 begin = begin[ok]
             key = numbers[begin] * (int(s.ids.max()) + 1) + s.ids[begin + k - 1]
-            _, first, back, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            places = begin[first]
+            back, counts = numbered(key)
+            places = np.empty(len(counts), np.int64)
+            places[back[::-1]] = begin[::-1]
             parts = numbers[places], numbers[places + 1]
             counted = counted[parts[0]] & counted[parts[1]]
             if again:
@@ -162,15 +180,12 @@ def _counted(s: Slice, longest: int, filters: list | None) -> Iterator[tuple[pa.
         if not len(places):
             return
         if k < longest and filters is not None:
-            texts, keys = s.phrases(places, k)
-            now = _member(filters, keys)
-            known = now, (_member(filters[:-1], keys) if again else None)
-            if not again:
-                yield texts, counts
-            elif fresh.any():
-                yield texts.filter(pa.array(fresh)), counts[fresh]
+            keys = s.keys(places, k)
+            known = _member(filters, keys), (_member(filters[:-1], keys) if again else None)
+        if fresh.all():
+            yield s.texts(places, k), counts
         elif fresh.any():
-            yield s.phrases(places[fresh], k)[0], counts[fresh]
+            yield s.texts(places[fresh], k), counts[fresh]
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:

@@ -70,6 +70,17 @@ class Words:
         self.offsets = np.concatenate(([0], np.cumsum(sizes)))
         self.first = np.searchsorted(self.starts, self.offsets)
 
+    @classmethod
+    def of(cls, words: pa.LargeBinaryArray) -> Words:
+        """A column of words, none of them empty, each a text of its own."""
+        made = cls.__new__(cls)
+        _, places, data = words.buffers()
+        offsets = np.frombuffer(places, np.int64)[words.offset : words.offset + len(words) + 1]
+        made.buffer = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        made.starts, made.ends, made.offsets = offsets[:-1], offsets[1:], offsets
+        made.first = np.arange(len(words) + 1)
+        return made
+
     def hashes(self, fold: np.ndarray = AS_IS) -> np.ndarray:
         """One 64-bit hash for each word, after ``fold`` of its bytes."""
         out = np.empty(len(self.starts), U)

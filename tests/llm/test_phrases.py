@@ -137,3 +137,35 @@ def test_scores_beyond_64_bits(spark):
         "+ cast(9000000000000000000 as decimal(20,0))) as long) AS s"
     )
     assert big.first().s == 2_000_000 * 9 * 10**18 // (181 * 10**17)
+
+
+def test_further_passes_make_texts_of_fresh_phrases_only(monkeypatch):
+    texts = ["A b, c  d\te.", "", "f", "...", "É b\x00 中文! a b c", "a b c d e f g"]
+    s = Slice([t.encode() for t in texts], "en")
+    pieces = [re.findall("[^ \t]+", p) for t in texts for p in re.split("[.,;:!?\n-\r]", low(t))]
+    words = [w for p in pieces for w in p]
+    assert [s.words[i].as_py().decode() for i in s.ids.tolist()] == words
+    together = [i + 1 < len(p) for p in pieces for i in range(len(p))]
+    assert s.together.tolist() == together[:-1]
+    at = np.flatnonzero(s.together)
+    pairs = [b" ".join(x.encode() for x in words[i : i + 2]) for i in at.tolist()]
+    assert s.texts(at, 2).to_pylist() == pairs
+    assert (s.keys(at, 2) == phrase_keys(pa.array(["en"] * len(at)), pa.array(pairs))).all()
+
+    class Holds:
+        def __init__(self, keys):
+            self.keys = keys
+
+        def hits(self, keys):
+            return np.isin(keys, self.keys)
+
+    known = s.keys(np.arange(len(s.ids)), 1)
+    made = []
+    plain = Slice.texts
+    monkeypatch.setattr(Slice, "texts", lambda self, at, k: made.append(len(at)) or plain(self, at, k))
+    new = s.keys(at[:1], 2)  # "a b": only the phrases it is a part of are fresh
+    found = [x for t, _ in _counted(s, 4, [Holds(known), Holds(new)]) for x in t.to_pylist()]
+    assert found == [] and made == []
+    both = np.concatenate((new, s.keys(at[-6:], 2)))
+    found = [x for t, _ in _counted(s, 4, [Holds(known), Holds(both)]) for x in t.to_pylist()]
+    assert set(found) == {b"a b c", b"b c d", b"c d e", b"d e f", b"e f g"} and sum(made) == len(found)
