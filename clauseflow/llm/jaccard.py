@@ -7,12 +7,15 @@ Two sets that reach the similarity share at least l shingles among their first
 n - ceil(t * n) + l ones, for any l; each document takes the l of least estimated cost: longer
 prefixes cost more look-ups but ask for more shared prefix shingles, and so leave fewer
 candidates to verify. A pair is verified when it shares min(l, l') prefix shingles and its sizes
-allow the similarity; verification is exact, on the sets of the whole texts.
+allow the similarity; verification is exact, on the sets of the whole texts. Before that the two
+parity maps are compared: each shingle of a set turns over one of ``MAP_BITS`` bits, so two maps
+differ in no more bits than the sets in shingles. What differs in more cannot link and does not
+leave the join (beyond some 1 300 shingles the maps tell little, and the texts decide).
 
 Documents of equal sets are one class from the start. Inside the classes that share a prefix
-shingle not all pairs are compared: while that would be more than a few times the number of
-prefix shingles, every shingle's classes are compared with a few hubs only (one, then eight times as
-many in each round), the links found are united to components, and only pairs of different
+shingle not all pairs are compared: while that would be more than the number of
+prefix shingles, every shingle's classes are compared with a few hubs only (one, then ``MORE_HUBS``
+times as many in each round), the links found are united to components, and only pairs of different
 components stay open. A near copy group thus
 costs its size, not its square, and no link between components is lost: every open pair is
 compared in the end. (A pair inside one component needs no comparison: it cannot change it.)
@@ -30,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clauseflow.llm import sketch, twofilters
 from clauseflow.llm.words import LOWER, SPACED, U, Words, chunks, column, join_two, mix, windows
@@ -41,15 +44,17 @@ from clauseflow.session import cut_lineage
 MAX_MATCH = 4
 VERIFY = 1 / 64
 #: All open pairs are compared when they are at most so many times the prefix shingles.
-OPEN_PAIRS = 32
+OPEN_PAIRS = 1
 #: Each round of hubs takes so many times the hubs of the round before.
-MORE_HUBS = 8
+MORE_HUBS = 32
 #: Most pairs of one document that are verified in one place.
 PARTNERS = 2_000
 #: Steps of a counter's logarithm: counts up to 2^51 fit one byte.
 LEVELS = 5
 #: Bits of a filter for a shingle, and places a prefix shingle sets.
 BITS_EACH, K = 12, 2
+#: Bits of a set's parity map.
+MAP_BITS = 512
 
 
 @dataclass(frozen=True)
@@ -84,6 +89,20 @@ def shingle_sets(texts: list | pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield hashes[:0]
 
 
+def parity_map(s: np.ndarray) -> np.ndarray:
+    """``MAP_BITS`` bits as 64-bit numbers; each shingle turns over one."""
+    at = (mix(s + U(11)) & U(MAP_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=MAP_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _maps_allow(a: str, b: str, sizes: Column, sim: Similarity) -> Column:
+    """Whether two maps differ in no more bits than linked sets of this size together may in shingles."""
+    differ = sum(
+        F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(MAP_BITS // 64)
+    )
+    return differ * (sim.den + sim.num) <= sizes * (sim.den - sim.num)
+
+
 def choose_match(excess: np.ndarray, size: int, base: int, most: int) -> int:
     """The number of shared prefix shingles to ask for: least look-ups and verifications.
 
@@ -97,7 +116,7 @@ def choose_match(excess: np.ndarray, size: int, base: int, most: int) -> int:
 
 
 def _profiles(docs: DataFrame, sim: Similarity, counts: np.ndarray, twice) -> DataFrame:
-    """(node, n, m, digest, need, prefix) of every row; digest is null for an empty set.
+    """(node, n, m, digest, need, map, prefix) of every row; digest is null for an empty set.
 
     m counts the shingles that another document may have too. The prefix leaves out shingles that no other document has; they count in its length.
     """
@@ -108,8 +127,9 @@ def _profiles(docs: DataFrame, sim: Similarity, counts: np.ndarray, twice) -> Da
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = sent.value
+        blank = np.zeros(MAP_BITS // 64, np.int64)
         for batch in batches:
-            sizes, commons, digests, needs, prefixes = [], [], [], [], []
+            sizes, commons, digests, needs, maps, prefixes = [], [], [], [], [], []
             for s in shingle_sets(batch.column("body"), sim.n):
                 n = len(s)
                 sizes.append(n)
@@ -117,6 +137,7 @@ def _profiles(docs: DataFrame, sim: Similarity, counts: np.ndarray, twice) -> Da
                     digests.append(None)
                     needs.append(0)
                     commons.append(0)
+                    maps.append(blank)
                     prefixes.append(s.view(np.int64))
                     continue
                 two = mix(s + U(7))
@@ -136,6 +157,7 @@ def _profiles(docs: DataFrame, sim: Similarity, counts: np.ndarray, twice) -> Da
                 needs.append(need)
                 chosen = order[: base + need]
                 prefixes.append(s[chosen[met[chosen]]].view(np.int64))
+                maps.append(parity_map(s) if len(prefixes[-1]) else blank)  # without a prefix it meets none
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -145,19 +167,20 @@ def _profiles(docs: DataFrame, sim: Similarity, counts: np.ndarray, twice) -> Da
                     pa.array(commons, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(needs, pa.int32()),
+                    pa.array(maps, pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)),
                 ],
-                names=["node", "n", "m", "digest", "need", "prefix"],
+                names=["node", "n", "m", "digest", "need", "map", "prefix"],
             )
 
     kind = docs.schema["node"].dataType.simpleString()
     return docs.select("node", "body").mapInArrow(
-        profile, f"node {kind}, n bigint, m bigint, digest binary, need int, prefix array<bigint>"
+        profile, f"node {kind}, n bigint, m bigint, digest binary, need int, map array<bigint>, prefix array<bigint>"
     )
 
 
 def _shared_prefixes(heads: DataFrame) -> DataFrame:
-    """(node, n, m, need, toks): prefix shingles that other heads may hold too.
+    """(node, n, m, need, map, toks): prefix shingles that other heads may hold too.
 
     A pair shares the smaller need of its two, which may be 1: a head stays with any such shingle.
     """
@@ -178,7 +201,7 @@ def _shared_prefixes(heads: DataFrame) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pa.array(flat[hit]))
 
     kept = cut_lineage(
-        heads.select("node", "n", "m", "need", shared("prefix").alias("toks")).where(
+        heads.select("node", "n", "m", "need", "map", shared("prefix").alias("toks")).where(
             F.size("toks") >= 1
         )
     )
@@ -238,11 +261,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
 def _links(shared: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     """Links (a, b) that connect all classes which the similarity connects."""
     nodes = shared.select(F.col("node").alias("id"))
-    posts = cut_lineage(shared.select("node", "n", "m", F.explode("toks").alias("t")))
-    labels = shared.select("node", F.col("node").alias("label"))
+    columns = ["node", "n", "m", "map", "t", "label"]
+    posts = cut_lineage(shared.select("node", "n", "m", "map", F.explode("toks").alias("t")))
+    labels = None  # at first every class is a component of its own
     links, hubs_each = None, 1
     while True:
-        tagged = posts.join(labels, "node").select("node", "n", "m", "t", "label")
+        if labels is None:
+            tagged = posts.withColumn("label", F.col("node"))
+        else:
+            tagged = posts.join(labels, "node").select(*columns)
         counts = (
             tagged.groupBy("t", "label")
             .agg(F.count(F.lit(1)).alias("c"))
@@ -254,7 +281,7 @@ def _links(shared: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
             )
             .where("kinds > 1")
         )
-        open_now = cut_lineage(tagged.join(counts.select("t"), "t").select("node", "n", "m", "t", "label"))
+        open_now = cut_lineage(tagged.join(counts.select("t"), "t").select(*columns))
         pairs, size = counts.agg(
             F.sum((F.col("c") * F.col("c").cast("double") - F.col("same")) / 2), F.sum("c")
         ).first()
@@ -270,29 +297,33 @@ def _links(shared: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
             )
             hubs_each *= MORE_HUBS
             others = hubs
-        x, y = open_now.toDF("a", "na", "ma", "t", "la"), others.toDF("b", "nb", "mb", "t", "lb")
+        x, y = open_now.toDF("a", "na", "ma", "pa", "t", "la"), others.toDF("b", "nb", "mb", "pb", "t", "lb")
         most = F.least("ma", "mb")  # no more can be common to the two
         met = (
             x.join(y, "t")
             .where("a < b" if few else "a <> b")
             .where("la <> lb")
             .where(most * sim.den >= (F.col("na") + F.col("nb") - most) * sim.num)
+            .where(_maps_allow("pa", "pb", F.col("na") + F.col("nb"), sim))
             .select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a"))
             .distinct()
         )
         met = cut_lineage(_candidates(met.select("a", "b"), shared, sim))
         found = cut_lineage(_verified(met, texts, sim))
-        links = found if links is None else links.unionByName(found)
+        linked = not found.isEmpty()
+        if linked:
+            links = found if links is None else links.unionByName(found)
         if few:
             break
-        labels = cut_lineage(
-            connected_components(nodes, links).select(
-                F.col("id").alias("node"), F.col("component").alias("label")
+        if linked:
+            labels = cut_lineage(
+                connected_components(nodes, links).select(
+                    F.col("id").alias("node"), F.col("component").alias("label")
+                )
             )
-        )
         # a hub has met every other component of its shingle
         posts = cut_lineage(
-            open_now.join(hubs.select("t", "node"), ["t", "node"], "left_anti").select("node", "n", "m", "t")
+            open_now.join(hubs.select("t", "node"), ["t", "node"], "left_anti").select("node", "n", "m", "map", "t")
         )
     if links is None:
         return shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
@@ -336,9 +367,9 @@ def link_components(
         .groupBy("digest")
         .agg(
             F.min("node").alias("node"),
-            F.min_by(F.struct("n", "m", "need", "prefix"), "node").alias("h"),
+            F.min_by(F.struct("n", "m", "need", "map", "prefix"), "node").alias("h"),
         )
-        .select("digest", "node", "h.n", "h.m", "h.need", "h.prefix")
+        .select("digest", "node", "h.n", "h.m", "h.need", "h.map", "h.prefix")
     )
     shared = _shared_prefixes(heads.drop("digest"))
     key = F.xxhash64("node.doc", "node.sig")

@@ -175,3 +175,29 @@ def test_values_of_a_column_come_in_slices():
     column = pa.array([None, b"", b"ab"] * 400 + [b"x" * (1 << 20)], pa.binary())
     assert list(each_value(column, 7)) == column.to_pylist()
     assert [list(c) for c in chunks(column, 100)] == [list(c) for c in chunks(column.to_pylist(), 100)]
+
+
+def test_pairs_far_apart_are_not_verified(spark, monkeypatch):
+    """Texts of one long passage and a few own words meet in all their prefixes, yet cannot link."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        both = rng.integers(0, 2**63, 300).astype(np.uint64)
+        a, b = both[: rng.integers(1, 300)], both[rng.integers(0, 200) :]
+        differ = np.bitwise_count((jaccard.parity_map(a) ^ jaccard.parity_map(b)).view(np.uint64)).sum()
+        assert differ <= len(np.setxor1d(a, b))
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(i, f"{passage} a{i} b{i} c{i}") for i in range(40)] + [(90, f"{passage} a7 b7 c7 d")]
+    verified = []
+    plain = jaccard._verified
+
+    def counted(pairs, texts, sim):
+        verified.append(pairs.count())
+        return plain(pairs, texts, sim)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    out = jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.component_id for r in out.collect()}
+    assert got == {i: 7 if i == 90 else i for i, _ in rows}
+    assert 1 <= sum(verified) <= 150  # of 820 pairs
