@@ -17,7 +17,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clauseflow import lexicon as L
-from clauseflow.operators import logistic
+from clauseflow.operators import forest, logistic
 from clauseflow.operators.metrics import binary_scores
 from clauseflow.operators.report import RiskModel
 from clauseflow.operators.windows import hash_order, ordered_index
@@ -227,8 +227,8 @@ def held_out_grid(
     """(point, fold, key, label, prediction, score): every row predicted by every grid point, by a
     model of the folds it is not in. A group never spans folds.
 
-    The matrix is stored once. Logistic regressions are fitted all together; other fits share
-    nothing else and run side by side, each adding its held-out part to one table, from which every
+    The matrix is stored once. Logistic regressions are fitted all together, forests grow from counts
+    of equal rows and share their trees; other fits share nothing else and run side by side, each adding its held-out part to one table, from which every
     metric can be had.
     """
     spark = df.sparkSession
@@ -252,6 +252,15 @@ def held_out_grid(
         )
         data.unpersist()
         return stored
+    if kind == "rf":
+        made = forest.held_out_probabilities(data, list(L.FEATURE_COLUMNS), key, label, grid, sorted(sizes))
+        if made is not None:
+            held = made.select("fold", key, F.col("y").alias(label), F.posexplode("scores").alias("point", "score"))
+            stored = cut_lineage(
+                held.select("point", "fold", key, label, (F.col("score") > 0.5).cast("int").alias("prediction"), "score")
+            )
+            data.unpersist()
+            return stored
     path = scratch_path(spark, f"held-out-{kind}")
 
     def run(job: tuple[int, int]) -> None:
