@@ -66,8 +66,8 @@ def _sums(df: DataFrame, columns: list[str], body) -> dict[int, np.ndarray]:
                 batch = whole.slice(lo, ROWS)
                 x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(float)
                 y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
-                parts = batch.column("parts")
-                inside = np.array(parts.to_pylist(), bool).reshape(len(y), -1)
+                parts = batch.column("parts").flatten()
+                inside = parts.to_numpy(zero_copy_only=False).astype(bool).reshape(len(y), -1)
                 for model, v in body(x, y, inside):
                     total[model] = total[model] + v if model in total else v
         for model, v in total.items():

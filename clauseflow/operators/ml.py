@@ -366,18 +366,28 @@ def permutation_importance(
 
 def scorer_report(df: DataFrame, key: str, label: str = "y", folds: int = 5) -> DataFrame:
     """What is stored beside the deployed scorer, in one row: mean accuracy and AUC of the held-out
-    parts of stratified folds, AUC in sample, number of rows, share of positives."""
+    parts of stratified folds, AUC in sample, number of rows, share of positives. The models of all
+    parts are fitted together, and one pass scores every row by its fold's model and by that of all rows."""
+    feats = list(L.FEATURE_COLUMNS)
     data = training_set(df.join(stratified_folds(df, key, label, folds), key)).cache()
-    held = None
-    for f in range(folds):
-        model = train_scorer(data.where(F.col("fold") != f).drop("fold"), label)
-        part = held_out_metrics(score(model, data.where(F.col("fold") == f)), label, "prediction", "score")
-        held = part if held is None else held.unionByName(part)
-    means = held.agg(F.avg("accuracy").alias("cv_accuracy_mean"), F.avg("auc").alias("cv_roc_auc_mean"))
-    whole = rank_auc(score(train_scorer(data.drop("fold"), label), data), label, F.col("score"))
+    trains = F.array(*[F.col("fold") != f for f in range(folds)], F.lit(True))
+    models = logistic.fit_many(data, feats, label, trains, [(i, {}) for i in range(folds + 1)], balanced=True)
+    both = F.array(F.get(logistic.literal(models[:folds]), F.col("fold")), logistic.literal(models[folds:])[0])
+    scored = logistic.probabilities(data, feats, both, "scores").select(
+        label, F.inline(F.arrays_zip(F.array("fold", F.lit(folds)).alias("point"), F.col("scores").alias("score")))
+    )
+    # the last point is the model of all rows
+    m = grid_metrics(scored.withColumn("prediction", (F.col("score") > 0.5).cast("int")), label)
+    held = F.col("point") < folds
+    metrics = m.agg(
+        F.avg(F.when(held, F.col("accuracy"))).alias("cv_accuracy_mean"),
+        F.avg(F.when(held, F.col("auc"))).alias("cv_roc_auc_mean"),
+        F.max(F.when(~held, F.col("auc"))).alias("in_sample_roc_auc"),
+    )
     sizes = data.agg(F.count(F.lit(1)).alias("n_train"), F.avg(F.col(label).cast("double")).alias("pos_rate"))
-    # single-row tables
-    return means.crossJoin(whole.withColumnRenamed("auc", "in_sample_roc_auc")).crossJoin(sizes)
+    stored = cut_lineage(metrics.crossJoin(sizes))  # single-row tables
+    data.unpersist()
+    return stored
 
 
 def linear_scorer(model: PipelineModel, version: str) -> RiskModel:

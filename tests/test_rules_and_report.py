@@ -261,3 +261,28 @@ def test_staged_verdict_record_decodes_once(spark):
     assert sorted(map(str, made.collect())) == sorted(map(str, plain.collect()))
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_scorer_report_in_few_jobs_is_that_of_spark_s_fits(spark):
+    rng = random.Random(8)
+    feats = list(L.FEATURE_COLUMNS)
+    rows = []
+    for i in range(300):
+        x = [rng.gauss(0, 1 + j) for j in range(len(feats))]
+        rows.append((i, int(x[0] - 0.4 * x[1] + rng.gauss(0, 1) > 0.9), *x))
+    df = spark.createDataFrame(rows, ["doc_id", "y", *feats]).cache()
+    spark.sparkContext.setJobGroup("scorer", "scorer")
+    got = ML.scorer_report(df, "doc_id", "y", 3).first()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("scorer"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 60
+    folds = df.join(ML.stratified_folds(df, "doc_id", "y", 3), "doc_id").cache()
+    held = []
+    for f in range(3):
+        model = ML.train_scorer(folds.where(f"fold != {f}").drop("fold"))
+        held.append(ML.held_out_metrics(ML.score(model, folds.where(f"fold = {f}")), "y", "prediction", "score").first())
+    whole = ML.rank_auc(ML.score(ML.train_scorer(df), df), "y", "score").first()["auc"]
+    assert got.cv_accuracy_mean == pytest.approx(sum(r.accuracy for r in held) / 3, abs=1e-9)
+    assert got.cv_roc_auc_mean == pytest.approx(sum(r.auc for r in held) / 3, abs=1e-3)
+    assert got.in_sample_roc_auc == pytest.approx(whole, abs=1e-3)
+    assert (got.n_train, got.pos_rate) == (300, pytest.approx(sum(r[1] for r in rows) / 300))
