@@ -53,7 +53,7 @@ PARTNERS = 2_000
 LEVELS = 5
 #: Bits of a filter for a shingle, and places a prefix shingle sets.
 BITS_EACH, K = 12, 2
-#: Bits of a set's parity map.
+#: Bits of a set's parity map, before it is folded to the set's size.
 MAP_BITS = 512
 
 
@@ -95,11 +95,35 @@ def parity_map(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=MAP_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def folded_map(s: np.ndarray, sim: Similarity) -> np.ndarray:
+    """The map in as few words (a power of two) as tell sets of this size apart.
+
+    Half the bits of unrelated maps differ: that is to be three halves of what links may. Word i is
+    the parity of the words of the whole map whose numbers leave i.
+    """
+    need = 6 * len(s) * (sim.den - sim.num) / (sim.den + sim.num)
+    words = 1
+    while words * 64 < need and words < MAP_BITS // 64:
+        words *= 2
+    return np.bitwise_xor.reduce(parity_map(s).reshape(-1, words), axis=0)
+
+
 def _maps_allow(a: str, b: str, sizes: Column, sim: Similarity) -> Column:
     """Whether two maps differ in no more bits than linked sets of this size together may in shingles."""
-    differ = sum(
-        F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(MAP_BITS // 64)
-    )
+    words = F.least(F.size(a), F.size(b))  # the larger map is folded to the smaller one
+
+    def bit_differences(n: int) -> Column:
+        folded = []
+        for i in range(n):
+            word = F.lit(0).cast("bigint")
+            for side in (a, b):
+                for j in range(i, MAP_BITS // 64, n):
+                    word = word.bitwiseXOR(F.coalesce(F.get(side, F.lit(j)), F.lit(0)))
+            folded.append(F.bit_count(word))
+        return sum(folded[1:], folded[0])
+
+    sizes_of_maps = [1 << i for i in range((MAP_BITS // 64).bit_length())]
+    differ = F.coalesce(*[F.when(words == n, bit_differences(n)) for n in sizes_of_maps], F.lit(0))
     return differ * (sim.den + sim.num) <= sizes * (sim.den - sim.num)
 
 
@@ -127,7 +151,7 @@ def _profiles(docs: DataFrame, sim: Similarity, counts: np.ndarray, twice) -> Da
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = sent.value
-        blank = np.zeros(MAP_BITS // 64, np.int64)
+        blank = np.zeros(1, np.int64)
         for batch in batches:
             sizes, commons, digests, needs, maps, prefixes = [], [], [], [], [], []
             for s in shingle_sets(batch.column("body"), sim.n):
@@ -157,7 +181,7 @@ def _profiles(docs: DataFrame, sim: Similarity, counts: np.ndarray, twice) -> Da
                 needs.append(need)
                 chosen = order[: base + need]
                 prefixes.append(s[chosen[met[chosen]]].view(np.int64))
-                maps.append(parity_map(s) if len(prefixes[-1]) else blank)  # without a prefix it meets none
+                maps.append(folded_map(s, sim) if len(prefixes[-1]) else blank)  # without a prefix it meets none
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -261,8 +285,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
 def _links(shared: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     """Links (a, b) that connect all classes which the similarity connects."""
     nodes = shared.select(F.col("node").alias("id"))
-    columns = ["node", "n", "m", "map", "t", "label"]
-    posts = cut_lineage(shared.select("node", "n", "m", "map", F.explode("toks").alias("t")))
+    columns = ["node", "t", "label"]
+    about = shared.select("node", "n", "m", "map")
+    # sizes and maps do not cross the shuffles that only count and choose: they are joined to the
+    # shingles where pairs meet
+    posts = shared.select("node", F.explode("toks").alias("t"))
     labels = None  # at first every class is a component of its own
     links, hubs_each = None, 1
     while True:
@@ -297,7 +324,9 @@ def _links(shared: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
             )
             hubs_each *= MORE_HUBS
             others = hubs
-        x, y = open_now.toDF("a", "na", "ma", "pa", "t", "la"), others.toDF("b", "nb", "mb", "pb", "t", "lb")
+        x = open_now.join(about, "node").select("node", "n", "m", "map", *columns[1:])
+        y = x if few else others.join(about, "node").select("node", "n", "m", "map", *columns[1:])
+        x, y = x.toDF("a", "na", "ma", "pa", "t", "la"), y.toDF("b", "nb", "mb", "pb", "t", "lb")
         most = F.least("ma", "mb")  # no more can be common to the two
         met = (
             x.join(y, "t")
@@ -323,7 +352,7 @@ def _links(shared: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
             )
         # a hub has met every other component of its shingle
         posts = cut_lineage(
-            open_now.join(hubs.select("t", "node"), ["t", "node"], "left_anti").select("node", "n", "m", "map", "t")
+            open_now.join(hubs.select("t", "node"), ["t", "node"], "left_anti").select("node", "t")
         )
     if links is None:
         return shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
