@@ -195,3 +195,22 @@ def test_arrivals_of_a_larger_table_are_more_files(spark, monkeypatch):
     FS._arrivals(spark, spark.range(0, 900, 1, 9), 3, "many")
     FS._arrivals(spark, spark.range(0, 900, 1, 1), 3, "few")
     assert seen == [(9, 3), (3, 1)]
+
+
+def test_single_files_are_whole_and_listed_in_shards(spark, tmp_path):
+    """A folder of several rows keeps them all; folders lie in shards, without files of an unfinished attempt."""
+    rows = [(f"no/{i % 90}", f"text {i // 2}") for i in range(180)] + [("empty", "")]
+    df = spark.createDataFrame(rows, "notice string, value string").repartition(5)
+    deep = tmp_path / "deep"
+    WR.write_files(df, f"file://{deep}", "notice")
+    shards = [d for d in deep.iterdir() if d.is_dir()]
+    assert len(shards) > 32 and sum(len(list(d.glob("notice=*"))) for d in shards) == 91
+    back = RD.read_specifications(spark, str(deep), r"notice=([^/]+)/").collect()
+    want = sorted((n.replace("/", "%2F"), t) for n, t in rows)
+    assert sorted((r.notice_id.replace("%252F", "%2F"), r.text.removesuffix("\n")) for r in back) == want
+    again = WR._place  # the same rows in another attempt take the same places
+    before = sorted(p.relative_to(deep) for p in deep.rglob("*") if p.is_file())
+    root = str(deep)
+    folded = df.select(F.col("notice").alias("name"), "value").sortWithinPartitions("name")
+    folded.mapInArrow(lambda b: again(b, root, "notice"), "n long").collect()
+    assert sorted(p.relative_to(deep) for p in deep.rglob("*") if p.is_file()) == before
