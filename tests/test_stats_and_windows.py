@@ -225,3 +225,50 @@ def test_bounded_top_k_equals_full_scores(spark, k):
         want += [(q, r, d, -s) for r, (s, d) in enumerate(best, 1)]
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-6)
+
+
+def test_few_blocks_meet_however_many_cells(spark, monkeypatch):
+    """A point is sent once a near block; every near pair is found once, in whichever tiles it lies."""
+    rng = np.random.default_rng(5)
+    pts = np.concatenate([rng.standard_normal((300, 5)), 0.02 * rng.standard_normal((300, 5)) + 1.5, np.full((1, 5), 30.0)])
+    rows = [(i, p.tolist(), 1 + i % 3) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, weight long")
+    monkeypatch.setattr(C, "BLOCK", 100)
+    monkeypatch.setattr(C, "TILE", 16)
+    eps = 0.4
+    points = C._blocked(df, 5, eps, len(rows))
+    blocks = points.select("block").distinct().count()
+    sent = C._block_pairs(points, eps)
+    assert blocks <= 8 and sent.count() < len(rows) * (blocks + 1)
+    near = ((pts[:, None] - pts[None]) ** 2).sum(-1) <= eps * eps + 1e-9
+    got = sent.groupBy("l", "r").applyInArrow(C._near_weights(eps), "id long, n long").groupBy("id").sum("n").collect()
+    assert {r[0]: r[1] for r in got} == dict(enumerate((near @ np.array([w for *_, w in rows])).tolist()))
+    edges = sent.groupBy("l", "r").applyInArrow(C._joined(eps), "a long, b long")
+    comp = {r.id: r.component for r in C.connected_components(points.select("id"), edges).collect()}
+    want, todo = {}, []
+    for s in range(len(rows)):
+        if s not in want:
+            want[s], todo = s, [s]
+            while todo:
+                for y in np.flatnonzero(near[todo.pop()]).tolist():
+                    if y not in want:
+                        want[y] = s
+                        todo.append(y)
+    assert comp == want
+
+
+def test_few_true_places():
+    rng = np.random.default_rng(2)
+    for shape in ((3, 5), (7, 64), (1, 8), (4, 0)):
+        for share in (0.0, 0.1, 1.0):
+            mask = rng.random(shape) < share
+            assert C._true_places(mask).tolist() == np.flatnonzero(mask).tolist()
+
+
+def test_character_counts_in_one_pass(spark):
+    texts = ["", "aab ä𝒳", None, "É É,, 1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", VE.char_counts(F.col("t"), "aä ,1").alias("c"))
+    assert df.where("t is null or size(c) > 0").collect() == [
+        (t, None if t is None else [float(t.count(c)) for c in "aä ,1"]) for t in texts]
+    plan = df.where("size(c) > 0")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("count(") == 1
